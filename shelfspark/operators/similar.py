@@ -247,6 +247,7 @@ def _tier_candidates(
         .filter(F.col("n_better") < KEEP)
         .drop("n_better", "n_singles")
     )
+    reachable = written(reachable, "reachable")
     asking = classes.join(reachable, ["a_unit", "all_stock", "bound"]).withColumn(
         "at", F.least("price", "bound")
     )
@@ -316,12 +317,16 @@ def as_similar(requests: DataFrame) -> DataFrame:
     )
 
 
-def located_targets(listed: DataFrame, questions: DataFrame) -> DataFrame:
+def located_targets(
+    listed: DataFrame, kind_table: DataFrame, questions: DataFrame
+) -> DataFrame:
     """Add kind, group and price of each target. Many may ask for one product."""
     wanted = questions.groupBy("product_id").agg(F.count("*").alias("n_rows"))
-    facts = listed.select(
-        "product_id", "kind", "keys", "own", F.col("price_eur").alias("price")
-    ).join(wanted, "product_id")
+    facts = (
+        listed.select("product_id", "kind", "own", F.col("price_eur").alias("price"))
+        .join(wanted, "product_id")
+        .join(kind_table.select("kind", "keys", "hot", "rare", "family"), "kind")
+    )
     return attach(questions, facts, "product_id", F.col("request_id"))
 
 
@@ -338,7 +343,7 @@ def similar(
     """
     listed = listings(products)
     kind_table = written(kinds(listed, hot_kinds), "kinds")
-    targets = written(located_targets(listed, questions), "targets")
+    targets = written(located_targets(listed, kind_table, questions), "targets")
     known = targets.filter("kind IS NOT NULL")
     tiers = _tiers(kind_table, known)
     scoped = _in_scopes(listed)
@@ -407,6 +412,7 @@ def _totals(
             F.array_sort(F.collect_list(F.when(F.col("is_hot"), F.col("key")))).alias("hot"),
         )
     )
+    per_own = written(per_own, "key_sets")
     shelf_unit = ["all_stock", "unit"]
     meets = ["rare", "hot"] if has_hot_keys(kind_table) else ["rare"]
     parts = []
@@ -415,9 +421,7 @@ def _totals(
         unit = F.sha2(F.to_json(F.struct(*shown)), 256).alias("unit")
         sets = per_own.withColumn("rare", F.array_except("keys", "hot")).filter(F.size(meet) > 0)
         asking = (
-            targets.join(kind_table.select("kind", "rare", "hot"), "kind")
-            .filter(F.size(meet) > 0)
-            .select(unit, *shown, "all_stock", "bound")
+            targets.filter(F.size(meet) > 0).select(unit, *shown, "all_stock", "bound")
         )
         shelves = sets.groupBy("all_stock", unit, "price_eur").agg(F.count("*").alias("n"))
         pairs = overlapping(
@@ -439,7 +443,7 @@ def _totals(
             .groupBy("a_unit", "all_stock", "bound")
             .agg(F.sum("n").alias(f"n_{meet}"))
         )
-    sizes = targets.join(kind_table.select("kind", "rare", "hot"), "kind")
+    sizes = targets
     for meet, part in zip(meets, parts):
         shown = ["rare", "hot"] if meet == "rare" else ["hot"]
         ask = F.sha2(F.to_json(F.struct(F.struct(*shown).alias("s"), "all_stock", F.col("bound").cast("string"))), 256)
@@ -469,3 +473,118 @@ def _totals(
             ).otherwise(0)
         ).alias("total_matches"),
     )
+
+
+def fallbacks(
+    products: DataFrame, targets: DataFrame, totals: DataFrame, hot_kinds: int = HOT_KINDS
+) -> tuple[DataFrame, DataFrame]:
+    """(reasons, mentions) for targets to which nothing in scope compares.
+
+    Again kinds meet, not products: what is sold out or over the bound is first
+    reduced to a few products per kind and price.
+    """
+    listed = listings(products)
+    kind_table = written(kinds(listed, hot_kinds), "kinds")
+    empty = targets.join(totals.filter("total_matches > 0"), "request_id", "left_anti")
+    known = empty.filter("kind IS NOT NULL")
+    met = []
+    for members, pairs in _tiers(kind_table, known):
+        asked = known.select("request_id", "kind", "own", "bound", "all_stock").join(
+            members.withColumnRenamed("unit", "a_unit"), "kind"
+        )
+        counted = pairs.filter("counts").select("a_unit", F.col("b_unit").alias("unit"))
+        met.append((members, asked.join(counted, "a_unit").drop("kind")))
+    sold_out, numbers, nearest = [], [], []
+    product = F.struct((-F.col("popularity")).alias("minus_popularity"), "_ord", "product_id", "own")
+    for members, pairs in met:
+        gone = listed.filter("NOT buyable").join(members, "kind")
+        # Own copies never show; two rows per group leave two others on the shelf.
+        in_group = Window.partitionBy("unit", "price_eur", "own").orderBy(product)
+        on_shelf = Window.partitionBy("unit", "price_eur").orderBy(product)
+        leaders = (
+            gone.withColumn("nth", F.row_number().over(in_group))
+            .filter("nth <= 2")
+            .withColumn("nth", F.row_number().over(on_shelf))
+            .filter("nth <= 4")
+            .select("unit", "price_eur", product.alias("shown"))
+        )
+        affordable = F.col("price_eur") <= F.col("bound")
+        asked = pairs.withColumnRenamed("own", "target_own")
+        sold_out.append(
+            asked.join(leaders, "unit")
+            .filter(affordable & (F.col("shown.own") != F.col("target_own")))
+            .select("request_id", "shown")
+        )
+        per_shelf = gone.groupBy("unit", "price_eur").agg(F.count("*").alias("n"))
+        per_own = gone.groupBy("unit", "price_eur", "own").agg((-F.count("*")).alias("n"))
+        numbers.append(asked.join(per_shelf, "unit").filter(affordable).select("request_id", "n"))
+        numbers.append(
+            pairs.join(per_own, ["unit", "own"]).filter(affordable).select("request_id", "n")
+        )
+        cheap = F.struct("price_eur", "_ord", "product_id", "own")
+        for_sale = _in_scopes(listed).join(members, "kind")
+        by_group = for_sale.groupBy("all_stock", "unit", "price_eur", "own").agg(
+            F.min(cheap).alias("cheap")
+        )
+        in_order = Window.partitionBy("all_stock", "unit", "price_eur").orderBy("cheap")
+        first = (
+            by_group.withColumn("nth", F.row_number().over(in_order))
+            .filter("nth <= 2")
+            .select("all_stock", "unit", "cheap")
+        )
+        nearest.append(
+            asked.join(first, ["all_stock", "unit"])
+            .filter(
+                (F.col("cheap.price_eur") > F.col("bound"))
+                & (F.col("cheap.own") != F.col("target_own"))
+            )
+            .select("request_id", "cheap")
+        )
+    by_popularity = Window.partitionBy("request_id").orderBy("shown")
+    shown = (
+        reduce(DataFrame.unionByName, sold_out)
+        .distinct()
+        .withColumn("rank", F.row_number().over(by_popularity))
+        .filter("rank <= 2")
+        .select(
+            "request_id",
+            F.lit("sold_out").alias("role"),
+            "rank",
+            F.col("shown.product_id").alias("product_id"),
+        )
+    )
+    n_price = (
+        reduce(DataFrame.unionByName, numbers)
+        .groupBy("request_id")
+        .agg(F.sum("n").alias("n_price"))
+    )
+    closest = (
+        reduce(DataFrame.unionByName, nearest)
+        .groupBy("request_id")
+        .agg(F.min("cheap").alias("cheap"))
+    )
+    sold = F.coalesce("n_price", F.lit(0)) > 0
+    reasons = written(
+        empty.join(n_price, "request_id", "left")
+        .join(closest, "request_id", "left")
+        .select(
+            "request_id",
+            F.when(F.col("all_stock"), F.lit(0)).otherwise(F.coalesce("n_price", F.lit(0))).alias("n_price"),
+            F.when(sold & ~F.col("all_stock"), "out_of_stock_only")
+            .when(F.col("cheap").isNotNull() & (F.col("bound") < NO_BOUND), "budget_too_low")
+            .otherwise("over_constrained")
+            .alias("reason"),
+            F.when(F.col("bound") < NO_BOUND, F.col("cheap.product_id")).alias("nearest_id"),
+        ),
+        "reasons",
+    )
+    near = reasons.filter("nearest_id IS NOT NULL").select(
+        "request_id",
+        F.lit("nearest").alias("role"),
+        F.lit(1).alias("rank"),
+        F.col("nearest_id").alias("product_id"),
+    )
+    shown = shown.join(
+        reasons.filter("reason = 'out_of_stock_only'").select("request_id"), "request_id"
+    )
+    return reasons.drop("nearest_id"), shown.unionByName(near)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.session import written
+
 # A key with more rows than this is hot. Every hot key stands for that many rows
 # of the large side, so there are at most rows / HOT_ROWS of them to broadcast.
 HOT_ROWS = 1_000_000
@@ -21,26 +23,31 @@ def attach(
 ) -> DataFrame:
     """Left join ``lookup`` (one row per key, with its row count) to ``rows``.
 
-    Rows of a hot key are spread over ``SALTS`` partitions by a hash of
-    ``spread``; only the lookup rows of hot keys are repeated to meet them.
+    The lookup is written first, so it is computed once and its hot keys are known
+    before the join is planned. Rows of a hot key are spread over ``SALTS``
+    partitions by a hash of ``spread``; only the lookup rows of hot keys are
+    repeated to meet them. Null keys match nothing and are spread likewise.
     ``n_rows`` is an upper bound of how many ``rows`` carry the key.
     """
-    # Null keys match nothing, but would otherwise all meet in one partition.
-    hot = lookup.filter(F.col(n_rows) > hot_rows).select(key, F.lit(True).alias("_hot"))
-    salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(
-            F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))
-        ).otherwise(F.lit(0)),
-    )
-    copies = F.when(F.col(n_rows) > hot_rows, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
+    lookup = written(lookup, "lookup")
+    is_hot = F.col(n_rows) > hot_rows
+    hot = lookup.filter(is_hot).select(key, F.lit(True).alias("_hot"))
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    if hot.isEmpty():
+        salts = F.array(F.lit(0))
+        spread_rows = F.col(key).isNull()
+    else:
+        rows = rows.join(F.broadcast(hot), key, "left")
+        salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
+            F.array(F.lit(0))
+        )
+        spread_rows = F.col("_hot") | F.col(key).isNull()
+    salted_rows = rows.withColumn(
+        "_salt", F.when(spread_rows, salt).otherwise(F.lit(0).cast("bigint"))
     )
-    salted_lookup = lookup.withColumn("_salt", F.explode(copies.cast("array<bigint>"))).drop(n_rows)
-    return (
-        salted_rows.withColumn("_salt", F.col("_salt").cast("bigint"))
-        .join(salted_lookup, [key, "_salt"], "left")
-        .drop("_salt", "_hot")
+    salted_lookup = lookup.withColumn("_salt", F.explode(salts.cast("array<bigint>")))
+    return salted_rows.join(salted_lookup.drop(n_rows), [key, "_salt"], "left").drop(
+        "_salt", "_hot"
     )
 
 
