@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators.duplicates import link_duplicates
 from shelfspark.operators.index import with_terms
+from shelfspark.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ _TEXT = (
 PRODUCT_COLUMNS = {
     "product_id": "CAST(p_partkey AS STRING)",
     "name": "p_name",
-    "price_eur": "floor(p_retailprice / 10) * 10 + 0.5",
+    "price_eur": "floor(p_retailprice / 10) * 10 + 0.5E0",
     "category": f"{_TITLE} || ' & Co'",
     "category_key": "lower(p_type) || ' & co'",
     "subcategory": "CASE WHEN p_partkey % 31 <> 0 THEN split_part(p_name, ' ', 2) END",
@@ -109,6 +110,11 @@ def linked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_terms(link_duplicates(product_table(spark, sf_dir)))
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked product table, written as the build does, ready to be asked."""
+    return written(linked_products(spark, sf_dir), "products")
+
+
 # --- A dirty export ----------------------------------------------------------------
 
 _K = "p_partkey"
@@ -216,6 +222,57 @@ def dirty_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- Numbers and labels as untidy text --------------------------------------------------
+
+_CENT_COUNT = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+_EUROS = f"CAST(floor({_CENT_COUNT} / 100) AS BIGINT)"
+_REST = f"lpad(CAST({_CENT_COUNT} % 100 AS STRING), 2, '0')"
+
+
+def _thousands(mark: str) -> str:
+    return (
+        f"CASE WHEN {_EUROS} >= 1000 THEN CAST(CAST(floor({_EUROS} / 1000) AS BIGINT) AS STRING) "
+        f"|| '{mark}' || lpad(CAST({_EUROS} % 1000 AS STRING), 3, '0') "
+        f"ELSE CAST({_EUROS} AS STRING) END"
+    )
+
+
+MONEY_TEXT = (
+    f"CASE WHEN l_suppkey % 50 = 7 THEN 'banana' WHEN l_suppkey % 50 = 8 THEN '-' || "
+    f"CAST({_EUROS} AS STRING) WHEN l_suppkey % 50 = 9 THEN '1.000.' || {_thousands('.')} "
+    f"WHEN l_suppkey % 50 = 10 THEN '' "
+    f"WHEN l_linenumber = 1 THEN CAST({_EUROS} AS STRING) || '.' || {_REST} "
+    f"WHEN l_linenumber = 2 THEN '€' || {_thousands('.')} || ',' || {_REST} "
+    f"WHEN l_linenumber = 3 THEN {_thousands(',')} || '.' || {_REST} "
+    f"WHEN l_linenumber = 4 THEN 'EUR  ' || CAST({_EUROS} AS STRING) || ',' || {_REST} "
+    f"WHEN l_linenumber = 5 THEN {_thousands(',')} || ' euros' "
+    f"ELSE '  +' || CAST({_EUROS} AS STRING) || '.' || {_REST} || ' $' END"
+)
+INT_TEXT = (
+    f"CASE l_linenumber WHEN 1 THEN {_thousands(',')} WHEN 2 THEN '-' || CAST({_EUROS} AS STRING) "
+    f"WHEN 3 THEN CAST({_EUROS} AS STRING) || '.99' WHEN 4 THEN 'about ' || CAST({_EUROS} AS STRING) "
+    f"WHEN 5 THEN '1_0' || CAST({_EUROS} % 10 AS STRING) WHEN 6 THEN '' ELSE ' 2e3 ' END"
+)
+FLOAT_TEXT = (
+    f"CASE l_linenumber WHEN 1 THEN CAST({_EUROS} AS STRING) || ',' || {_REST} "
+    f"WHEN 2 THEN '-' || CAST({_EUROS} AS STRING) || '.' || {_REST} "
+    f"WHEN 3 THEN {_thousands(',')} || '.' || {_REST} WHEN 4 THEN 'inf' WHEN 5 THEN '12f' "
+    f"WHEN 6 THEN '' ELSE ' ' || CAST({_EUROS} AS STRING) || ' ' END"
+)
+BOOL_TEXT = (
+    "CASE l_orderkey % 9 WHEN 0 THEN 'Yes' WHEN 1 THEN ' y ' WHEN 2 THEN 'TRUE' WHEN 3 THEN 'no' "
+    "WHEN 4 THEN '0' WHEN 5 THEN 'maybe' WHEN 6 THEN 'SÌ' WHEN 7 THEN '<b>f</b>' ELSE '' END"
+)
+SHELF_TEXT = (
+    "CASE p_size % 5 WHEN 0 THEN 'Home & Living' WHEN 1 THEN 'PETS' WHEN 2 THEN 'Jewellery' "
+    "WHEN 3 THEN p_type END"
+)
+SUBSHELF_TEXT = (
+    "CASE p_partkey % 5 WHEN 0 THEN 'Knives' WHEN 1 THEN 'board games' WHEN 2 THEN 'Tea' "
+    "WHEN 3 THEN split_part(p_name, ' ', 2) END"
+)
+
+
 # --- Requests ------------------------------------------------------------------------
 
 # One request per customer; the part with the customer's number lends its words.
@@ -252,6 +309,33 @@ SEARCH_COLUMNS = {
     ),
     "limit": f"CASE WHEN {_C} % 6 <> 1 THEN CAST({_C} % 15 AS INT) END",
 }
+_NOTHING = {
+    "request_id": _C,
+    "query": "CAST(NULL AS STRING)",
+    "category": "CAST(NULL AS STRING)",
+    "occasion": "CAST(NULL AS STRING)",
+    "recipient": "CAST(NULL AS STRING)",
+    "max_price": "CAST(NULL AS DOUBLE)",
+    "min_price": "CAST(NULL AS DOUBLE)",
+    "include_out_of_stock": "false",
+    "sort": "CAST(NULL AS STRING)",
+    "limit": "CAST(NULL AS INT)",
+}
+
+
+def only(*names: str) -> dict[str, str]:
+    """Search requests that use just the named parameters."""
+    return {**_NOTHING, **{name: SEARCH_COLUMNS[name] for name in names}}
+
+
+# Narrow requests, which often find only sold-out or too expensive products.
+FALLBACK_COLUMNS = {
+    **_NOTHING,
+    "query": "p_name",
+    "category": f"{_TITLE} || ' & Co'",
+    "recipient": f"CASE WHEN {_C} % 2 = 0 THEN 'machinery' END",
+    "max_price": f"CASE WHEN {_C} % 3 <> 0 THEN 900.5E0 + ({_C} % 10) * 10 END",
+}
 BROWSE_COLUMNS = {
     "request_id": _C,
     "category": SEARCH_COLUMNS["category"].replace("% 5 = 3", "% 1 = 0"),

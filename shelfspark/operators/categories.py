@@ -16,6 +16,7 @@ from shelfspark.functions.text import (
 )
 from shelfspark.operators.nearest import closest
 from shelfspark.operators.skew import HOT_ROWS, attach
+from shelfspark.session import written
 
 
 def category_spellings(products: DataFrame) -> DataFrame:
@@ -117,14 +118,15 @@ def category_dimension(products: DataFrame) -> DataFrame:
     order, by which slugs are listed.
     """
     order = Window.orderBy(F.desc("n"), "category")
-    return (
+    return written(
         products.groupBy("category")
         .agg(
             F.min("category_key").alias("category_key"),
             F.count("*").alias("n"),
             F.min("_ord").alias("first"),
         )
-        .withColumns({"slug": slugify(F.col("category")), "place": F.row_number().over(order)})
+        .withColumns({"slug": slugify(F.col("category")), "place": F.row_number().over(order)}),
+        "categories",
     )
 
 
@@ -160,13 +162,14 @@ def resolve_requested(requested: DataFrame, dimension: DataFrame) -> DataFrame:
     by_key = dimension.select("category_key", F.col("category").alias("by_key"))
     # Two categories may share a slug; the one listed last answers to it.
     by_slug = dimension.groupBy("slug").agg(F.max_by("category", "first").alias("by_slug"))
-    exact = (
+    exact = written(
         wanted.withColumns(
             {"category_key": category_key(cleaned), "slug": slugify(nfkc(F.col("requested")))}
         )
         .join(by_key, "category_key", "left")
         .join(by_slug, "slug", "left")
-        .select("requested", "by_key", "by_slug")
+        .select("requested", "by_key", "by_slug"),
+        "requested",
     )
     unmatched = exact.filter("by_key IS NULL AND by_slug IS NULL").select("requested")
     hits = closest(unmatched, "requested", category_candidates(dimension))

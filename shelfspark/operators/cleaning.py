@@ -181,6 +181,13 @@ def quarantine(classified: DataFrame) -> DataFrame:
 
 
 def issue_rows(products: DataFrame) -> DataFrame:
-    return products.select("product_id", F.explode("issues").alias("issue")).select(
-        "product_id", "issue.*"
+    """One row per soft issue.
+
+    The outer form keeps Spark from deriving a filter on the size of the array,
+    which would evaluate all cleaning expressions a second time.
+    """
+    return (
+        products.select("product_id", F.explode_outer("issues").alias("issue"))
+        .filter("issue IS NOT NULL")
+        .select("product_id", "issue.*")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from shelfspark.functions import fixed
 from shelfspark.functions.text import casefold
+from shelfspark.session import written
 
 # Fixed value: how many leading characters must agree with a candidate's first word.
 PREFIX_CHARS = 4
@@ -176,18 +177,20 @@ def closest(
     first, best ratio first; then containment or a shared beginning, in order of
     ``at``. Returns ``(column, candidate, rank)``.
     """
-    texts = (
+    texts = written(
         wanted.select(column)
         .distinct()
         .withColumn("needle", casefold(F.trim(column)))
-        .filter("needle <> ''")
+        .filter("needle <> ''"),
+        "needles",
     )
     needles = texts.select("needle").distinct()
     # Of several spellings that fold together the last one is shown.
-    vocabulary = (
+    vocabulary = written(
         candidates.withColumn("key", casefold(F.col("candidate")))
         .groupBy("key")
-        .agg(F.max_by("candidate", "at").alias("candidate"), F.min("at").alias("at"))
+        .agg(F.max_by("candidate", "at").alias("candidate"), F.min("at").alias("at")),
+        "vocabulary",
     )
     keys = vocabulary.select("key", "at")
     by_ratio = Window.partitionBy("needle").orderBy(F.desc("ratio"), F.desc("key"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators.cleaning import issue_rows
+
 
 def quarantine_counts(classified: DataFrame) -> DataFrame:
     return (
@@ -15,8 +17,8 @@ def quarantine_counts(classified: DataFrame) -> DataFrame:
 def issue_counts(products: DataFrame) -> DataFrame:
     """Soft issues of accepted rows, counted by ``field:kind``."""
     return (
-        products.select(F.explode("issues").alias("issue"))
-        .groupBy(F.concat("issue.field", F.lit(":"), "issue.kind").alias("issue"))
+        issue_rows(products)
+        .groupBy(F.concat("field", F.lit(":"), "kind").alias("issue"))
         .agg(F.count("*").alias("n_rows"))
     )
 

@@ -70,6 +70,23 @@ def _with_categories(requests: DataFrame, dimension: DataFrame) -> DataFrame:
     return attach(named, lookup, "requested", F.col("request_id"))
 
 
+def resolved_requests(
+    products: DataFrame, requests: DataFrame, needs_category: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Requests whose category is known (or not needed), and the others."""
+    dimension = category_dimension(products)
+    resolved = written(_with_categories(requests, dimension), "requests")
+    is_known = F.col("category").isNotNull()
+    if not needs_category:
+        is_known = is_known | F.col("requested").isNull()
+    return resolved.filter(is_known), resolved.filter(~is_known)
+
+
+def with_ask(normal: DataFrame) -> DataFrame:
+    """Add ``ask``, equal for requests that ask the same thing."""
+    return normal.withColumn("ask", F.sha2(F.to_json(F.struct(*find.PARAMETERS)), 256))
+
+
 def _unknown(rows: DataFrame, dimension: DataFrame, filters: Column) -> DataFrame:
     """Responses to requests for a category that does not exist."""
     every = dimension.agg(
@@ -118,23 +135,13 @@ def _answer_list(
     broadcast_terms: int,
 ) -> DataFrame:
     dimension = category_dimension(products)
-    resolved = written(_with_categories(requests, dimension), "requests")
-    is_known = F.col("category").isNotNull()
+    known_rows, unknown_rows = resolved_requests(products, requests, op == "browse")
     if op == "search":
-        is_known = is_known | F.col("requested").isNull()
         normalise, filters = find.as_search, _search_filters
     else:
         normalise, filters = find.as_browse, _browse_filters
-    known_rows = resolved.filter(is_known)
-    normal = normalise(known_rows).withColumn(
-        "ask", F.sha2(F.to_json(F.struct(*find.PARAMETERS)), 256)
-    )
-    questions = written(
-        find.distinct_questions(normal).withColumn(
-            "ask", F.sha2(F.to_json(F.struct(*find.PARAMETERS)), 256)
-        ),
-        "questions",
-    )
+    normal = with_ask(normalise(known_rows))
+    questions = written(with_ask(find.distinct_questions(normal)), "questions")
     envelopes, mentions = find.answer_questions(
         products, questions, find.furthest_rank(questions), broadcast_terms
     )
@@ -171,7 +178,7 @@ def _answer_list(
     ).join(
         known_rows.select("request_id", filters().alias("filters_applied")), "request_id"
     )
-    unknown = _unknown(resolved.filter(~is_known), dimension, filters())
+    unknown = _unknown(unknown_rows, dimension, filters())
     rows = told.drop("ask").unionByName(
         unknown.withColumns(
             {
@@ -246,7 +253,8 @@ def products_by_category(
     )
 
 
-def _lookup_ids(requests: DataFrame) -> DataFrame:
+def lookup_ids(requests: DataFrame) -> DataFrame:
+    """Normalise the requested id; keeps the request text as ``requested``."""
     return requests.withColumnRenamed("product_id", "requested").withColumn(
         "product_id", product_id(clean_text(F.col("requested")))
     )
@@ -278,7 +286,7 @@ def find_similar_products(
     Request columns: request_id (long), product_id, max_price,
     include_out_of_stock, limit.
     """
-    asked = _lookup_ids(requests)
+    asked = lookup_ids(requests)
     per_id = asked.groupBy("product_id").agg(F.count("*").alias("n_rows"))
     facts = products.select(
         "product_id", F.col("name").alias("target_name"), F.col("price_eur").alias("target_price")
@@ -366,7 +374,7 @@ def get_product_details(
 
     Request columns: request_id (long), product_id.
     """
-    asked = _lookup_ids(requests.select("request_id", "product_id"))
+    asked = lookup_ids(requests.select("request_id", "product_id"))
     per_id = asked.groupBy("product_id").agg(F.count("*").alias("n_rows"))
     wanted = written(products.join(per_id, "product_id"), "wanted")
     sold_out = wanted.filter("stock_level = 'out_of_stock'").select(

@@ -91,6 +91,15 @@ def _ragged(n_columns: int) -> Column:
 def _scan(
     spark: SparkSession, files: list[str], encoding: str, names: list[str], multi_line: bool
 ) -> DataFrame:
+    # Spark reads no Windows-1252, which differs from Latin-1 in 32 control characters.
+    upper = [chr(code) for code in range(0x80, 0xA0)]
+    windows = "".join(bytes([ord(c)]).decode("cp1252", "replace") for c in upper)
+
+    def text(name: str) -> Column:
+        if encoding == "windows-1252":
+            return F.translate(name, "".join(upper), windows)
+        return F.col(name)
+
     # Of two columns with one name the later counts.
     kept = {name: position for position, name in enumerate(names)}
     schema = ", ".join(f"`c{i}` string" for i in range(len(names))) + ", `_corrupt` string"
@@ -102,7 +111,9 @@ def _scan(
             escape='"',
             mode="PERMISSIVE",
             columnNameOfCorruptRecord="_corrupt",
-            encoding=encoding,
+            encoding="UTF-8" if encoding == "UTF-8" else "ISO-8859-1",
+            # A parser that skips cells cannot tell a ragged row.
+            columnPruning=False,
         )
         .csv(files)
     )
@@ -116,7 +127,7 @@ def _scan(
         order.alias("_ord"),
         _ragged(len(names)).alias("_ragged"),
         *[
-            (F.col(f"c{kept[name]}") if name in kept else F.lit(None).cast("string")).alias(name)
+            (text(f"c{kept[name]}") if name in kept else F.lit(None).cast("string")).alias(name)
             for name in known
         ],
     )
