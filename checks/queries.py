@@ -803,8 +803,12 @@ def w8_similarity_rank(spark, sf_dir):
 @query
 def a10_tag_jaccard(spark, sf_dir):
     """Every two kinds of product that share a tag or subcategory, with their tag overlap."""
-    kinds = compare.kinds(compare.listings(views.catalogue(spark, sf_dir)), 10**9)
-    side = kinds.select("category", "keys", "n_tags")
+    kinds = compare.kinds(compare.listings(views.catalogue(spark, sf_dir)))
+    side = kinds.select(
+        "category",
+        F.col("keys.key").alias("keys"),
+        F.size(F.filter("keys.key", lambda key: key.startswith("t:"))).alias("n_tags"),
+    )
     pairs = compare.overlapping(side, side, "keys")
     shared = F.size(
         F.filter(F.array_intersect("a_keys", "b_keys"), lambda key: key.startswith("t:"))

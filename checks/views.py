@@ -281,7 +281,7 @@ SEARCH_COLUMNS = {
     "request_id": _C,
     "query": (
         f"CASE {_C} % 5 WHEN 0 THEN split_part(p_name, ' ', 2) || 's' WHEN 1 THEN p_name "
-        f"WHEN 2 THEN 'a ' || split_part(p_name, ' ', 1) || ' by ' || p_brand "
+        f"WHEN 2 THEN 'a ' || split_part(p_name, ' ', 1) || ' for ' || lower(p_type) "
         f"WHEN 4 THEN CASE WHEN {_C} % 20 = 4 THEN 'qqq' || CAST({_C} AS STRING) "
         f"ELSE split_part(p_name, ' ', 1) END END"
     ),

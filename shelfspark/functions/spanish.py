@@ -8,7 +8,6 @@ shelf adds no search terms.
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -245,8 +244,9 @@ def glossary(text: str) -> dict[str, str]:
 
 
 def _lookup(text: str, key: Column) -> Column:
-    pairs = chain.from_iterable(glossary(text).items())
-    return F.try_element_at(F.create_map(*[F.lit(item) for item in pairs]), key)
+    # Folded into one literal map when the plan is optimised.
+    entries = F.str_to_map(F.lit(text.strip()), F.lit("\n"), F.lit(" = "))
+    return F.try_element_at(entries, key)
 
 
 def translate_color(color: Column) -> Column:

@@ -175,11 +175,11 @@ def spelling_order(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct search terms of NFKC text: folded, lower case, no function words."""
-    stopwords = sorted(set(fixed.STOPWORDS_ENGLISH) | set(fixed.STOPWORDS_SPANISH))
     words = F.regexp_extract_all(
         fold_accents(F.lower(_text(text))), F.lit("([a-z0-9]{2,})"), F.lit(1)
     )
-    return F.array_except(words, F.array([F.lit(word) for word in stopwords]))
+    stopwords = fixed.STOPWORDS_ENGLISH + fixed.STOPWORDS_SPANISH
+    return F.array_distinct(F.filter(words, lambda word: ~word.isin(stopwords)))
 
 
 def stem(token: Column) -> Column:

@@ -3,10 +3,11 @@
 Whether two products compare, and most of their similarity, depends only on their
 kind: category, subcategory and tags. So kinds are compared, not products:
 
-1. Kinds meet through a shared subcategory or tag. A key that very many kinds
-   share is *hot*; through hot keys only *families* meet, which are kinds reduced
-   to their hot keys. A pair that also shares a rare key is found exactly among
-   the kinds, and its family score is never higher than its true one.
+1. Kinds meet through a shared subcategory or tag. Keys have levels, by how many
+   kinds hold them. At a level, kinds are reduced to their keys of that level and
+   above: the more common a key, the fewer distinct reduced kinds hold it. A pair
+   is scored exactly at the lowest level it shares a key on; at a higher level the
+   score leaves out rarer keys and is never above the true one.
 2. Products of one kind and price lie on one shelf and differ only in popularity
    and id, so a shelf keeps its first few. A kind has no more shelves than there
    are prices.
@@ -25,12 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import fixed
+from shelfspark.functions.text import let
 from shelfspark.operators.search import clamp
 from shelfspark.operators.skew import HOT_ROWS, attach
 from shelfspark.session import written
 
-# A key shared by more kinds than this is hot.
-HOT_KINDS = 2_000
+# Keys held by up to this many kinds have level 0; every doubling is one level more.
+LEVEL_KINDS = 500
 # Own copies are excluded only at the end, so one more candidate is kept.
 KEEP = fixed.SIMILAR_LIMITS[1] + 1
 
@@ -60,37 +62,41 @@ def listings(products: DataFrame) -> DataFrame:
     ).filter(F.size("keys") > 0)
 
 
-def kinds(listed: DataFrame, hot_kinds: int = HOT_KINDS) -> DataFrame:
-    """One row per kind, its keys split into rare and hot ones, and its family."""
+def kinds(listed: DataFrame, level_kinds: int = LEVEL_KINDS) -> DataFrame:
+    """One row per kind: category, and its keys as (level, key)."""
     distinct = listed.groupBy("kind", "category", "keys").agg(F.count("*").alias("n"))
     each = distinct.select("kind", F.explode("keys").alias("key"))
-    spread = each.groupBy("key").agg(F.count("*").alias("n_rows"))
-    hot = spread.filter(F.col("n_rows") > hot_kinds).withColumn("is_hot", F.lit(True))
-    hot_keys = (
-        attach(each, hot, "key", F.col("kind"))
-        .filter("is_hot")
-        .groupBy("kind")
-        .agg(F.array_sort(F.collect_list("key")).alias("hot"))
+    doublings = F.ceil(F.log2(F.col("n_rows") / level_kinds)).cast("int")
+    levels = (
+        each.groupBy("key")
+        .agg(F.count("*").alias("n_rows"))
+        .withColumn("level", F.greatest(F.lit(0), doublings))
     )
-    none = F.array().cast("array<string>")
-    return (
-        distinct.join(hot_keys, "kind", "left")
-        .withColumn("hot", F.coalesce("hot", none))
-        .select(
-            "kind",
-            "category",
-            "keys",
-            "hot",
-            F.array_except("keys", "hot").alias("rare"),
-            _n_tags(F.col("keys")).alias("n_tags"),
-        )
-        .withColumn(
-            "family",
-            F.when(
-                F.size("hot") > 0, F.sha2(F.to_json(F.struct("category", "hot", "n_tags")), 256)
-            ),
-        )
+    leveled = (
+        attach(each, levels, "key", F.col("kind"))
+        .groupBy("kind")
+        .agg(F.array_sort(F.collect_list(F.struct("level", "key"))).alias("keys"))
     )
+    return distinct.select("kind", "category").join(leveled, "kind")
+
+
+def _at(level: int, keys: str = "keys") -> dict[str, Column]:
+    """What a key set is at a level: the keys kept, those that meet, those above."""
+
+    def those(test) -> Column:
+        return F.transform(F.filter(keys, lambda k: test(k["level"])), lambda k: k["key"])
+
+    return {
+        "kept": those(lambda found: found >= level),
+        "meet": those(lambda found: found == level),
+        "above": those(lambda found: found > level),
+    }
+
+
+def _levels(kind_table: DataFrame) -> list[int]:
+    """The levels in use: a few numbers, as each is twice as common as the last."""
+    levels = kind_table.select(F.explode("keys.level").alias("level")).distinct()
+    return sorted(row.level for row in levels.collect())
 
 
 def _n_tags(keys: Column) -> Column:
@@ -111,9 +117,13 @@ def overlapping(left: DataFrame, right: DataFrame, meet: str) -> DataFrame:
     return a.join(b, "key").filter(F.element_at(common, 1) == F.col("key")).drop("key")
 
 
-def kind_score(meet: str) -> Column:
-    """Similarity of two kinds, from the keys they are compared by; no price yet."""
-    shared = F.array_intersect(f"a_{meet}", f"b_{meet}")
+def kind_score() -> Column:
+    """Similarity of two kinds by the keys kept; the price is added later."""
+    shared = F.array_intersect("a_kept", "b_kept")
+    return let(shared, _score_of)
+
+
+def _score_of(shared: Column) -> Column:
     shared_tags = _n_tags(shared)
     union = F.col("a_n_tags") + F.col("b_n_tags") - shared_tags
     return (
@@ -123,37 +133,37 @@ def kind_score(meet: str) -> Column:
     )
 
 
-def _tiers(kind_table: DataFrame, wanted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """(members, pairs) per tier: the unit of each kind, and which units compare.
+def _tiers(
+    kind_table: DataFrame, wanted: DataFrame, levels: list[int]
+) -> list[tuple[DataFrame, DataFrame]]:
+    """(members, pairs) per level: the unit of each kind, and which units compare.
 
-    Only units of ``wanted`` kinds ask. Pairs of kinds say whether they also share
-    a hot key, as then the families count them.
+    Only units of ``wanted`` kinds ask. A pair ``counts`` at the highest level it
+    shares a key on, so that every two kinds count once.
     """
     asked = kind_table.join(wanted.select("kind").distinct(), "kind", "left_semi")
-    by_kind = kind_table.select(F.col("kind").alias("unit"), "category", "keys", "n_tags", "hot", "rare")
-    asks_kind = asked.select(F.col("kind").alias("unit"), "category", "keys", "n_tags", "hot", "rare")
-    kind_pairs = overlapping(asks_kind, by_kind, "rare").select(
-        "a_unit",
-        "b_unit",
-        kind_score("keys").alias("kind_score"),
-        (~F.arrays_overlap("a_hot", "b_hot")).alias("counts"),
-    )
-    in_family = F.col("family").isNotNull()
-    columns = [F.col("family").alias("unit"), "category", "n_tags", "hot"]
-    by_family = kind_table.filter(in_family).select(*columns).distinct()
-    asks_family = asked.filter(in_family).select(*columns).distinct()
-    family_pairs = overlapping(asks_family, by_family, "hot").select(
-        "a_unit", "b_unit", kind_score("hot").alias("kind_score"), F.lit(True).alias("counts")
-    )
-    tiers = [(kind_table.select("kind", F.col("kind").alias("unit")), kind_pairs)]
-    if has_hot_keys(kind_table):
-        members = kind_table.filter(in_family).select("kind", F.col("family").alias("unit"))
-        tiers.append((members, family_pairs))
-    return tiers
+    n_tags = _n_tags(F.col("keys.key")).alias("n_tags")
+    tiers = []
+    for level in levels:
 
+        def units(table: DataFrame) -> DataFrame:
+            cut = table.select("kind", "category", n_tags, "keys").withColumns(_at(level))
+            unit = F.sha2(F.to_json(F.struct("category", "kept", "n_tags")), 256)
+            return cut.filter(F.size("meet") > 0).withColumn("unit", unit)
 
-def has_hot_keys(kind_table: DataFrame) -> bool:
-    return not kind_table.filter("family IS NOT NULL").isEmpty()
+        columns = ["unit", "category", "n_tags", "kept", "meet", "above"]
+        pairs = overlapping(
+            units(asked).select(*columns).distinct(),
+            units(kind_table).select(*columns).distinct(),
+            "meet",
+        ).select(
+            "a_unit",
+            "b_unit",
+            kind_score().alias("kind_score"),
+            (~F.arrays_overlap("a_above", "b_above")).alias("counts"),
+        )
+        tiers.append((units(kind_table).select("kind", "unit"), written(pairs, "pairs")))
+    return tiers
 
 
 def _in_scopes(listed: DataFrame) -> DataFrame:
@@ -325,7 +335,7 @@ def located_targets(
     facts = (
         listed.select("product_id", "kind", "own", F.col("price_eur").alias("price"))
         .join(wanted, "product_id")
-        .join(kind_table.select("kind", "keys", "hot", "rare", "family"), "kind")
+        .join(kind_table.select("kind", "keys"), "kind")
     )
     return attach(questions, facts, "product_id", F.col("request_id"))
 
@@ -333,7 +343,7 @@ def located_targets(
 def similar(
     products: DataFrame,
     questions: DataFrame,
-    hot_kinds: int = HOT_KINDS,
+    level_kinds: int = LEVEL_KINDS,
     hot_rows: int = HOT_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ranked, totals, targets) for normalised similar-product questions.
@@ -342,13 +352,14 @@ def similar(
     products compare in all, one per group of copies.
     """
     listed = listings(products)
-    kind_table = written(kinds(listed, hot_kinds), "kinds")
+    kind_table = written(kinds(listed, level_kinds), "kinds")
+    levels = _levels(kind_table)
     targets = written(located_targets(listed, kind_table, questions), "targets")
     known = targets.filter("kind IS NOT NULL")
-    tiers = _tiers(kind_table, known)
+    tiers = _tiers(kind_table, known, levels)
     scoped = _in_scopes(listed)
     ranked = _rank(scoped, tiers, known, hot_rows)
-    totals = _totals(scoped, kind_table, known, hot_rows)
+    totals = _totals(scoped, kind_table, known, levels, hot_rows)
     return ranked, totals, targets
 
 
@@ -394,42 +405,43 @@ def _rank(
 
 
 def _totals(
-    scoped: DataFrame, kind_table: DataFrame, targets: DataFrame, hot_rows: int
+    scoped: DataFrame,
+    kind_table: DataFrame,
+    targets: DataFrame,
+    levels: list[int],
+    hot_rows: int,
 ) -> DataFrame:
     """How many distinct products compare with each target, within its bounds.
 
     A group of copies compares when any key of any copy does, so a group is its set
     of keys, and groups with equal sets and price are counted together.
     """
-    keyed = scoped.join(kind_table.select("kind", "hot"), "kind")
-    per_own = (
-        keyed.select("all_stock", "own", "price_eur", "hot", F.explode("keys").alias("key"))
-        .groupBy("all_stock", "own", "price_eur", "key")
-        .agg(F.max(F.array_contains("hot", F.col("key"))).alias("is_hot"))
+    keyed = scoped.join(kind_table.select("kind", F.col("keys").alias("leveled")), "kind")
+    per_own = written(
+        keyed.select("all_stock", "own", "price_eur", F.explode("leveled").alias("key"))
         .groupBy("all_stock", "own", "price_eur")
-        .agg(
-            F.array_sort(F.collect_list("key")).alias("keys"),
-            F.array_sort(F.collect_list(F.when(F.col("is_hot"), F.col("key")))).alias("hot"),
-        )
+        .agg(F.array_sort(F.collect_set("key")).alias("keys")),
+        "key_sets",
     )
-    per_own = written(per_own, "key_sets")
     shelf_unit = ["all_stock", "unit"]
-    meets = ["rare", "hot"] if has_hot_keys(kind_table) else ["rare"]
-    parts = []
-    for meet in meets:
-        shown = ["rare", "hot"] if meet == "rare" else ["hot"]
-        unit = F.sha2(F.to_json(F.struct(*shown)), 256).alias("unit")
-        sets = per_own.withColumn("rare", F.array_except("keys", "hot")).filter(F.size(meet) > 0)
-        asking = (
-            targets.filter(F.size(meet) > 0).select(unit, *shown, "all_stock", "bound")
-        )
-        shelves = sets.groupBy("all_stock", unit, "price_eur").agg(F.count("*").alias("n"))
-        pairs = overlapping(
-            asking.select("unit", *shown).distinct(), sets.select(unit, *shown).distinct(), meet
+    unit = F.sha2(F.to_json(F.struct("kept")), 256)
+    sizes = targets
+    for level in levels:
+
+        def cut(table: DataFrame) -> DataFrame:
+            return table.withColumns(_at(level)).withColumn("unit", unit)
+
+        sets = cut(per_own).filter(F.size("meet") > 0)
+        asking = cut(targets).filter(F.size("meet") > 0)
+        columns = ["unit", "meet", "above"]
+        pairs = (
+            overlapping(
+                asking.select(*columns).distinct(), sets.select(*columns).distinct(), "meet"
+            )
+            .filter(~F.arrays_overlap("a_above", "b_above"))
+            .select("a_unit", F.col("b_unit").alias("unit"))
         )
-        if meet == "rare":
-            pairs = pairs.filter(~F.arrays_overlap("a_hot", "b_hot"))
-        pairs = pairs.select("a_unit", F.col("b_unit").alias("unit"))
+        shelves = sets.groupBy(*shelf_unit, "price_eur").agg(F.count("*").alias("n"))
         scopes = asking.select(F.col("unit").alias("a_unit"), "all_stock", "bound").distinct()
         wanted = scopes.join(pairs, "a_unit")
         counted = as_of(
@@ -438,24 +450,23 @@ def _totals(
             shelf_unit,
             F.col("n"),
         ).withColumnsRenamed({"at": "bound", "value": "n"})
-        parts.append(
+        found = (
             wanted.join(counted, [*shelf_unit, "bound"])
             .groupBy("a_unit", "all_stock", "bound")
-            .agg(F.sum("n").alias(f"n_{meet}"))
+            .agg(F.sum("n").alias(f"n_{level}"))
         )
-    sizes = targets
-    for meet, part in zip(meets, parts):
-        shown = ["rare", "hot"] if meet == "rare" else ["hot"]
-        ask = F.sha2(F.to_json(F.struct(F.struct(*shown).alias("s"), "all_stock", F.col("bound").cast("string"))), 256)
-        asked = sizes.withColumn("ask", ask)
-        unit = F.sha2(F.to_json(F.struct(*shown)), 256)
-        scopes = asked.groupBy("ask", unit.alias("a_unit"), "all_stock", "bound").agg(
+        bound = F.col("bound").cast("string")
+        ask = F.sha2(F.to_json(F.struct("unit", "all_stock", bound.alias("bound"))), 256)
+        asked = cut(sizes).withColumn("ask", ask).drop("kept", "meet", "above")
+        per_ask = asked.groupBy("ask", F.col("unit").alias("a_unit"), "all_stock", "bound").agg(
             F.count("*").alias("n_rows")
         )
-        found = scopes.join(part, ["a_unit", "all_stock", "bound"]).select(
-            "ask", "n_rows", f"n_{meet}"
+        lookup = per_ask.join(found, ["a_unit", "all_stock", "bound"]).select(
+            "ask", "n_rows", f"n_{level}"
+        )
+        sizes = attach(asked, lookup, "ask", F.col("request_id"), hot_rows=hot_rows).drop(
+            "ask", "unit"
         )
-        sizes = attach(asked, found, "ask", F.col("request_id"), hot_rows=hot_rows).drop("ask")
     # The target's own copies were counted where they compare; take them out again.
     asked = sizes.withColumn("group", F.struct("all_stock", "own"))
     n_asked = asked.groupBy("group").agg(F.count("*").alias("n_rows"))
@@ -467,16 +478,21 @@ def _totals(
     return attach(asked, own, "group", F.col("request_id"), hot_rows=hot_rows).select(
         "request_id",
         (
-            sum((F.coalesce(f"n_{meet}", F.lit(0)) for meet in meets), F.lit(0))
+            sum((F.coalesce(f"n_{level}", F.lit(0)) for level in levels), F.lit(0))
             - F.when(
-                (F.col("own_price") <= F.col("bound")) & F.arrays_overlap("keys", "own_keys"), 1
+                (F.col("own_price") <= F.col("bound"))
+                & F.arrays_overlap("keys.key", "own_keys.key"),
+                1,
             ).otherwise(0)
         ).alias("total_matches"),
     )
 
 
 def fallbacks(
-    products: DataFrame, targets: DataFrame, totals: DataFrame, hot_kinds: int = HOT_KINDS
+    products: DataFrame,
+    targets: DataFrame,
+    totals: DataFrame,
+    level_kinds: int = LEVEL_KINDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(reasons, mentions) for targets to which nothing in scope compares.
 
@@ -484,11 +500,11 @@ def fallbacks(
     reduced to a few products per kind and price.
     """
     listed = listings(products)
-    kind_table = written(kinds(listed, hot_kinds), "kinds")
+    kind_table = written(kinds(listed, level_kinds), "kinds")
     empty = targets.join(totals.filter("total_matches > 0"), "request_id", "left_anti")
     known = empty.filter("kind IS NOT NULL")
     met = []
-    for members, pairs in _tiers(kind_table, known):
+    for members, pairs in _tiers(kind_table, known, _levels(kind_table)):
         asked = known.select("request_id", "kind", "own", "bound", "all_stock").join(
             members.withColumnRenamed("unit", "a_unit"), "kind"
         )

@@ -279,7 +279,7 @@ def find_similar_products(
     requests: DataFrame,
     base_url: str | None = None,
     max_bytes: int = fixed.MAX_RESPONSE_BYTES,
-    hot_kinds: int = compare.HOT_KINDS,
+    level_kinds: int = compare.LEVEL_KINDS,
 ) -> DataFrame:
     """Products of the same kind as a given one.
 
@@ -307,9 +307,9 @@ def find_similar_products(
         ),
         "questions",
     )
-    ranked, totals, targets = compare.similar(products, questions.drop("n_rows"), hot_kinds)
+    ranked, totals, targets = compare.similar(products, questions.drop("n_rows"), level_kinds)
     totals = written(totals, "totals")
-    reasons, fallen = compare.fallbacks(products, targets, totals, hot_kinds)
+    reasons, fallen = compare.fallbacks(products, targets, totals, level_kinds)
     results = ranked.select("request_id", F.lit("result").alias("role"), "rank", "product_id")
     shown = _summaries(results.unionByName(fallen), products, "request_id", base_url)
     bound = F.when(F.col("bound") < compare.NO_BOUND, F.col("bound"))
