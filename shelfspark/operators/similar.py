@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import fixed
-from shelfspark.functions.text import let
 from shelfspark.operators.search import clamp
 from shelfspark.operators.skew import HOT_ROWS, attach
 from shelfspark.session import written
@@ -113,23 +112,18 @@ def overlapping(left: DataFrame, right: DataFrame, meet: str) -> DataFrame:
     b = right.select(
         *[F.col(c).alias(f"b_{c}") for c in right.columns], F.explode(meet).alias("key")
     )
-    common = F.array_intersect(F.array_sort(f"a_{meet}"), F.array_sort(f"b_{meet}"))
-    return a.join(b, "key").filter(F.element_at(common, 1) == F.col("key")).drop("key")
+    common = F.array_intersect(f"a_{meet}", f"b_{meet}")
+    return a.join(b, "key").filter(F.get(common, F.lit(0)) == F.col("key")).drop("key")
 
 
 def kind_score() -> Column:
     """Similarity of two kinds by the keys kept; the price is added later."""
-    shared = F.array_intersect("a_kept", "b_kept")
-    return let(shared, _score_of)
-
-
-def _score_of(shared: Column) -> Column:
-    shared_tags = _n_tags(shared)
-    union = F.col("a_n_tags") + F.col("b_n_tags") - shared_tags
+    shared = F.size(F.array_intersect("a_tags", "b_tags"))
+    union = F.col("a_n_tags") + F.col("b_n_tags") - shared
     return (
-        F.when(F.size(shared) > shared_tags, fixed.SIMILAR_SUBCATEGORY).otherwise(0.0)
+        F.when(F.col("a_sub") == F.col("b_sub"), fixed.SIMILAR_SUBCATEGORY).otherwise(0.0)
         + F.when(F.col("a_category") == F.col("b_category"), fixed.SIMILAR_CATEGORY).otherwise(0.0)
-        + F.when(union > 0, F.lit(fixed.SIMILAR_TAGS) * shared_tags / union).otherwise(0.0)
+        + F.when(union > 0, F.lit(fixed.SIMILAR_TAGS) * shared / union).otherwise(0.0)
     )
 
 
@@ -149,9 +143,13 @@ def _tiers(
         def units(table: DataFrame) -> DataFrame:
             cut = table.select("kind", "category", n_tags, "keys").withColumns(_at(level))
             unit = F.sha2(F.to_json(F.struct("category", "kept", "n_tags")), 256)
-            return cut.filter(F.size("meet") > 0).withColumn("unit", unit)
+            tags = F.filter("kept", lambda key: key.startswith("t:"))
+            sub = F.get(F.filter("kept", lambda key: key.startswith("s:")), F.lit(0))
+            return cut.filter(F.size("meet") > 0).withColumns(
+                {"unit": unit, "tags": tags, "sub": sub}
+            )
 
-        columns = ["unit", "category", "n_tags", "kept", "meet", "above"]
+        columns = ["unit", "category", "n_tags", "tags", "sub", "meet", "above"]
         pairs = overlapping(
             units(asked).select(*columns).distinct(),
             units(kind_table).select(*columns).distinct(),
