@@ -22,7 +22,7 @@ def products(spark):
         noun = rnd.choice(["Lamp", "Candle", "Knife", "Ring"])
         rows.append((
             f"P{i:02d}", i, f"{rnd.choice(['Red', 'Glass', 'Old'])} {noun}", rnd.choice(["Home & Co", "Kids"]),
-            noun + "s", [noun.lower(), rnd.choice(["gift", "new"])], float(rnd.choice([10, 20, 35, 80])),
+            {"Knife": "Knives"}.get(noun, noun + "s"), [noun.lower(), rnd.choice(["gift", "new"])], float(rnd.choice([10, 20, 35, 80])),
             rnd.choice([None, 0, 3, 9]), rnd.choice([None, 3.5, 4.8]), rnd.choice([None, 5, 200]),
             rnd.sample(["birthday", "easter"], rnd.choice([0, 1, 2])), rnd.choice(["anyone", "her", None]),
         ))
