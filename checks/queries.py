@@ -181,7 +181,7 @@ def _written_cache(spark: SparkSession, entries: DataFrame, names: list[str]) ->
     entry = F.struct("hash", *names)
     entries.groupBy(F.floor(F.col("_ord") / 1000).alias("file")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("product_id", entry)))).alias("value")
-    ).select("value").repartition(F.col("value")).write.option("lineSep", "\n").text(path)
+    ).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
