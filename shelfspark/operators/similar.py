@@ -76,7 +76,24 @@ def kinds(listed: DataFrame, level_kinds: int = LEVEL_KINDS) -> DataFrame:
         .groupBy("kind")
         .agg(F.array_sort(F.collect_list(F.struct("level", "key"))).alias("keys"))
     )
-    return distinct.select("kind", "category").join(leveled, "kind")
+    sizes = distinct.select("kind", "category", F.col("n").alias("n_rows"))
+    return sizes.join(leveled, "kind")
+
+
+def with_levels(listed: DataFrame, kind_table: DataFrame, hot_rows: int) -> DataFrame:
+    """Listings whose keys carry their level. A kind may hold very many products."""
+    lookup = kind_table.select("kind", "keys", "n_rows")
+    return attach(listed.drop("keys"), lookup, "kind", F.col("product_id"), hot_rows=hot_rows)
+
+
+def placed_at(table: DataFrame, level: int) -> DataFrame:
+    """Rows that hold a key of the level, with their unit: the kind reduced to it.
+
+    The unit follows from the row itself, so nothing is joined.
+    """
+    cut = table.withColumns(_at(level)).withColumn("n_tags", _n_tags(F.col("keys.key")))
+    unit = F.sha2(F.to_json(F.struct("category", "kept", "n_tags")), 256)
+    return cut.filter(F.size("meet") > 0).withColumn("unit", unit)
 
 
 def _at(level: int, keys: str = "keys") -> dict[str, Column]:
@@ -129,25 +146,20 @@ def kind_score() -> Column:
 
 def _tiers(
     kind_table: DataFrame, wanted: DataFrame, levels: list[int]
-) -> list[tuple[DataFrame, DataFrame]]:
-    """(members, pairs) per level: the unit of each kind, and which units compare.
+) -> list[tuple[int, DataFrame]]:
+    """(level, pairs) per level: which units compare, and how alike they are.
 
     Only units of ``wanted`` kinds ask. A pair ``counts`` at the highest level it
     shares a key on, so that every two kinds count once.
     """
     asked = kind_table.join(wanted.select("kind").distinct(), "kind", "left_semi")
-    n_tags = _n_tags(F.col("keys.key")).alias("n_tags")
     tiers = []
     for level in levels:
 
         def units(table: DataFrame) -> DataFrame:
-            cut = table.select("kind", "category", n_tags, "keys").withColumns(_at(level))
-            unit = F.sha2(F.to_json(F.struct("category", "kept", "n_tags")), 256)
             tags = F.filter("kept", lambda key: key.startswith("t:"))
             sub = F.get(F.filter("kept", lambda key: key.startswith("s:")), F.lit(0))
-            return cut.filter(F.size("meet") > 0).withColumns(
-                {"unit": unit, "tags": tags, "sub": sub}
-            )
+            return placed_at(table, level).withColumns({"tags": tags, "sub": sub})
 
         columns = ["unit", "category", "n_tags", "tags", "sub", "meet", "above"]
         pairs = overlapping(
@@ -160,7 +172,7 @@ def _tiers(
             kind_score().alias("kind_score"),
             (~F.arrays_overlap("a_above", "b_above")).alias("counts"),
         )
-        tiers.append((units(kind_table).select("kind", "unit"), written(pairs, "pairs")))
+        tiers.append((level, written(pairs, "pairs")))
     return tiers
 
 
@@ -172,12 +184,12 @@ def _in_scopes(listed: DataFrame) -> DataFrame:
     return listed.withColumn("all_stock", F.explode(scopes))
 
 
-def _shelves(scoped: DataFrame, members: DataFrame) -> DataFrame:
+def _shelves(scoped: DataFrame, level: int) -> DataFrame:
     """One row per (scope, unit, price): its leading products, and how many there are.
 
     ``best`` holds one product per group of copies, most popular first.
     """
-    located = scoped.join(members, "kind")
+    located = placed_at(scoped, level)
     shelf = ["all_stock", "unit", "price_eur"]
     leader = F.struct((-F.col("popularity")).alias("minus_popularity"), "product_id", "own")
     per_own = located.groupBy(*shelf, "own").agg(F.min(leader).alias("leader"))
@@ -224,7 +236,7 @@ NO_BOUND = float("inf")
 
 
 def _tier_candidates(
-    scoped: DataFrame, members: DataFrame, pairs: DataFrame, classes: DataFrame
+    scoped: DataFrame, level: int, pairs: DataFrame, classes: DataFrame
 ) -> DataFrame:
     """The leading products for every class of targets, within one tier.
 
@@ -232,7 +244,7 @@ def _tier_candidates(
     copies are their own.
     """
     shelf_unit = ["all_stock", "unit"]
-    shelves = written(_shelves(scoped, members), "shelves")
+    shelves = written(_shelves(scoped, level), "shelves")
     # Units that can still reach the page, by how many products surely beat them.
     scopes = classes.select("a_unit", "all_stock", "bound").distinct()
     reach = scopes.join(pairs.select("a_unit", "b_unit", "kind_score"), "a_unit").withColumnRenamed(
@@ -325,16 +337,12 @@ def as_similar(requests: DataFrame) -> DataFrame:
     )
 
 
-def located_targets(
-    listed: DataFrame, kind_table: DataFrame, questions: DataFrame
-) -> DataFrame:
+def located_targets(listed: DataFrame, questions: DataFrame) -> DataFrame:
     """Add kind, group and price of each target. Many may ask for one product."""
     wanted = questions.groupBy("product_id").agg(F.count("*").alias("n_rows"))
-    facts = (
-        listed.select("product_id", "kind", "own", F.col("price_eur").alias("price"))
-        .join(wanted, "product_id")
-        .join(kind_table.select("kind", "keys"), "kind")
-    )
+    facts = listed.select(
+        "product_id", "kind", "category", "keys", "own", F.col("price_eur").alias("price")
+    ).join(wanted, "product_id")
     return attach(questions, facts, "product_id", F.col("request_id"))
 
 
@@ -352,29 +360,30 @@ def similar(
     listed = listings(products)
     kind_table = written(kinds(listed, level_kinds), "kinds")
     levels = _levels(kind_table)
-    targets = written(located_targets(listed, kind_table, questions), "targets")
+    listed = written(with_levels(listed, kind_table, hot_rows), "listings")
+    targets = written(located_targets(listed, questions), "targets")
     known = targets.filter("kind IS NOT NULL")
     tiers = _tiers(kind_table, known, levels)
     scoped = _in_scopes(listed)
     ranked = _rank(scoped, tiers, known, hot_rows)
-    totals = _totals(scoped, kind_table, known, levels, hot_rows)
+    totals = _totals(scoped, known, levels, hot_rows)
     return ranked, totals, targets
 
 
 def _rank(
     scoped: DataFrame,
-    tiers: list[tuple[DataFrame, DataFrame]],
+    tiers: list[tuple[int, DataFrame]],
     targets: DataFrame,
     hot_rows: int,
 ) -> DataFrame:
     parts = []
-    for members, pairs in tiers:
-        placed = targets.join(members, "kind")
+    for level, pairs in tiers:
+        placed = placed_at(targets, level)
         alike = ["unit", "all_stock", "price", "bound"]
         classes = placed.groupBy(*alike).agg(F.count("*").alias("n_rows"))
         class_id = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string") for c in alike])), 256)
         named = classes.withColumn("class_id", class_id).withColumnRenamed("unit", "a_unit")
-        top = _top_per_class(_tier_candidates(scoped, members, pairs, named.drop("n_rows")))
+        top = _top_per_class(_tier_candidates(scoped, level, pairs, named.drop("n_rows")))
         answered = top.join(named.select("class_id", "n_rows"), "class_id")
         parts.append(
             attach(
@@ -404,7 +413,6 @@ def _rank(
 
 def _totals(
     scoped: DataFrame,
-    kind_table: DataFrame,
     targets: DataFrame,
     levels: list[int],
     hot_rows: int,
@@ -414,9 +422,8 @@ def _totals(
     A group of copies compares when any key of any copy does, so a group is its set
     of keys, and groups with equal sets and price are counted together.
     """
-    keyed = scoped.join(kind_table.select("kind", F.col("keys").alias("leveled")), "kind")
     per_own = written(
-        keyed.select("all_stock", "own", "price_eur", F.explode("leveled").alias("key"))
+        scoped.select("all_stock", "own", "price_eur", F.explode("keys").alias("key"))
         .groupBy("all_stock", "own", "price_eur")
         .agg(F.array_sort(F.collect_set("key")).alias("keys")),
         "key_sets",
@@ -499,19 +506,20 @@ def fallbacks(
     """
     listed = listings(products)
     kind_table = written(kinds(listed, level_kinds), "kinds")
+    listed = written(with_levels(listed, kind_table, HOT_ROWS), "listings")
     empty = targets.join(totals.filter("total_matches > 0"), "request_id", "left_anti")
     known = empty.filter("kind IS NOT NULL")
     met = []
-    for members, pairs in _tiers(kind_table, known, _levels(kind_table)):
-        asked = known.select("request_id", "kind", "own", "bound", "all_stock").join(
-            members.withColumnRenamed("unit", "a_unit"), "kind"
+    for level, pairs in _tiers(kind_table, known, _levels(kind_table)):
+        asked = placed_at(known, level).select(
+            "request_id", "own", "bound", "all_stock", F.col("unit").alias("a_unit")
         )
         counted = pairs.filter("counts").select("a_unit", F.col("b_unit").alias("unit"))
-        met.append((members, asked.join(counted, "a_unit").drop("kind")))
+        met.append((level, asked.join(counted, "a_unit")))
     sold_out, numbers, nearest = [], [], []
     product = F.struct((-F.col("popularity")).alias("minus_popularity"), "_ord", "product_id", "own")
-    for members, pairs in met:
-        gone = listed.filter("NOT buyable").join(members, "kind")
+    for level, pairs in met:
+        gone = placed_at(listed.filter("NOT buyable"), level)
         # Own copies never show; two rows per group leave two others on the shelf.
         in_group = Window.partitionBy("unit", "price_eur", "own").orderBy(product)
         on_shelf = Window.partitionBy("unit", "price_eur").orderBy(product)
@@ -536,7 +544,7 @@ def fallbacks(
             pairs.join(per_own, ["unit", "own"]).filter(affordable).select("request_id", "n")
         )
         cheap = F.struct("price_eur", "_ord", "product_id", "own")
-        for_sale = _in_scopes(listed).join(members, "kind")
+        for_sale = placed_at(_in_scopes(listed), level)
         by_group = for_sale.groupBy("all_stock", "unit", "price_eur", "own").agg(
             F.min(cheap).alias("cheap")
         )
