@@ -26,28 +26,49 @@ def local_session(cores: int | str = "*", name: str = "shelfspark") -> SparkSess
     return spark
 
 
+_local_folder: str | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of this machine.
     """
+    global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), f"shelfspark-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="shelfspark-")
+    return _local_folder
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it names it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it goes when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a table to the shared folder and reading it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned and nothing reads any more."""
+    system, place = _file_system(table.sparkSession, table.written_to)
+    system.delete(place, True)
