@@ -26,13 +26,22 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault(name, types.ModuleType(name)))
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast where a count shows that it is small enough."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return F.broadcast(ids)
+    return ids
+
+
 def without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
-    """Rows whose key isn't in ``removed`` (one column of that name; a null key stays).
+    """Rows whose key isn't in ``removed``, which has that column (a null key stays).
 
     Removed keys are counted first: a bounded number is broadcast, so rows are not
     shuffled; more of them meet the rows in a shuffled join.
     """
-    removed = removed.select(key)
-    if removed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        removed = F.broadcast(removed)
-    return rows.join(removed, key, "left_anti").select(*rows.columns)
+    return rows.join(_bounded(removed.select(key)), key, "left_anti").select(*rows.columns)
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``ids``; broadcast or shuffled as in ``without``."""
+    return rows.join(_bounded(ids.select(key)), key, "left_semi").select(*rows.columns)

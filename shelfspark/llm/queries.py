@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import exact_dedup, packing, simhash
+from shelfspark.llm import exact_dedup, hmm, langid, mixing, neighbours, packing, quality, simhash
 from shelfspark.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,40 @@ FROM t WINDOW w AS (PARTITION BY x)
 @query
 def op10_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
+
+
+#: Shares of tokens: nearly all good text, a little of the rest.
+MIXTURE = {"good": 0.96, "low": 0.02, "toxic": 0.02}
+
+
+@query
+def op8_quality_classifier(spark, sf_dir):
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_source_mixing(spark, sf_dir):
+    return mixing.mixing_rates(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIXTURE
+    )
+
+
+@query
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold("doc_id", 4) == 2
+    automata = langid.learnt(docs.filter(~held_out))
+    found = langid.identified(docs, automata).drop("n_symbols")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_nearest_neighbours(spark, sf_dir):
+    rows = neighbours.valid_vectors(table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
+@query
+def op6_hmm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return hmm.scored(docs, langid.fold("doc_id", 10) == 0)
