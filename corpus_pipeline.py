@@ -4,13 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from shelfspark.llm import exact_dedup, mixing, packing, quality, simhash
+from shelfspark.session import written
+
+#: Shares of tokens by domain. Documents are drawn once at most, as copies went before.
+MIXTURE = {"good": 0.96, "low": 0.02, "toxic": 0.02}
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model of trusted text doesn't reject."""
+    return quality.good_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    return simhash.near_dedup(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that the tokens of the domains meet their weights."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.mixed(docs, labels, MIXTURE, max_rate=1.0)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of a document lies in the training sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("source_mixing", mixture),
+    ("best_fit_packing", packed),
+]
+
+#: SQL has no n-gram model, fingerprints or tokenizer; tests hold the stages against plain versions.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``; each reads what the one before has written."""
-    from shelfspark.session import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
