@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import exact_dedup, hmm, langid, mixing, neighbours, packing, quality, simhash
+from shelfspark.llm import exact_dedup, hmm, langid, mixing, neighbours, packing, quality, rollups
+from shelfspark.llm import simhash, substrings
 from shelfspark.llm.common import table
+from shelfspark.session import new_path, written
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -84,3 +86,38 @@ def op5_nearest_neighbours(spark, sf_dir):
 def op6_hmm_scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return hmm.scored(docs, langid.fold("doc_id", 10) == 0)
+
+
+@query
+def op2_token_counts(spark, sf_dir):
+    """Loads all documents under two tokenizers, adds end tokens to one, takes low quality out, replays."""
+    tokenizers = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
+    counts = written(rollups.token_counts(table(spark, sf_dir, "documents"), tokenizers), "token_counts")
+
+    def changes(k: int, old, new, rows=counts) -> DataFrame:
+        return rows.select(
+            "source",
+            "lang",
+            F.lit(tokenizers[k].partition(".")[0]).alias("tokenizer"),
+            F.lit(old).cast("long").alias("old_tokens"),
+            F.lit(new).cast("long").alias("new_tokens"),
+        )
+
+    root = new_path(spark, "rollup")
+    n = [F.col("n_0"), F.col("n_1")]
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
+    gone = counts.join(low, "doc_id", "left_semi")
+    batches = {
+        "load-0": changes(0, None, n[0]),
+        "load-1": changes(1, None, n[1]),
+        "end-token": changes(0, n[0], n[0] + 1),
+        "low-quality": changes(0, n[0] + 1, None, gone).unionByName(changes(1, n[1], None, gone)),
+    }
+    for batch in [*batches, "load-0", "low-quality"]:
+        rollups.commit(batches[batch], root, batch)
+    return rollups.totals(spark, root)
+
+
+@query
+def op4_substring_dedup(spark, sf_dir):
+    return substrings.repeats(table(spark, sf_dir, "documents"))
