@@ -21,10 +21,10 @@ from shelfspark.llm.components import components
 from shelfspark.session import dropped, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Shingles in a window of anchors: two whole windows fit in 50 words.
-ANCHOR_WINDOW = 23
+#: Shingles in a window of anchors. Of 50 repeated words the first and last anchor are 16 apart or more.
+ANCHOR_WINDOW = 15
 #: Lines of fewer words are in pieces only; repeats of fewer words in a row are left alone.
-LINE_WORDS, REPEAT_WORDS = 20, 20
+LINE_WORDS, REPEAT_WORDS = 20, 16
 #: At least this share of pairs at the similarity shares a band, with so many bands at most.
 RECALL, MOST_BANDS = 0.995, 8
 #: Classes compared in one go; larger bands are compared block by block.
@@ -129,14 +129,14 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
         members.select("id")
         .distinct()
         .join(classes, "id")
-        .groupBy(F.col("head.doc_id").alias("_id"))
+        .groupBy(F.col("head.doc_id").alias("_of"))
         .agg(F.collect_list(F.struct("id", "head.start", "head.stop", "h1", "h2")).alias("_wanted"))
     )
     wanted = written(wanted, "wanted")
     if wanted.limit(BROADCAST_IDS // 16 + 1).count() <= BROADCAST_IDS // 16:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    texts = texts.filter("text IS NOT NULL").join(wanted, F.col("_id").eqNullSafe(wanted["_id"])).select("text", "_wanted")
+    texts = texts.filter("text IS NOT NULL").join(wanted, F.col("_id").eqNullSafe(F.col("_of"))).select("text", "_wanted")
     sets = written(
         texts.mapInArrow(_shingle_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets"
     )
