@@ -151,6 +151,9 @@ SELECT l_orderkey, l_linenumber, {views.MONEY_TEXT} AS raw,
     -- Two dots are thousands separators; three more digits exceed the cap.
     WHEN l_suppkey % 50 = 9 THEN CASE WHEN {_EUROS} < 100
       THEN CAST('1000' || CAST({_EUROS} AS STRING) AS DOUBLE) END
+    -- A comma with nothing or one digit and a comma after it separates thousands.
+    WHEN l_suppkey % 50 = 11 THEN CAST({_EUROS} AS DOUBLE)
+    WHEN l_suppkey % 50 = 12 THEN {_EUROS} * 10 + 5.0E0
     -- The currency pattern takes `eur` and leaves `os`.
     WHEN l_linenumber = 5 THEN NULL
     ELSE {_CENTS} / 100.0E0 END AS amount
@@ -307,13 +310,13 @@ ORACLES["f12_soft_issues"] = _ISSUE_ROWS
 _COLOR = f"({_RAW['color']})"
 ORACLES["f16_translate_color"] = f"""
 SELECT {K} AS _ord, {_COLOR} AS color,
-  nullif(coalesce({whens(_COLOR, spanish.glossary(spanish.COLOURS))}, {_COLOR}), '') AS color_es
+  nullif(coalesce({whens(_COLOR, spanish.COLOURS)}, {_COLOR}), '') AS color_es
 FROM part"""
 ORACLES["f17_translate_material"] = f"""
 SELECT {K} AS _ord, {_RAW['material']} AS material,
   CASE {K} % 4 WHEN 0 THEN 'Acero, roble' WHEN 1 THEN 'Moon dust, algodón' WHEN 2 THEN 'Vidrio' END
   AS material_es FROM part"""
-_SHELVES = spanish.glossary(spanish.SHELF_TERMS)
+_SHELVES = spanish.SHELF_TERMS
 ORACLES["f18_search_terms"] = f"""
 SELECT p_partkey, {views.SHELF_TEXT} AS category, {views.SUBSHELF_TEXT} AS subcategory,
   concat_ws(' ', {whens(f'lower({views.SHELF_TEXT})', _SHELVES)},
@@ -357,8 +360,7 @@ sales AS (SELECT l_partkey AS part_key, floor(avg(l_quantity) + 0.5) / 10.0E0 AS
   count(*) AS reviews_count FROM lineitem GROUP BY 1),
 buyers AS (
   SELECT l_partkey AS part_key, lower(o_orderpriority) AS occasion, lower(c_mktsegment) AS segment
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE l_linenumber = 1),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 suits AS (SELECT part_key, list_sort(list(DISTINCT occasion)) AS occasions FROM buyers GROUP BY 1),
 segments AS (
   SELECT part_key, segment FROM buyers GROUP BY 1, 2
@@ -525,7 +527,7 @@ _DESCRIPTION = (
     f"CASE WHEN {K} % 67 = 0 THEN NULL WHEN {K} % 71 = 0 OR {K} % 73 = 0 THEN 'Good ' || p_name "
     f"ELSE 'A ' || p_name || ' by ' || p_brand || '. Fits & lasts.' END"
 )
-_COLOR_ES = f"coalesce({whens(_COLOR, spanish.glossary(spanish.COLOURS))}, {_COLOR})"
+_COLOR_ES = f"coalesce({whens(_COLOR, spanish.COLOURS)}, {_COLOR})"
 _MATERIAL_ES = (
     f"CASE {K} % 4 WHEN 0 THEN 'Acero, roble' WHEN 1 THEN 'Moon dust, algodón' WHEN 2 THEN 'Vidrio' END"
 )

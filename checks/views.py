@@ -67,8 +67,7 @@ def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("reviews_count"),
     )
     buyers = (
-        lines.filter("l_linenumber = 1")
-        .select("l_partkey", "l_orderkey")
+        lines.select("l_partkey", "l_orderkey")
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("l_partkey", F.lower("o_orderpriority").alias("occasion"),
@@ -241,6 +240,8 @@ MONEY_TEXT = (
     f"CASE WHEN l_suppkey % 50 = 7 THEN 'banana' WHEN l_suppkey % 50 = 8 THEN '-' || "
     f"CAST({_EUROS} AS STRING) WHEN l_suppkey % 50 = 9 THEN '1.000.' || {_thousands('.')} "
     f"WHEN l_suppkey % 50 = 10 THEN '' "
+    f"WHEN l_suppkey % 50 = 11 THEN CAST({_EUROS} AS STRING) || ',,' "
+    f"WHEN l_suppkey % 50 = 12 THEN CAST({_EUROS} AS STRING) || ',5,' "
     f"WHEN l_linenumber = 1 THEN CAST({_EUROS} AS STRING) || '.' || {_REST} "
     f"WHEN l_linenumber = 2 THEN '€' || {_thousands('.')} || ',' || {_REST} "
     f"WHEN l_linenumber = 3 THEN {_thousands(',')} || '.' || {_REST} "

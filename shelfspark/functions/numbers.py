@@ -64,7 +64,7 @@ def _one_decimal_point(text: Column) -> Column:
     """Drop thousands separators; the last separator kind is the decimal one."""
     last_comma = F.contains(text, F.lit(",")) & ~text.rlike(r",[^,]*\.[^,]*$")
     has_dot = F.contains(text, F.lit("."))
-    decimal_comma = has_dot | text.rlike(r",.{1,2}$")
+    decimal_comma = has_dot | text.rlike(r",[^,]{1,2}$")
     return (
         F.when(last_comma & decimal_comma, F.translate(text, ",.", "."))
         .when(F.contains(text, F.lit(",")), F.replace(text, F.lit(","), F.lit("")))

@@ -12,7 +12,8 @@ kind: category, subcategory and tags. So kinds are compared, not products:
    and id, so a shelf keeps its first few. A kind has no more shelves than there
    are prices.
 3. Price closeness falls off on both sides of the target's price, so the nearest
-   shelves on either side hold every possible winner.
+   shelves on either side hold every possible winner. Only at a price of nothing are
+   all prices from one on equally far; their most popular products are taken as well.
 4. Kinds that cannot reach the page (enough better ones exist) are left out.
 
 Nothing is sampled: these bounds only drop what provably ranks too low.
@@ -292,6 +293,29 @@ def _tier_candidates(
     )
     highest = F.greatest("candidate_price", "price", F.lit(1.0))
     closeness = 1.0 - F.abs(F.col("candidate_price") - F.col("price")) / highest
+    ranked = F.struct((-F.col("score")).alias("minus_score"), "minus_popularity", "product_id")
+    free = classes.filter("price = 0").join(reachable, ["a_unit", "all_stock", "bound"])
+    leader = F.struct("minus_popularity", "product_id", "own")
+    popular = (
+        free.select(*shelf_unit, "bound")
+        .distinct()
+        .join(shelves.filter("price_eur >= 1"), shelf_unit)
+        .filter(F.col("price_eur") <= F.col("bound"))
+        .select(*shelf_unit, "bound", F.inline("best"))
+        .groupBy(*shelf_unit, "bound", "own")
+        .agg(F.min(leader).alias("leader"))
+        .withColumn(
+            "nth",
+            F.row_number().over(Window.partitionBy(*shelf_unit, "bound").orderBy("leader")),
+        )
+        .filter(F.col("nth") <= KEEP)
+        .select(*shelf_unit, "bound", "leader.*")
+    )
+    equally_far = (
+        free.join(popular, [*shelf_unit, "bound"])
+        .withColumn("score", F.col("kind_score"))
+        .select("class_id", "own", ranked.alias("ranked"))
+    )
     return (
         asking.join(near, [*shelf_unit, "at"])
         .select(
@@ -304,13 +328,8 @@ def _tier_candidates(
         .filter(F.col("candidate_price") <= F.col("bound"))
         .withColumn("score", F.col("kind_score") + fixed.SIMILAR_PRICE * closeness)
         .select("class_id", "score", F.inline("best"))
-        .select(
-            "class_id",
-            "own",
-            F.struct(
-                (-F.col("score")).alias("minus_score"), "minus_popularity", "product_id"
-            ).alias("ranked"),
-        )
+        .select("class_id", "own", ranked.alias("ranked"))
+        .unionByName(equally_far)
     )
 
 

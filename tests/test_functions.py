@@ -28,7 +28,7 @@ def test_money(evaluate):
         "42.00": 42.0, "  42  ": 42.0, "€1.234,56": 1234.56, "1,234.56": 1234.56, "EUR 89": 89.0,
         "6,5": 6.5, "banana": None, "": None, "-5.00": None, "99999999999": None,
         "1.234.567": None, "1,234": 1234.0, "+7": 7.0, "inf": None, "1f": None, "2.675": 2.67,
-        "1.000.5": 10005.0, "1e3": 1000.0, "1_0": 10.0,
+        "1.000.5": 10005.0, "1e3": 1000.0, "1_0": 10.0, "12,,": 12.0, "1,2,": 12.0, "12,5,": 125.0,
     })
 
 
@@ -60,23 +60,36 @@ def test_split_multi(evaluate):
     })
 
 
-def plain_truncate(value, limit):
-    if len(value) <= limit:
-        return value, False
-    window = value[:limit]
-    end = max(window.rfind(mark) for mark in (". ", "! ", "? "))
-    if end >= limit // 3:
-        return window[: end + 1].strip(), True
-    space = window.rfind(" ")
-    return (window[:space] if space > 0 else window).rstrip(" ,;:-") + "…", True
-
-
 def test_truncate(evaluate):
+    """Limit 30: whole texts, a cut after a sentence in the last two thirds, else after a word."""
+    cases = {
+        "short": ("short", False),
+        "exactly thirty characters long": ("exactly thirty characters long", False),
+        "One sentence here. Another one that is long": ("One sentence here.", True),
+        "Is it so? Well. Then it goes on and on": ("Is it so? Well.", True),
+        "A. Then only words that follow each other": ("A. Then only words that…", True),
+        "words, words, words and then, some, more": ("words, words, words and then…", True),
+        "a" * 50: ("a" * 30 + "…", True),
+    }
+    got = evaluate(text.truncate(F.col("x"), 30), list(cases))
+    assert [(g.text, g.cut) for g in got] == list(cases.values())
+
+
+def test_truncate_keeps_a_prefix_that_ends_at_a_boundary(evaluate):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("ab é.!?,;- ") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
-    texts = [" ".join(t.split()) for t in texts] + ["a" * 50]
-    got = evaluate(text.truncate(F.col("x"), 30), texts)
-    assert [(g.text, g.cut) for g in got] == [plain_truncate(t, 30) for t in texts]
+    texts = [" ".join(t.split()) for t in texts]
+    for value, got in zip(texts, evaluate(text.truncate(F.col("x"), 30), texts)):
+        assert got.cut == (len(value) > 30)
+        kept = got.text.removesuffix("…") if got.cut else got.text
+        assert value.startswith(kept) and len(kept) <= 30
+        if not got.cut:
+            assert kept == value
+        elif not got.text.endswith("…"):
+            assert kept[-1] in ".!?" and value[len(kept)] == " " and len(kept) > 10
+        elif " " in value[1:30]:
+            # Cut at a space, whatever punctuation stood before it.
+            assert value[len(kept) :].lstrip(",;:-")[:1] in (" ", "")
 
 
 def test_slug_id_and_category_key(evaluate):

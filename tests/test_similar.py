@@ -22,7 +22,7 @@ def rows():
         made.append({
             "product_id": f"P{i:03d}", "_ord": i, "category": rnd.choice("XYZ"),
             "subcategory": rnd.choice([None, "s1", "s2", "s3"]), "tags": tags,
-            "price_eur": float(rnd.choice([0, 5, 10, 20, 50, 51, 99, 250])),
+            "price_eur": float(rnd.choice([0, 0, 0, 0, 0, 0.5, *range(3, 90, 3), 51, 250])),
             "stock_level": rnd.choice(["in_stock", "low", "unknown", "out_of_stock"]),
             "popularity": float(rnd.choice([0, 1, 2, 4.5])), "duplicate_group_id": None,
         })
