@@ -124,10 +124,10 @@ def _level(rows: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
     of = rows.groupBy("lang").agg(
         *[F.sum((F.col("n") == k).cast("double")).alias(f"t{k}") for k in (1, 2, 3, 4)]
     )
-    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+    y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
 
     def discount(k: int) -> Column:
-        usual = k - (k + 1) * y * F.col(f"t{k + 1}") / F.col(f"t{k}")
+        usual = k - (k + 1) * y * F.try_divide(F.col(f"t{k + 1}"), F.col(f"t{k}"))
         fine = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col(f"t{k}") > 0)
         return F.when(fine & usual.between(0.05, k), usual).otherwise(k - 0.5).alias(f"d{k}")
 
