@@ -1,9 +1,11 @@
 """Batch search: all requests against all products in one job.
 
-Requests that ask the same thing are one question. A question meets a product
-through an equal key (a search term, or for a question without words its
-category, occasion or recipient), so the work grows with the matches. Matches are
-written once; counts, fallbacks and the ranked page are read from them.
+Requests that ask the same thing are one question, and questions with the same words
+and attribute filters one scope. A scope meets products through an equal key (a search
+term of the index, or without words its category, occasion or recipient); its matches
+are written once. A question's counts, fallbacks and page are made from the
+matches of its scope: counts are summed, and pages cut to their length, before
+anything is shuffled by question.
 """
 
 from __future__ import annotations
@@ -15,17 +17,14 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import fixed
 from shelfspark.functions.text import nfkc, stems, tokens
-from shelfspark.operators.index import with_entries
-from shelfspark.operators.skew import fits_broadcast
+from shelfspark.operators.index import term_index, with_terms
 from shelfspark.session import written
 
-# Question terms up to this many rows are broadcast (some 100 bytes each).
-BROADCAST_TERMS = 500_000
-
 PARAMETERS = [
     "words", "category", "occasion", "recipient", "max_price", "min_price",
     "include_out_of_stock", "sort", "limit", "offset",
 ]
+SCOPE = PARAMETERS[:4]
 
 
 def clamp(limit: Column, bounds: tuple[int, int]) -> Column:
@@ -75,16 +74,25 @@ def distinct_questions(normalised: DataFrame) -> DataFrame:
     )
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """The keys by which a question meets products.
+def scope_id() -> Column:
+    """Equal for questions with the same words and attribute filters.
 
-    Words and their stems; a question without words uses its narrowest filter.
+    Prices, stock, order and page don't change what a question is matched with, so
+    all questions of a scope share its matches.
+    """
+    return F.sha2(F.to_json(F.struct(*SCOPE)), 256)
+
+
+def scopes(questions: DataFrame) -> DataFrame:
+    """The distinct scopes, with the keys by which they meet products.
+
+    Words and their stems; a scope without words uses its narrowest filter.
     """
 
     def key(kind: str, term: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), term.alias("term"))
 
-    scope = (
+    filters = (
         F.when(F.col("category").isNotNull(), key("category", F.col("category")))
         .when(F.col("occasion").isNotNull(), key("occasion", F.col("occasion")))
         .when(F.col("recipient").isNotNull(), key("recipient", F.col("recipient")))
@@ -94,29 +102,18 @@ def question_terms(questions: DataFrame) -> DataFrame:
         F.transform("words", lambda word: key("token", word)),
         F.transform(stems(F.col("words")), lambda word: key("stem", word)),
     )
-    keys = F.when(F.size("words") > 0, words).otherwise(F.array(scope))
-    return questions.select(
-        "question_id",
-        *[F.col(name).alias(f"q_{name}") for name in PARAMETERS[1:8]],
-        F.inline(keys),
+    return questions.select(*SCOPE).distinct().select(
+        scope_id().alias("scope_id"),
+        *[F.col(name).alias(f"q_{name}") for name in SCOPE[1:]],
+        (F.size("words") > 0).alias("worded"),
+        F.when(F.size("words") > 0, words).otherwise(F.array(filters)).alias("keys"),
     )
 
 
-def product_keys(products: DataFrame) -> DataFrame:
-    """Products as search sees them, one row per key, with no shuffle."""
-
-    def scope(kind: str, term: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), term.alias("term"), F.lit(0.0).alias("weight"))
-
-    scopes = F.concat(
-        F.array(
-            scope("category", F.col("category")),
-            scope("recipient", F.col("recipient")),
-            scope("all", F.lit("")),
-        ),
-        F.transform("occasions", lambda occasion: scope("occasion", occasion)),
-    )
-    return with_entries(products).select(
+def _facts(products: DataFrame) -> DataFrame:
+    """What filters, scores and orders look at."""
+    termed = products if "popularity" in products.columns else with_terms(products)
+    return termed.select(
         "product_id",
         "duplicate_group_id",
         "category",
@@ -128,26 +125,53 @@ def product_keys(products: DataFrame) -> DataFrame:
         "reviews_count",
         "popularity",
         "_ord",
-        F.inline(F.concat("entries", scopes)),
     )
 
 
-def _meet(products: DataFrame, terms: DataFrame, broadcast_terms: int) -> DataFrame:
-    """Join product keys and question terms without gathering a hot term.
+def scope_matches(
+    products: DataFrame, questions: DataFrame, index: DataFrame | None = None
+) -> DataFrame:
+    """Every (scope, product) that passes the attribute filters and shares a word, if any is given.
 
-    Few terms are broadcast. Otherwise products are dealt into shards and every
-    shard gets all terms: a term that a third of all products hold is then spread
-    over all shards.
+    ``index`` is the stored term index of ``products``; without one it is made. Terms
+    meet it by equality, and only narrow rows (scope, product, weight) are shuffled; a
+    term that very many products hold is left to the skew handling of the join.
+    Scopes without words meet the products of their filter directly.
     """
-    keys = product_keys(products)
-    if fits_broadcast(terms, broadcast_terms):
-        return keys.join(F.broadcast(terms), ["kind", "term"])
-    n = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.xxhash64("product_id"), F.lit(n))
-    shards = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    return keys.withColumn("shard", shard).join(
-        terms.withColumn("shard", shards), ["shard", "kind", "term"]
-    ).drop("shard")
+    asked = scopes(questions)
+    facts = _facts(products)
+    index = term_index(products) if index is None else index
+    terms = asked.filter("worded").select("scope_id", F.inline("keys"))
+    worded = (
+        terms.join(index.select("product_id", "kind", "term", "weight"), ["kind", "term"])
+        .groupBy("scope_id", "product_id")
+        .agg(F.sum("weight").alias("text_score"))
+        .join(facts, "product_id")
+        .join(asked.drop("keys", "worded"), "scope_id")
+    )
+
+    def place(kind: str, term: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), term.alias("term"))
+
+    places = F.concat(
+        F.array(
+            place("category", F.col("category")),
+            place("recipient", F.col("recipient")),
+            place("all", F.lit("")),
+        ),
+        F.transform(F.array_distinct("occasions"), lambda occasion: place("occasion", occasion)),
+    )
+    wordless = (
+        facts.select("*", F.inline(places))
+        .join(asked.filter("NOT worded").select("*", F.inline("keys")).drop("keys", "worded"), ["kind", "term"])
+        .drop("kind", "term")
+        .withColumn("text_score", F.lit(0.0))
+    )
+    return worded.unionByName(wordless).filter(
+        (~_given("q_category") | (F.col("q_category") == F.col("category")))
+        & (~_given("q_occasion") | F.array_contains("occasions", F.col("q_occasion")))
+        & (~_given("q_recipient") | (F.col("q_recipient") == F.col("recipient")))
+    ).drop("category", "occasions", "recipient", "q_category")
 
 
 def _given(column: str) -> Column:
@@ -155,24 +179,19 @@ def _given(column: str) -> Column:
 
 
 def matches(
-    products: DataFrame, questions: DataFrame, broadcast_terms: int = BROADCAST_TERMS
+    products: DataFrame, questions: DataFrame, index: DataFrame | None = None
 ) -> DataFrame:
     """Every (question, product) that passes the attribute filters, scored.
 
-    Attribute filters (category, occasion, recipient, words) ride in the join. The
-    terms of one product sit in one row, so the sum of their weights is complete
-    before the shuffle.
+    Only the matches of scopes are written; those of questions are made from them
+    when they are counted or ranked, and never stored.
     """
-    met = _meet(products, question_terms(questions), broadcast_terms).filter(
-        (~_given("q_category") | (F.col("q_category") == F.col("category")))
-        & (~_given("q_occasion") | F.array_contains("occasions", F.col("q_occasion")))
-        & (~_given("q_recipient") | (F.col("q_recipient") == F.col("recipient")))
+    met = written(scope_matches(products, questions, index), "scope_matches")
+    asking = questions.select(
+        "question_id",
+        scope_id().alias("scope_id"),
+        *[F.col(name).alias(f"q_{name}") for name in PARAMETERS[4:8]],
     )
-    scored = met.groupBy(
-        "question_id", "q_occasion", "q_recipient", "q_max_price", "q_min_price",
-        "q_include_out_of_stock", "q_sort", "product_id", "duplicate_group_id",
-        "price_eur", "stock_level", "rating", "reviews_count", "popularity", "_ord",
-    ).agg(F.sum("weight").alias("text_score"))
     top = products.agg(F.max("popularity").alias("max_popularity"))
     buyable = F.col("stock_level").isin(fixed.RECOMMENDABLE) | F.col("q_include_out_of_stock")
     in_price = (~_given("q_max_price") | (F.col("price_eur") <= F.col("q_max_price"))) & (
@@ -180,7 +199,8 @@ def matches(
     )
     first, second = _order(F.col("q_sort"), F.col("score"))
     return (
-        scored.crossJoin(F.broadcast(top))  # one row
+        met.join(asking, "scope_id")
+        .crossJoin(F.broadcast(top))  # one row
         .withColumns({"score": score(), "buyable": buyable, "in_price": in_price})
         .select(
             "question_id", "product_id", "duplicate_group_id", "price_eur", "popularity",
@@ -313,14 +333,14 @@ def answer_questions(
     products: DataFrame,
     questions: DataFrame,
     most: int,
-    broadcast_terms: int = BROADCAST_TERMS,
+    index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(envelopes, mentions) for distinct questions.
 
     Envelopes hold one row per question: counts, reason, total. Mentions name every
     product a response shows, with its role (result, sold_out, nearest) and rank.
     """
-    matched = written(matches(products, questions, broadcast_terms), "matches")
+    matched = matches(products, questions, index)
     collapsed = collapse_duplicates(matched.filter("available"))
     totals = collapsed.groupBy("question_id").agg(F.count("*").alias("total_matches"))
     counts = stage_counts(matched)

@@ -49,8 +49,3 @@ def attach(
     return salted_rows.join(salted_lookup.drop(n_rows), [key, "_salt"], "left").drop(
         "_salt", "_hot"
     )
-
-
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows

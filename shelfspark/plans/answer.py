@@ -132,7 +132,7 @@ def _answer_list(
     op: str,
     base_url: str | None,
     max_bytes: int,
-    broadcast_terms: int,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     dimension = category_dimension(products)
     known_rows, unknown_rows = resolved_requests(products, requests, op == "browse")
@@ -143,7 +143,7 @@ def _answer_list(
     normal = with_ask(normalise(known_rows))
     questions = written(with_ask(find.distinct_questions(normal)), "questions")
     envelopes, mentions = find.answer_questions(
-        products, questions, find.furthest_rank(questions), broadcast_terms
+        products, questions, find.furthest_rank(questions), index
     )
     answers = (
         envelopes.drop("nearest")
@@ -227,14 +227,15 @@ def search_products(
     requests: DataFrame,
     base_url: str | None = None,
     max_bytes: int = fixed.MAX_RESPONSE_BYTES,
-    broadcast_terms: int = find.BROADCAST_TERMS,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Free-text and filtered search.
 
     Request columns: request_id (long), query, category, occasion, recipient,
-    max_price, min_price, include_out_of_stock, sort, limit.
+    max_price, min_price, include_out_of_stock, sort, limit. ``index`` is the stored
+    term index that ``build_catalogue`` returns; without one it is made anew.
     """
-    return _answer_list(products, requests, "search", base_url, max_bytes, broadcast_terms)
+    return _answer_list(products, requests, "search", base_url, max_bytes, index)
 
 
 def products_by_category(
@@ -248,9 +249,7 @@ def products_by_category(
     Request columns: request_id (long), category, limit, offset, sort, max_price,
     include_out_of_stock.
     """
-    return _answer_list(
-        products, requests, "browse", base_url, max_bytes, find.BROADCAST_TERMS
-    )
+    return _answer_list(products, requests, "browse", base_url, max_bytes)
 
 
 def lookup_ids(requests: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ def build_catalogue(
     tables = {
         "quarantine": quarantine(classified),
         "issues": issue_rows(accepted(classified)),
-        "term_index": term_index(products),
+        # Sorted, so that a search reads the parts that hold its terms.
+        "term_index": term_index(products).repartitionByRange("term", "kind").sortWithinPartitions("term", "kind"),
         "vocabulary": vocabulary(products),
     }
     write_tables(tables, folder)

@@ -3,46 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfspark.functions import fixed
 from shelfspark.operators.cleaning import clean_rows
+from shelfspark.sources.exports import read_export
 
-
-def arriving_rows(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """Raw rows of the CSV files that arrive in ``folder``, all with the same columns."""
-    schema = ", ".join(f"`{name}` string" for name in columns)
-    rows = spark.readStream.schema(schema).options(header=True, escape='"', multiLine=True).csv(folder)
-    order = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        # A stream cannot number its rows; the time of arrival orders whole files.
-        F.col("_metadata.file_modification_time").cast("bigint").alias("row"),
-    )
-    known = fixed.REQUIRED_COLUMNS + fixed.OPTIONAL_COLUMNS
-    return rows.select(
-        order.alias("_ord"),
-        F.lit(None).cast("string").alias("_ragged"),
-        *[
-            (F.col(name) if name in columns else F.lit(None).cast("string")).alias(name)
-            for name in known
-        ],
-    )
+# Files of one batch; their names go through the driver.
+BATCH_FILES = 1000
 
 
 def clean_arrivals(
-    spark: SparkSession, folder: str, columns: list[str], target: str, checkpoint: str
+    spark: SparkSession, folder: str, target: str, checkpoint: str, multi_line: bool = True
 ) -> StreamingQuery:
-    """Append cleaned rows of all files present to ``target``, then stop.
+    """Clean all files that have come to ``folder`` since the last run, then stop.
 
+    The stream tells which files are new; each batch of them goes through the batch
+    reader, so encodings, headers, surplus cells and row positions are as there. A batch
+    is written to a folder of its own under ``target``, so doing it again is harmless.
     Only the row-local stage runs here. Which row keeps an id, category names and
     copies depend on all rows and are decided by the batch build.
     """
-    cleaned = clean_rows(arriving_rows(spark, folder, columns))
+    arrivals = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("maxFilesPerTrigger", BATCH_FILES)
+        .load(folder)
+        .select("path")
+    )
+
+    def clean(batch: DataFrame, number: int) -> None:
+        paths = [row.path for row in batch.collect()]
+        if paths:
+            rows = read_export(spark, paths, multi_line).rows
+            clean_rows(rows).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
     return (
-        cleaned.writeStream.format("parquet")
+        arrivals.writeStream.foreachBatch(clean)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(target)
+        .start()
     )

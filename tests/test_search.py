@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators.index import with_terms
+from shelfspark.operators.cleaning import classify
+from shelfspark.operators.index import term_index, with_terms
 from shelfspark.plans import answer
+from shelfspark.session import written
 from shelfspark.streaming.intake import clean_arrivals
 
 ASKED = (
@@ -45,7 +47,7 @@ def responses(df):
     return {r.request_id: json.loads(r.response) for r in df.collect()}
 
 
-def test_operations_and_both_ways_to_meet(spark, products):
+def test_operations_with_a_made_and_a_stored_index(spark, products):
     asked = [
         (1, "old lamps", None, None, None, None, None, False, None, None),
         (2, "old lamps", None, None, None, None, None, False, None, None),
@@ -57,8 +59,8 @@ def test_operations_and_both_ways_to_meet(spark, products):
     ]
     requests = spark.createDataFrame(asked, ASKED)
     got = responses(answer.search_products(products, requests))
-    sharded = responses(answer.search_products(products, requests, broadcast_terms=0))
-    assert got == sharded and len(got) == 7
+    stored = responses(answer.search_products(products, requests, index=written(term_index(products), "index")))
+    assert got == stored and len(got) == 7
     assert got[1]["products"] == got[2]["products"] and len(got[1]["products"]) == 5
     assert all(p["stock_level"] != "out_of_stock" for p in got[1]["products"])
     assert got[1]["products"][0]["name"] == "Old Lamp"
@@ -82,11 +84,18 @@ def test_budget_is_kept_and_announced(spark, products):
     assert all(len(p["pitch"]) <= 90 for p in small["products"])
 
 
-def test_stream_cleans_rows(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.csv").write_text('product_id,name,category,price_eur\n a-1 ,Lamp,Home,"1,50"\n')
-    columns = ["product_id", "name", "category", "price_eur"]
-    query = clean_arrivals(spark, str(tmp_path / "in"), columns, str(tmp_path / "out"), str(tmp_path / "state"))
-    query.awaitTermination(120)
-    row = spark.read.parquet(str(tmp_path / "out")).first()
-    assert (row.product_id, row.price_eur) == ("A-1", 1.5)
+def test_stream_cleans_files_as_the_batch_reader_does(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    head = "product_id,name,category,price_eur\n"
+    (folder / "a.csv").write_text(head + ' a-1 ,Lamp,Home,"1,50"\nA-1,Lamp again,Home,2\nA-2,Ring,Home,3,spill\n')
+    run = lambda: clean_arrivals(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    run()
+    (folder / "b.csv").write_bytes((head + "B-1,Café,Home,4\n").encode("cp1252"))
+    run()
+    rows = classify(spark.read.parquet(str(tmp_path / "out")))
+    got = sorted((r.product_id, r.name, r.price_eur, r.reason) for r in rows.collect())
+    assert got == [
+        ("A-1", "Lamp", 1.5, None), ("A-1", "Lamp again", 2.0, "duplicate_product_id"), ("A-2", "Ring", 3.0, None), ("B-1", "Café", 4.0, None),
+    ]
+    assert any("ragged_row" in str(r.issues) for r in rows.collect() if r.product_id == "A-2")
