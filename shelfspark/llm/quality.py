@@ -217,9 +217,9 @@ def classified(
     trusted = scores.join(trusted_ids(labels), "doc_id", "left_semi").filter("perplexity IS NOT NULL")
     bounds = F.percentile_approx("perplexity", list(quantiles), 100_000)
     by_language = trusted.groupBy("lang").agg(bounds.alias("b"))
-    of_all = trusted.agg(bounds.alias("all"))
-    joined = scores.join(F.broadcast(by_language), "lang", "left").crossJoin(F.broadcast(of_all))
-    use = F.coalesce("b", "all")
+    of_all = trusted.agg(bounds.alias("b")).first().b or [None, None]
+    joined = scores.join(F.broadcast(by_language), "lang", "left")  # a row per language
+    use = F.coalesce("b", F.array(*[F.lit(x).cast("double") for x in of_all]))
     limits = joined.select(
         "doc_id", "lang", "n_chars", "perplexity", use[0].alias("low"), use[1].alias("high")
     )

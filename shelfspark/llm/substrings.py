@@ -47,17 +47,21 @@ def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, most: int
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines of at least ``LINE_WORDS`` words and pieces of every row.
 
-    ``row, doc_id, start, stop`` (characters), ``first, last`` (words, the last exclusive),
-    ``h1, h2`` (hash of the lower-case words) and ``bands`` (null for pieces).
+    ``row, doc_id, text_key, start, stop`` (characters), ``first, last`` (words, the last
+    exclusive), ``h1, h2`` (hash of the lower-case words) and ``bands`` (null for pieces).
     """
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
-    ).mapInArrow(
+    return _texts(docs, id_col, text_col).mapInArrow(
         _taken_apart(*bands_for()),
-        "row long, doc_id long, start int, stop int, first int, last int, h1 long, h2 long, bands array<long>",
+        "row long, doc_id long, text_key long, start int, stop int, first int, last int, h1 long, h2 long, bands array<long>",
     )
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, text_key``; the key finds a text again, also among rows without an id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.withColumn("text_key", F.xxhash64("doc_id", "text"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Paragraphs of clusters: ``doc_id, start, stop, words, cluster, keep_doc_id, size, removed``.
 
@@ -67,7 +71,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     paragraphs. Rows that repeat an id are documents of their own.
     """
     units = written(paragraphs(docs, id_col, text_col), "paragraphs")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start", F.col("stop"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start", "stop", "text_key")
     classes = written(
         units.groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.min(place).alias("head"), F.first("bands", True).alias("bands"))
@@ -92,7 +96,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = found.withColumn("stretch", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("row", "stretch")
     found = found.withColumn("covered", F.max("last").over(whole) - F.min("first").over(whole))
-    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start", "stop")
     return found.filter(F.col("covered") >= REPEAT_WORDS).select(
         "doc_id",
         "start",
@@ -101,7 +104,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "cluster",
         F.col("head.doc_id").alias("keep_doc_id"),
         "size",
-        (own != F.col("head")).alias("removed"),
+        (place != F.col("head")).alias("removed"),
     )
 
 
@@ -129,14 +132,13 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
         members.select("id")
         .distinct()
         .join(classes, "id")
-        .groupBy(F.col("head.doc_id").alias("_of"))
+        .groupBy(F.col("head.text_key").alias("text_key"))
         .agg(F.collect_list(F.struct("id", "head.start", "head.stop", "h1", "h2")).alias("_wanted"))
     )
     wanted = written(wanted, "wanted")
     if wanted.limit(BROADCAST_IDS // 16 + 1).count() <= BROADCAST_IDS // 16:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    texts = texts.filter("text IS NOT NULL").join(wanted, F.col("_id").eqNullSafe(F.col("_of"))).select("text", "_wanted")
+    texts = _texts(docs, id_col, text_col).join(wanted, "text_key").select("text", "_wanted")
     sets = written(
         texts.mapInArrow(_shingle_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets"
     )
@@ -215,7 +217,7 @@ def _taken_apart(bands: int, rows: int):
         factors = chance.integers(1, 1 << 63, bands * rows, np.int64).astype(np.uint64) | np.uint64(1)
         terms = chance.integers(0, 1 << 63, bands * rows, np.int64).astype(np.uint64)
         row = TaskContext.get().partitionId() << 40
-        names = ["row", "doc_id", "start", "stop", "first", "last", "h1", "h2", "bands"]
+        names = ["row", "doc_id", "text_key", "start", "stop", "first", "last", "h1", "h2", "bands"]
 
         def of_document(text: str):
             data = text.encode("utf-8", "replace")
@@ -254,15 +256,15 @@ def _taken_apart(bands: int, rows: int):
             return place[starts[first]] - 1, place[ends[last - 1] - 1], first, last, hashes, keys
 
         for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in names[:-1]]
             lists, has = [], []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, text_key in zip(*(c.to_pylist() for c in batch.columns)):
                 got = of_document(text)
                 if got is not None:
                     start, stop, first, last, hashes, keys = got
                     n = len(first)
                     for column, values in zip(
-                        columns, (np.full(n, row), [doc_id] * n, start, stop, first, last, hashes[:, 0], hashes[:, 1])
+                        columns, (np.full(n, row), [doc_id] * n, np.full(n, text_key), start, stop, first, last, hashes[:, 0], hashes[:, 1])
                     ):
                         column.append(values)
                     has.append(np.arange(n) >= n - len(keys))
@@ -274,7 +276,7 @@ def _taken_apart(bands: int, rows: int):
             offsets = np.r_[0, np.cumsum(has * bands)].astype(np.int32)
             keyed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)), mask=pa.array(~has))
             ids = [x for values in columns[1] for x in values]
-            kinds = [pa.int64(), None, *[pa.int32()] * 4, pa.int64(), pa.int64()]
+            kinds = [pa.int64(), None, pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
             arrays = [
                 pa.array(ids, pa.int64()) if k == 1 else pa.array(np.concatenate(column), kinds[k])
                 for k, column in enumerate(columns)
