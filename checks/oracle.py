@@ -153,7 +153,7 @@ SELECT l_orderkey, l_linenumber, {views.MONEY_TEXT} AS raw,
       THEN CAST('1000' || CAST({_EUROS} AS STRING) AS DOUBLE) END
     -- A comma with nothing or one digit and a comma after it separates thousands.
     WHEN l_suppkey % 50 = 11 THEN CAST({_EUROS} AS DOUBLE)
-    WHEN l_suppkey % 50 = 12 THEN {_EUROS} * 10 + 5.0E0
+    WHEN l_suppkey % 50 = 12 THEN CASE WHEN {_EUROS} * 10 + 5 <= {fixed.MAX_PRICE_EUR} THEN {_EUROS} * 10 + 5.0E0 END
     -- The currency pattern takes `eur` and leaves `os`.
     WHEN l_linenumber = 5 THEN NULL
     ELSE {_CENTS} / 100.0E0 END AS amount

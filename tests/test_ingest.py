@@ -102,3 +102,16 @@ def test_missing_and_broken_caches_are_empty(spark, tmp_path):
     assert read_cache(spark, str(tmp_path / "none.json"), TRANSLATION_FIELDS).count() == 0
     (tmp_path / "broken.json").write_text("{not json")
     assert read_cache(spark, str(tmp_path / "broken.json"), TRANSLATION_FIELDS).count() == 0
+
+
+def test_the_last_of_repeated_entries_counts(spark, tmp_path):
+    first, second = tmp_path / "a.json", tmp_path / "b.json"
+    entry = lambda h: {"hash": h, "name_es": h, "description_es": None}
+    first.write_text(json.dumps({"P1": entry("new"), "P2": entry("kept")}))
+    second.write_text(json.dumps({"P1": entry("old")}))
+    got = {r.product_id: r.hash for r in read_cache(spark, str(tmp_path / "*.json"), TRANSLATION_FIELDS).collect()}
+    assert got == {"P1": "old", "P2": "kept"}
+    lines = "\n".join(json.dumps({"product_id": p, **entry(h)}) for p, h in [("P1", "x"), ("P2", "y"), ("P1", "z")])
+    (tmp_path / "lines.txt").write_text(lines)
+    rows = read_cache(spark, str(tmp_path / "lines.txt"), TRANSLATION_FIELDS, one_entry_per_line=True).collect()
+    assert sorted((r.product_id, r.hash) for r in rows) == [("P1", "z"), ("P2", "y")]
