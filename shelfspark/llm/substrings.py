@@ -67,8 +67,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A row for each paragraph that is in a cluster of several and lies in a stretch of at
     least ``REPEAT_WORDS`` words of such. ``keep_doc_id`` is the document of the first one,
-    by id (null last) and place; the others are ``removed``. Null and empty texts have no
-    paragraphs. Rows that repeat an id are documents of their own.
+    by id (null last) and place; the others are ``removed``, where they make up so many
+    words of their stretch (else a short piece that occurs elsewhere would be cut from
+    the first copy of a passage). Null and empty texts have no paragraphs. Rows that repeat
+    an id are documents of their own.
     """
     units = written(paragraphs(docs, id_col, text_col), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start", "stop", "text_key")
@@ -88,7 +90,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_class = written(
         clustered.select("h1", "h2", "cluster").join(clusters.filter("size > 1"), "cluster"), "repeated"
     )
-    found = units.drop("bands").join(of_class, ["h1", "h2"])
+    found = units.withColumn("line", F.col("bands").isNotNull()).drop("bands").join(of_class, ["h1", "h2"])
+    words = F.col("last") - F.col("first")
+    found = found.withColumn("later", F.when(place != F.col("head"), words).otherwise(0))
     # Stretches of words covered without a gap.
     in_order = Window.partitionBy("row").orderBy("first", F.col("last").desc())
     reached = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
@@ -96,15 +100,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = found.withColumn("stretch", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("row", "stretch")
     found = found.withColumn("covered", F.max("last").over(whole) - F.min("first").over(whole))
+    lines = F.max(F.when(F.col("line"), F.col("later")).otherwise(0)).over(whole)
+    pieces = F.sum(F.when(F.col("line"), 0).otherwise(F.col("later"))).over(whole)
+    found = found.withColumn("repeated", F.greatest(lines, pieces))
     return found.filter(F.col("covered") >= REPEAT_WORDS).select(
         "doc_id",
         "start",
         "stop",
-        (F.col("last") - F.col("first")).alias("words"),
+        words.alias("words"),
         "cluster",
         F.col("head.doc_id").alias("keep_doc_id"),
         "size",
-        (place != F.col("head")).alias("removed"),
+        ((F.col("later") > 0) & (F.col("repeated") >= REPEAT_WORDS)).alias("removed"),
     )
 
 
