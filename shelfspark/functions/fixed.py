@@ -80,3 +80,7 @@ MAX_SUGGESTIONS = 3
 # Size of one response.
 MAX_RESPONSE_BYTES = 12_288
 SHORT_PITCH_CHARS = 90
+
+# The orders that a search and a category page can be asked in.
+SEARCH_SORTS = ["relevance", "price_asc", "price_desc", "rating"]
+BROWSE_SORTS = ["popularity", "price_asc", "price_desc", "rating"]

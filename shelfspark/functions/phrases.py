@@ -51,6 +51,11 @@ BUDGET_NOTE = (
     "or ask whether the budget can move."
 )
 WHOLE_CATALOGUE = "the catalogue"
+INVALID_SORT = "'{value}' is not a valid value for sort. Input should be {allowed}"
+INVALID_SORT_NOTE = (
+    "Correct the sort parameter and call the tool again. "
+    "Call get_categories if you need the list of valid values."
+)
 NO_QUERY_MESSAGE = "Nothing in the catalogue matches that description."
 NO_QUERY_RELAX = [
     "retry with fewer or more general words",

@@ -109,6 +109,19 @@ def _unknown(rows: DataFrame, dimension: DataFrame, filters: Column) -> DataFram
     )
 
 
+def _invalid_sort(rows: DataFrame, orders: list[str]) -> DataFrame:
+    """Responses to requests for an order that does not exist."""
+    *most, last = [f"'{name}'" for name in orders]
+    allowed = F.lit(f"{', '.join(most)} or {last}")
+    return rows.select(
+        "request_id",
+        F.lit("invalid_parameter").alias("status"),
+        say.fill(say.INVALID_SORT, value=F.col("sort"), allowed=allowed).alias("message"),
+        F.array(*map(F.lit, orders)).alias("did_you_mean"),
+        F.array(F.lit(say.INVALID_SORT_NOTE)).alias("notes"),
+    )
+
+
 def _finish(rows: DataFrame, max_bytes: int) -> DataFrame:
     """Complete the payload columns, fit the size limit and write JSON."""
     defaults = {
@@ -135,7 +148,10 @@ def _answer_list(
     index: DataFrame | None = None,
 ) -> DataFrame:
     dimension = category_dimension(products)
-    known_rows, unknown_rows = resolved_requests(products, requests, op == "browse")
+    orders = fixed.SEARCH_SORTS if op == "search" else fixed.BROWSE_SORTS
+    orderly = F.coalesce(F.col("sort").isin(orders), F.lit(True))
+    invalid = _invalid_sort(requests.filter(~orderly), orders)
+    known_rows, unknown_rows = resolved_requests(products, requests.filter(orderly), op == "browse")
     if op == "search":
         normalise, filters = find.as_search, _search_filters
     else:
@@ -180,7 +196,7 @@ def _answer_list(
     )
     unknown = _unknown(unknown_rows, dimension, filters())
     rows = told.drop("ask").unionByName(
-        unknown.withColumns(
+        unknown.unionByName(invalid, allowMissingColumns=True).withColumns(
             {
                 "products": none,
                 "returned": F.lit(0),

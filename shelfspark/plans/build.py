@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfspark.operators.categories import resolve_display, vocabulary
+from shelfspark.operators.categories import changed_spellings, resolve_display, vocabulary
 from shelfspark.operators.cleaning import accepted, classify, clean_rows, issue_rows, quarantine
 from shelfspark.operators.duplicates import link_duplicates
 from shelfspark.operators.enrich import add_pitches, add_translations
 from shelfspark.operators.index import term_index, with_terms
+from shelfspark.operators.quality import (
+    duplicate_group_count,
+    issue_counts,
+    load_summary,
+    quarantine_counts,
+)
 from shelfspark.session import written
 from shelfspark.sources.caches import PITCH_FIELDS, TRANSLATION_FIELDS, read_cache
 from shelfspark.sources.exports import read_export
-from shelfspark.sources.tables import write_tables
+from shelfspark.sources.tables import pending_folder, read_tables, switch, write_tables
 
 
 def build_products(
@@ -39,6 +46,10 @@ def build_catalogue(
 ) -> dict[str, DataFrame]:
     """Read, clean, link, enrich and index exports; write and return all tables.
 
+    Next to the catalogue these are the quality report: counts of quarantined rows and
+    issues, changed spellings, a one-row summary, and the encoding of each file. All are
+    written beside ``folder`` and put in its place when they are complete.
+
     The cleaned rows are written once, because products, quarantine and issues all
     come from them.
     """
@@ -49,15 +60,23 @@ def build_catalogue(
         read_cache(spark, translations_path, TRANSLATION_FIELDS) if translations_path else None
     )
     products = build_products(classified, pitches, translations)
-    write_tables({"products": products.drop("issues")}, folder)
-    products = spark.read.parquet(f"{folder.rstrip('/')}/products")
+    pending = pending_folder(folder)
+    write_tables({"products": products.drop("issues")}, pending)
+    products = spark.read.parquet(f"{pending}/products")
     tables = {
         "quarantine": quarantine(classified),
         "issues": issue_rows(accepted(classified)),
         # Sorted, so that a search reads the parts that hold its terms.
         "term_index": term_index(products).repartitionByRange("term", "kind").sortWithinPartitions("term", "kind"),
         "vocabulary": vocabulary(products),
+        "quarantine_counts": quarantine_counts(classified),
+        "issue_counts": issue_counts(accepted(classified)),
+        "changed_spellings": changed_spellings(accepted(classified)),
+        "load_summary": load_summary(classified)
+        .crossJoin(duplicate_group_count(products))  # one row each
+        .withColumn("unknown_columns", F.array(*map(F.lit, export.unknown_columns)).cast("array<string>")),
+        "files": spark.createDataFrame(sorted(export.encodings.items()), "file string, encoding string"),
     }
-    write_tables(tables, folder)
-    names = ["products", *tables]
-    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+    write_tables(tables, pending)
+    switch(spark, pending, folder)
+    return read_tables(spark, folder, "products", *tables)

@@ -56,11 +56,12 @@ def test_operations_with_a_made_and_a_stored_index(spark, products):
         (5, None, "kids", None, None, 1.0, None, False, None, None),
         (6, None, "Sorcery", None, None, None, None, False, None, None),
         (7, "cuchillos", None, None, None, None, None, True, "rating", 2),
+        (8, "old lamps", None, None, None, None, None, False, "cheapest", None),
     ]
     requests = spark.createDataFrame(asked, ASKED)
     got = responses(answer.search_products(products, requests))
     stored = responses(answer.search_products(products, requests, index=written(term_index(products), "index")))
-    assert got == stored and len(got) == 7
+    assert got == stored and len(got) == 8
     assert got[1]["products"] == got[2]["products"] and len(got[1]["products"]) == 5
     assert all(p["stock_level"] != "out_of_stock" for p in got[1]["products"])
     assert got[1]["products"][0]["name"] == "Old Lamp"
@@ -72,6 +73,9 @@ def test_operations_with_a_made_and_a_stored_index(spark, products):
     assert got[6]["status"] == "unknown_category" and len(got[6]["available_categories"]) == 2
     assert got[7]["status"] == "ok" and got[7]["returned"] == 2
     assert all("Knife" in p["name"] for p in got[7]["products"])
+    assert got[8]["status"] == "invalid_parameter" and got[8]["products"] == []
+    assert got[8]["message"].endswith("Input should be 'relevance', 'price_asc', 'price_desc' or 'rating'")
+    assert got[8]["did_you_mean"] == ["relevance", "price_asc", "price_desc", "rating"]
 
 
 def test_budget_is_kept_and_announced(spark, products):
