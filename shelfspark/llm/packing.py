@@ -121,7 +121,7 @@ def best_fit(sizes: dict[int, int], limit: int) -> list[tuple[int, int, int, int
             later.setdefault(gap, []).append(stretch)
         for gap, stretches in later.items():
             gaps.setdefault(gap, []).extend(stretches)
-        if largest_left:
+        if largest_left and not any(gap >= largest_left for gap in gaps):
             # As many new sequences as these documents fill, each with one of them now.
             n = -(-waiting[largest_left] // (limit // largest_left))
             place(largest_left, limit, opened, n, gaps)
