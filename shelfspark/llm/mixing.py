@@ -24,6 +24,8 @@ DOMAIN_WORDS = 64
 FEATURE_CHARS = 64
 #: Documents of the sample that a feature occurs in, at least.
 FEATURE_ROWS = 5
+#: Least evidence (G statistic) that a word and a domain go together; chance rarely gives so much.
+EVIDENCE = 20.0
 ROUNDS, TOLERANCE = 20, 1e-4
 ANY = ""
 
@@ -103,9 +105,9 @@ def posteriors(
     counts = written(counts, "word_counts")
     chosen = None
     for d in known:
-        best = counts.orderBy(_information(F.col("n"), F.col(f"n_{d}"), n[d], total).desc(), "word").limit(
-            DOMAIN_WORDS
-        )
+        evidence = 2 * total * _information(F.col("n"), F.col(f"n_{d}"), n[d], total)
+        best = counts.withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE)
+        best = best.orderBy(F.desc("evidence"), "word").limit(DOMAIN_WORDS).drop("evidence")
         chosen = best if chosen is None else chosen.union(best)
     # At most DOMAIN_WORDS rows for each domain.
     features = chosen.distinct().collect()
@@ -116,7 +118,7 @@ def posteriors(
     weights.append((ANY, *[math.log(n[d] / total) for d in known]))
     schema = "word string, " + ", ".join(f"`w_{d}` double" for d in known)
     table = F.broadcast(docs.sparkSession.createDataFrame(weights, schema))
-    vocabulary = F.array(*[F.lit(f.word) for f in features])
+    vocabulary = F.array(*[F.lit(f.word) for f in features]).cast("array<string>")
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     found = numbered.select(
         "row",
@@ -204,7 +206,7 @@ def rates(
         if np.abs(miss).max() <= TOLERANCE * total:
             break
         # Gradients of documents that are free to move, in the metric of their normal equations.
-        ridge = 1e-6 * sum(have.values()) * np.eye(len(p))
+        ridge = 1e-3 * sum(have.values()) * np.eye(len(p))
         move = step * np.linalg.solve(normal + ridge, miss)
         moved = F.col("rate") - sum((F.lit(float(m)) * x for m, x in zip(move, p)), F.lit(0.0))
         moved = F.greatest(moved, F.lit(0.0))
@@ -212,7 +214,7 @@ def rates(
             moved = F.least(moved, F.lit(float(max_rate)))
         nearer = current.withColumn("rate", moved)
         missed, normal_ = state(nearer)
-        if np.abs(missed).max() < np.abs(miss).max():
+        if (missed**2).sum() < (miss**2).sum():
             current, miss, normal, step = nearer, missed, normal_, min(1.0, 2 * step)
         else:
             step /= 4
