@@ -85,17 +85,14 @@ def scored(
         rows.mapInArrow(
             _encode(coding),
             "row long, doc_id long, held_out boolean, n_tokens long, n_known long, "
-            "counts_log double, shares_log double, symbols binary, rare array<string>",
+            "counts_log double, shares_log double, symbols binary, rare map<string, long>",
         ),
         "encoded",
     )
     # Words that are not common meet their counts by word. None of them is a hot key: each
     # has fewer than one in COMMON of the training tokens, or was never seen.
     rare = (
-        encoded.select("row", F.explode("rare").alias("word"))
-        .groupBy("row", "word")
-        .agg(F.count("*").alias("times"))
-        .join(counts, "word", "left")
+        encoded.select("row", F.explode("rare").alias("word", "times")).join(counts, "word", "left")
     )
     in_class = F.array(*[F.lit(float(c + ADDED * (d + 1))) for c, d in sizes])
     plus = F.coalesce("n", F.lit(0)) + ADDED
@@ -196,6 +193,7 @@ def _count(batches: Iterator) -> Iterator:
 def _encode(coding):
     def encode(batches: Iterator) -> Iterator:
         import zlib
+        from collections import Counter
 
         import numpy as np
         import pyarrow as pa
@@ -217,7 +215,7 @@ def _encode(coding):
         end = place[END.encode()]
         row = TaskContext.get().partitionId() << 40
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "counts_log", "shares_log", "symbols", "rare"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.map_(pa.string(), pa.int64())]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             ids, held = (batch.column(k).to_pylist() for k in (0, 1))
@@ -226,14 +224,14 @@ def _encode(coding):
                 at = np.fromiter(map(place.get, words, _minus_ones()), np.int64, len(words))
                 at = np.append(at, end)
                 odd = np.flatnonzero(at < 0)
-                rare = [words[k] for k in odd]
+                rare = [words[k] for k in odd.tolist()]
                 symbols = symbol[at]
                 if rare:
                     symbols[odd] = [len(own) + zlib.crc32(w) % CLASSES for w in rare]
                 fine = at[at >= 0]
                 values = (
                     row, doc_id, aside, len(at), int(known[fine].sum()), float(counts_log[fine].sum()),
-                    float(shares_log[fine].sum()), symbols.astype("<u2").tobytes(), [w.decode() for w in rare],
+                    float(shares_log[fine].sum()), symbols.astype("<u2").tobytes(), [(w.decode(), n) for w, n in Counter(rare).items()],
                 )
                 for column, value in zip(out, values):
                     column.append(value)
