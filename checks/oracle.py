@@ -788,3 +788,73 @@ SELECT a.category, b.category AS other, count(*) AS n_pairs,
   round(sum(1.0E0 * len(list_intersect(a.tags, b.tags)) / len(list_distinct(a.tags || b.tags))), 4) AS sum_jaccard
 FROM kinds a JOIN kinds b ON a.subcategory = b.subcategory OR list_has_any(a.tags, b.tags)
 GROUP BY 1, 2"""
+
+
+# --- Whole responses --------------------------------------------------------------------------
+
+
+def quoted(text: str) -> str:
+    """A Python text as a SQL literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def json_texts(texts: list[str]) -> str:
+    return quoted("[" + ",".join(f'"{text}"' for text in texts) + "]")
+
+
+def filled(template: str, **values: str) -> str:
+    """A response text with SQL values in its places."""
+    out = quoted(template)
+    for name, value in values.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+def joined_values(kind: str) -> str:
+    return f"""(SELECT string_agg('"' || value || '"', ',' ORDER BY rank) FROM ranks WHERE kind = '{kind}')"""
+
+
+_CATEGORY_JSON = [
+    ("name", "category", True), ("slug", "slug", True), ("product_count", "product_count", False),
+    ("in_stock_count", "in_stock_count", False),
+    ("price_range_eur", "'{\"min\":' || price_min || ',\"max\":' || price_max || '}'", False),
+    ("subcategories", "'[' || subcategories || ']'", False),
+]
+ORACLES["response_categories"] = f"""
+WITH {PRODUCTS}, vals AS ({_VOCABULARY}),
+ranks AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, value) AS rank
+  FROM vals GROUP BY 1, 2),
+summary AS (
+  SELECT category, {slug('category')} AS slug, count(*) AS product_count,
+    count(*) FILTER (recommendable) AS in_stock_count, min(price_eur) AS price_min, max(price_eur) AS price_max,
+    array_to_string(list_transform(list_sort(list(DISTINCT subcategory) FILTER (subcategory IS NOT NULL)),
+      lambda s: '"' || s || '"'), ',') AS subcategories
+  FROM products GROUP BY category)
+SELECT 'ok' AS status, '{{"status":"ok","categories":[' ||
+  (SELECT string_agg({json_pairs(_CATEGORY_JSON)}, ',' ORDER BY rank)
+   FROM summary JOIN ranks ON kind = 'category' AND value = category)
+  || '],"filter_vocabulary":{{"occasions":[' || {joined_values('occasion')} || '],"recipients":['
+  || {joined_values('recipient')} || ']}},"notes":' || {json_texts(say.CATEGORIES_NOTES)} || '}}' AS response"""
+_DETAILS_JSON = [
+    ("status", "status", True), ("message", "message", True), ("product", "product", False),
+    ("alternatives", "alternatives", False), ("notes", "notes", False),
+]
+ORACLES["response_details"] = f"""
+WITH {PRODUCTS}, {_SIMILAR}, {_SIMILAR_RANKED}, {request_rows(views.SIMILAR_COLUMNS)},
+others AS (
+  SELECT request_id AS product_id, '[' || string_agg(summary, ',' ORDER BY rank) || ']' AS alternatives
+  FROM placed JOIN (SELECT product_id, {json_pairs(_SUMMARY)} AS summary FROM products) USING (product_id)
+  WHERE rank <= {fixed.DETAIL_ALTERNATIVES} GROUP BY 1),
+facts AS (
+  SELECT product_id, {json_pairs(_SUMMARY + _DETAIL)} AS product, stock_level = 'out_of_stock' AS gone, name,
+    CASE WHEN stock_level = 'out_of_stock' THEN alternatives END AS alternatives
+  FROM products LEFT JOIN others USING (product_id)),
+told AS (
+  SELECT r.request_id, CASE WHEN name IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+    CASE WHEN name IS NULL THEN {filled(say.NOT_FOUND, requested='r.product_id')}
+      WHEN gone THEN {filled(say.DETAIL_SOLD_OUT, name='name')} END AS message,
+    product, alternatives,
+    CASE WHEN name IS NULL THEN {json_texts([say.NOT_FOUND_NOTE])}
+      WHEN gone THEN {json_texts([say.DETAIL_SOLD_OUT_NOTE])} END AS notes
+  FROM raw_requests r LEFT JOIN facts p ON p.product_id = upper(replace(trim(r.product_id), ' ', '')))
+SELECT request_id, status, {json_pairs(_DETAILS_JSON)} AS response FROM told"""
