@@ -10,7 +10,6 @@ from shelfspark.session import written
 # A key with more rows than this is hot. Every hot key stands for that many rows
 # of the large side, so there are at most rows / HOT_ROWS of them to broadcast.
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def attach(
@@ -24,28 +23,27 @@ def attach(
     """Left join ``lookup`` (one row per key, with its row count) to ``rows``.
 
     The lookup is written first, so it is computed once and its hot keys are known
-    before the join is planned. Rows of a hot key are spread over ``SALTS``
-    partitions by a hash of ``spread``; only the lookup rows of hot keys are
-    repeated to meet them. Null keys match nothing and are spread likewise.
+    before the join is planned. Rows of a hot key are spread by a hash of ``spread``,
+    over twice as many salts as it has times ``hot_rows``; only the lookup rows of hot keys
+    are repeated to meet them. Null keys match nothing and are spread by the hash alone.
     ``n_rows`` is an upper bound of how many ``rows`` carry the key.
     """
     lookup = written(lookup, "lookup")
     is_hot = F.col(n_rows) > hot_rows
-    hot = lookup.filter(is_hot).select(key, F.lit(True).alias("_hot"))
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    n_salts = (2 * F.ceil(F.col(n_rows) / hot_rows)).cast("bigint")
+    hot = lookup.filter(is_hot).select(key, n_salts.alias("_salts"))
+    none = F.lit(0).cast("bigint")
     if hot.isEmpty():
-        salts = F.array(F.lit(0))
-        spread_rows = F.col(key).isNull()
+        salts = F.array(none)
+        salt = F.when(F.col(key).isNull(), F.xxhash64(spread))
     else:
         rows = rows.join(F.broadcast(hot), key, "left")
-        salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-            F.array(F.lit(0))
+        salts = F.when(is_hot, F.sequence(none, n_salts - 1)).otherwise(F.array(none))
+        salt = F.when(F.col(key).isNull(), F.xxhash64(spread)).when(
+            F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_salts"))
         )
-        spread_rows = F.col("_hot") | F.col(key).isNull()
-    salted_rows = rows.withColumn(
-        "_salt", F.when(spread_rows, salt).otherwise(F.lit(0).cast("bigint"))
-    )
-    salted_lookup = lookup.withColumn("_salt", F.explode(salts.cast("array<bigint>")))
+    salted_rows = rows.withColumn("_salt", F.coalesce(salt, none))
+    salted_lookup = lookup.withColumn("_salt", F.explode(salts))
     return salted_rows.join(salted_lookup.drop(n_rows), [key, "_salt"], "left").drop(
-        "_salt", "_hot"
+        "_salt", "_salts"
     )
