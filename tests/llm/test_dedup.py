@@ -52,9 +52,9 @@ def test_exact_groups(corpus):
         sha = hashlib.sha256(norm(r.text).encode()).hexdigest()
         expected.append((r.doc_id, keep, len(same), sha))
     got = exact_dedup.exact_groups(corpus, block_chars=64).collect()
-    key = lambda x: (x[0] is None, x)
     found = [(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got]
-    assert sorted(found, key=lambda x: (str(x[0]), x[3])) == sorted(expected, key=lambda x: (str(x[0]), x[3])), key
+    in_order = lambda rows: sorted(rows, key=lambda x: (str(x[0]), x[3]))
+    assert in_order(found) == in_order(expected)
     kept = [r for r in got if r.kept]
     assert len(kept) == len({norm(r.text) for r in rows})
     assert all(r.doc_id == r.keep_id for r in kept)
