@@ -73,7 +73,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     an id are documents of their own.
     """
     units = written(paragraphs(docs, id_col, text_col), "paragraphs")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start", "stop", "text_key")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start", "stop")
     classes = written(
         units.groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.min(place).alias("head"), F.first("bands", True).alias("bands"))
@@ -81,7 +81,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
-    links = written(_links(docs, classes, id_col, text_col), "links")
+    links = written(_links(docs, units, classes, id_col, text_col), "links")
     roots = written(components(links).select(F.col("node").alias("id"), F.col("root").alias("cluster")), "roots")
     clustered = classes.select("id", "h1", "h2", "n", "head").join(roots, "id", "left")
     clustered = written(clustered.withColumn("cluster", F.coalesce("cluster", "id")), "clustered")
@@ -90,7 +90,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_class = written(
         clustered.select("h1", "h2", "cluster").join(clusters.filter("size > 1"), "cluster"), "repeated"
     )
-    found = units.withColumn("line", F.col("bands").isNotNull()).drop("bands").join(of_class, ["h1", "h2"])
+    found = units.withColumn("line", F.col("bands").isNotNull()).drop("bands", "text_key")
+    found = found.join(of_class, ["h1", "h2"])
     words = F.col("last") - F.col("first")
     found = found.withColumn("later", F.when(place != F.col("head"), words).otherwise(0))
     # Stretches of words covered without a gap.
@@ -130,7 +131,7 @@ def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     return joined.withColumn(text_col, text).select(*columns)
 
 
-def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _links(docs: DataFrame, units: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links ``a, b`` of similar classes of lines; enough to join all that are."""
     banded = classes.filter("bands IS NOT NULL").select("id", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
@@ -139,8 +140,10 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
         members.select("id")
         .distinct()
         .join(classes, "id")
-        .groupBy(F.col("head.text_key").alias("text_key"))
-        .agg(F.collect_list(F.struct("id", "head.start", "head.stop", "h1", "h2")).alias("_wanted"))
+        .select("id", "head.row", "head.start", "head.stop", "h1", "h2")
+        .join(units.filter("bands IS NOT NULL").select("row", "start", "stop", "text_key"), ["row", "start", "stop"])
+        .groupBy("text_key")
+        .agg(F.collect_list(F.struct("id", "start", "stop", "h1", "h2")).alias("_wanted"))
     )
     wanted = written(wanted, "wanted")
     if wanted.limit(BROADCAST_IDS // 16 + 1).count() <= BROADCAST_IDS // 16:
