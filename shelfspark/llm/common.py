@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to so many ids (16 MB of longs) are broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
+#: Documents that a task has as Python objects at a time.
+PART_ROWS = 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +23,13 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def in_parts(batches: Iterator, rows: int = PART_ROWS) -> Iterator:
+    """Arrow batches cut into smaller ones, as their values as Python objects take more memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, so that models load once in it."""
     name = "_shelfspark_worker_cache"

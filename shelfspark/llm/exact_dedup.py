@@ -14,13 +14,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import text_or_empty, without
+from shelfspark.llm.common import in_parts, text_or_empty, without
 from shelfspark.session import dropped, written
 
 #: Characters in a block: most documents are one block, and a block is a small row.
 BLOCK_CHARS = 4096
 #: Bytes of distinct blocks that a task remembers, to send repeats within it once only.
-REMEMBERED_BYTES = 64_000_000
+REMEMBERED_BYTES = 32_000_000
 
 
 def normalised(column: str = "text") -> Column:
@@ -144,7 +144,7 @@ def _cut(size: int):
         base = TaskContext.get().partitionId() << 40
         seen: dict[str, int] = {}
         held = made = 0
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[list] = [[] for _ in range(7)]
             for row, doc_id, text, sha in zip(*(column.to_pylist() for column in batch.columns)):
                 n = max(1, -(-len(text) // size))

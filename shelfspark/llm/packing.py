@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import text_or_empty
+from shelfspark.llm.common import in_parts, text_or_empty
 from shelfspark.llm.tokens import END_ID, encoder
 from shelfspark.session import written
 
@@ -24,19 +24,23 @@ SEQUENCE_TOKENS = 1024
 
 
 def pieces(
-    docs: DataFrame, limit: int = SEQUENCE_TOKENS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    limit: int = SEQUENCE_TOKENS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = True,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids, part, nth``, one row per piece.
 
     A document is its ids and the end id. One longer than ``limit`` is cut into pieces
     of that length, the first one taking what is left over. ``nth`` numbers the
     pieces of a length within the task ``part``. Null text is empty: a piece with
-    only the end id. ``ids`` are little-endian unsigned 32-bit integers.
+    only the end id. ``ids`` are little-endian unsigned 32-bit integers, null if not wanted.
     """
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     ).mapInArrow(
-        _pieces(limit),
+        _pieces(limit, with_ids),
         "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long",
     )
 
@@ -48,7 +52,7 @@ def packed(
 
     Repeated rows are packed as often as they come. An empty table gives no rows.
     """
-    rows = written(pieces(docs, limit, id_col, text_col).drop("ids"), "pieces")
+    rows = written(pieces(docs, limit, id_col, text_col, False).drop("ids"), "pieces")
     return placed(rows, limit).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
@@ -129,7 +133,7 @@ def best_fit(sizes: dict[int, int], limit: int) -> list[tuple[int, int, int, int
     return plan
 
 
-def _pieces(limit: int):
+def _pieces(limit: int, with_ids: bool):
     def cut(batches: Iterator) -> Iterator:
         import zlib
         from array import array
@@ -143,7 +147,7 @@ def _pieces(limit: int):
         seen = [0] * (limit + 1)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"]
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(*(column.to_pylist() for column in batch.columns)):
                 ids = encode(text) + end
@@ -152,7 +156,7 @@ def _pieces(limit: int):
                 while start < n:
                     own = ids[4 * start : 4 * stop]
                     size = stop - start
-                    row = (doc_id, piece, start, size, zlib.crc32(own), own, part, seen[size])
+                    row = (doc_id, piece, start, size, zlib.crc32(own), own if with_ids else None, part, seen[size])
                     for column, value in zip(out, row):
                         column.append(value)
                     seen[size] += 1

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import among, text_or_empty, without
+from shelfspark.llm.common import among, in_parts, text_or_empty, without
 from shelfspark.session import written
 
 #: Documents in a chunk (at most 65,536) and distinct (document, trigram) pairs that end one early.
-CHUNK_DOCS, CHUNK_PAIRS = 4096, 4_000_000
+CHUNK_DOCS, CHUNK_PAIRS = 4096, 1_500_000
 #: Documents whose chunks meet one copy of a model shard, and shards of the model.
 GROUP_DOCS, SHARDS = 32_768, 16
 #: Languages with fewer trusted characters use the model of all trusted text.
@@ -267,7 +267,7 @@ def _train(batches: Iterator) -> Iterator:
 
     held: dict[str, list] = {}
     size: dict[str, int] = {}
-    for batch in batches:
+    for batch in in_parts(batches):
         for lang, text in zip(*(column.to_pylist() for column in batch.columns)):
             for codes in _codes(text):
                 held.setdefault(lang, []).append(codes)
@@ -332,7 +332,7 @@ def _chunks(groups: int):
                 )
 
         heads, held, pairs = [], {}, 0
-        for batch in batches:
+        for batch in in_parts(batches):
             for row, doc_id, use, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 place = len(heads)
                 heads.append((row, doc_id, lang, len(text)))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import text_or_empty
+from shelfspark.llm.common import in_parts, text_or_empty
 from shelfspark.llm.tokens import encoder
 from shelfspark.session import _file_system
 
@@ -76,7 +76,7 @@ def _count(tokenizers: list[str]):
         import pyarrow as pa
 
         encoders = [encoder(name) for name in tokenizers]
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(3).to_pylist()
             columns = [pa.array([len(e.encode(text)) // 4 for text in texts], pa.int64()) for e in encoders]
             yield pa.RecordBatch.from_arrays(

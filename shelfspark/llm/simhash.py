@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import text_or_empty, without
+from shelfspark.llm.common import in_parts, text_or_empty, without
 from shelfspark.llm.components import components
 from shelfspark.session import written
 
@@ -158,7 +158,7 @@ def _fingerprint(batches: Iterator) -> Iterator:
     from xxhash import xxh64_intdigest
 
     part = 65_536
-    for batch in batches:
+    for batch in in_parts(batches):
         prints = []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             words = text.lower().split()

@@ -7,7 +7,7 @@ import re
 from shelfspark.llm.common import worker_cache
 
 #: Words that a worker remembers before it starts anew; random words never repeat.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 150_000
 #: Added after each document.
 END_ID = 2
 
