@@ -5,8 +5,9 @@ discounts and back-off weights are grouped sums. Documents are scored by a shard
 join: per chunk of documents, each distinct trigram is one row with the documents that
 hold it and how often; chunks meet the shard of the model that holds a trigram's middle
 character, which its context and both lower orders share, and give each document a
-partial log probability per shard. A document is rejected when its perplexity lies beyond
-quantiles of the trusted documents of its language.
+partial log probability per shard. A document is rejected when its log perplexity lies
+far from the median of the trusted documents of its language, in units of their median
+deviation, which grows for short texts.
 """
 
 from __future__ import annotations
@@ -25,20 +26,26 @@ CHUNK_DOCS, CHUNK_PAIRS = 4096, 1_500_000
 GROUP_DOCS, SHARDS = 32_768, 16
 #: Languages with fewer trusted characters use the model of all trusted text.
 LANGUAGE_CHARS = 20_000
-#: Trusted perplexities outside these quantiles are taken as wrongly trusted.
-QUANTILES = (0.002, 0.998)
+#: Deviations from the median of log perplexity that a document may have, and a least deviation.
+SPREAD, LEAST_DEVIATION = 5.0, 0.01
+#: Median deviations times this are standard deviations of a normal distribution.
+NORMAL = 1.4826
 POOLED = "*"
 START, END = 2, 3
 SEGMENT = 1_000_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids that are labelled of good quality and never of bad."""
+    """Ids that are labelled of good quality, never of bad and never toxic.
+
+    ``labels`` may have no column ``toxic``; a null in it says nothing.
+    """
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(0)
     return (
-        labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+        labels.filter("doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min("quality").alias("quality"))
-        .filter("quality = 1")
+        .agg(F.min("quality").alias("quality"), F.max(F.coalesce(toxic, F.lit(0))).alias("toxic"))
+        .filter("quality = 1 AND toxic = 0")
         .select("doc_id")
     )
 
@@ -202,31 +209,67 @@ def perplexities(
 def classified(
     docs: DataFrame,
     labels: DataFrame,
-    quantiles: tuple[float, float] = QUANTILES,
+    spread: float = SPREAD,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, low, high, keep`` of every row of ``docs``.
 
-    ``low, high`` are quantiles of the perplexities of the trusted documents of the
-    language (of all, where it has none). A document is kept between them, both included.
-    Empty texts are rejected; where nothing is trusted all others are kept.
+    A document is kept between ``low`` and ``high``, both included: the median log
+    perplexity of the trusted documents of its language (of all, where it has none), less
+    and plus ``spread`` deviations. A deviation is the median one of these documents or, if
+    that is more, the median one per square root of a character, over the root of the
+    document's own characters, as means of few characters vary more. Half of the trusted
+    documents would have to be wrong to move either, and copies count once. Empty texts
+    are rejected; where nothing is trusted all others are kept.
     """
     scores = written(perplexities(docs, labels, id_col, text_col, lang_col), "scores")
-    trusted = scores.join(trusted_ids(labels), "doc_id", "left_semi").filter("perplexity IS NOT NULL")
-    bounds = F.percentile_approx("perplexity", list(quantiles), 100_000)
-    by_language = trusted.groupBy("lang").agg(bounds.alias("b"))
-    of_all = trusted.agg(bounds.alias("b")).first().b or [None, None]
+    known = scores.filter("perplexity IS NOT NULL")
+    trusted = known.join(trusted_ids(labels), "doc_id", "left_semi")
+    references = written(_distinct(trusted), "references")
+    centres = references.groupBy("lang").agg(_median("x").alias("centre"))
+    centre = references.agg(_median("x").alias("centre")).first().centre
+    away = references.join(F.broadcast(centres), "lang")  # a row per language
+    by_language = away.groupBy("lang").agg(F.first("centre").alias("centre"), *_deviations("centre"))
+    common = references.agg(*_deviations(F.lit(centre).cast("double"))).first()
     joined = scores.join(F.broadcast(by_language), "lang", "left")  # a row per language
-    use = F.coalesce("b", F.array(*[F.lit(x).cast("double") for x in of_all]))
+    own = _bounds(F.col("centre"), F.col("flat"), F.col("per_root"), spread)
+    shared = _bounds(*[F.lit(x).cast("double") for x in (centre, *common)], spread)
+    has_own = F.col("centre").isNotNull()
+    low, high = (F.when(has_own, x).otherwise(y) for x, y in zip(own, shared))
     limits = joined.select(
-        "doc_id", "lang", "n_chars", "perplexity", use[0].alias("low"), use[1].alias("high")
+        "doc_id", "lang", "n_chars", "perplexity", low.alias("low"), high.alias("high")
     )
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return limits.withColumn("keep", (F.col("n_chars") > 0) & inside)
 
 
+def _distinct(scores: DataFrame) -> DataFrame:
+    """``lang, n_chars, x`` with ``x`` the log perplexity, copies once."""
+    return scores.select("lang", "n_chars", F.round(F.log("perplexity"), 9).alias("x")).distinct()
+
+
+def _median(column: Column | str) -> Column:
+    return F.percentile_approx(column, 0.5, 100_000)
+
+
+def _deviations(centre: Column | str) -> list[Column]:
+    """Median deviations from a centre: ``flat``, and ``per_root`` of a character."""
+    away = F.abs(F.col("x") - (F.col(centre) if isinstance(centre, str) else centre))
+    root = F.sqrt(F.col("n_chars") + 1)
+    return [
+        (NORMAL * _median(away)).alias("flat"),
+        (NORMAL * _median(away * root)).alias("per_root"),
+    ]
+
+
+def _bounds(centre: Column, flat: Column, per_root: Column, spread: float) -> tuple[Column, Column]:
+    """Perplexities that a document of its length lies between."""
+    deviation = F.greatest(flat, per_root / F.sqrt(F.col("n_chars") + 1), F.lit(LEAST_DEVIATION))
+    return F.exp(centre - spread * deviation), F.exp(centre + spread * deviation)
+
+
 def good_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:

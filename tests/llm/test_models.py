@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -113,6 +114,32 @@ def test_classifier_on_odd_rows(corpus, nothing, labels):
     assert all(r.keep == (r.n_chars > 0) for r in unlabelled)
 
 
+def syllables(chance, alphabet, n):
+    return " ".join("".join(chance.choices(alphabet, k=chance.randint(1, 3))) for _ in range(n))
+
+
+def test_planted_bad_documents_go_and_clean_ones_stay(spark):
+    chance = random.Random(11)
+    alphabet = ["an", "ter", "ou", "the", "is", "re", "and", "lo", "mi", "ka"]
+    clean = [syllables(chance, alphabet, chance.choice([8, 40, 200])) for _ in range(300)]
+    # Symbols after some of the words: worse than any clean text, better than the wrongly trusted junk.
+    bad = [re.sub(r" ", lambda m: "# " if chance.random() < 0.3 else " ", syllables(chance, alphabet, 100)) for _ in range(20)]
+    junk = ["".join(chance.choices("#$%&*+=@", k=200)) for _ in range(3)]
+    rows = [*enumerate(clean), *enumerate(bad, 1000), *enumerate(junk, 2000)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string")
+    labels = [(k, 1, 0) for k in range(200)] + [(2000 + k, 1, 0) for k in range(3)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    keep = {r.doc_id: r.keep for r in quality.classified(docs, labels).collect()}
+    assert not any(keep[1000 + k] for k in range(20))
+    assert sum(not keep[k] for k in range(300)) <= 3
+
+
+def test_toxic_documents_are_not_trusted(spark):
+    labels = [(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, None, 1), (5, 0, 0)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in quality.trusted_ids(labels).collect()} == {1, 3}
+
+
 def plain_forward(symbols, start, move, emit):
     total, alpha = 0.0, start
     for t, s in enumerate(symbols):
