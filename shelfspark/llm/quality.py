@@ -28,6 +28,8 @@ GROUP_DOCS, SHARDS = 32_768, 16
 LANGUAGE_CHARS = 20_000
 #: Deviations from the median of log perplexity that a document may have, and a least deviation.
 SPREAD, LEAST_DEVIATION = 5.0, 0.01
+#: Fewer different texts are too few to take a median and deviations from.
+LEAST_REFERENCES = 50
 #: Median deviations times this are standard deviations of a normal distribution.
 NORMAL = 1.4826
 POOLED = "*"
@@ -217,27 +219,48 @@ def classified(
     """``doc_id, lang, n_chars, perplexity, low, high, keep`` of every row of ``docs``.
 
     A document is kept between ``low`` and ``high``, both included: the median log
-    perplexity of the trusted documents of its language (of all, where it has none), less
-    and plus ``spread`` deviations. A deviation is the median one of these documents or, if
-    that is more, the median one per square root of a character, over the root of the
-    document's own characters, as means of few characters vary more. Half of the trusted
-    documents would have to be wrong to move either, and copies count once. Empty texts
-    are rejected; where nothing is trusted all others are kept.
+    perplexity of the references of its language, less and plus ``spread`` deviations. A
+    deviation is the median one of the references or, if that is more, the median one per
+    square root of a character, over the root of the document's own characters, as means of
+    few characters vary more. Half of the references would have to be wrong to move either.
+
+    References are the trusted documents of the language, copies once. Where these are fewer
+    than ``LEAST_REFERENCES``, all its documents are. Where even they are fewer, the bounds
+    reach from its own to the common median, with the larger of its own deviations and those
+    of all references from their languages' medians, or those from the common median. A language without a trusted document has the
+    bounds around the common median. Empty texts are rejected; where nothing is trusted all
+    others are kept.
     """
     scores = written(perplexities(docs, labels, id_col, text_col, lang_col), "scores")
     known = scores.filter("perplexity IS NOT NULL")
     trusted = known.join(trusted_ids(labels), "doc_id", "left_semi")
-    references = written(_distinct(trusted), "references")
-    centres = references.groupBy("lang").agg(_median("x").alias("centre"))
-    centre = references.agg(_median("x").alias("centre")).first().centre
-    away = references.join(F.broadcast(centres), "lang")  # a row per language
-    by_language = away.groupBy("lang").agg(F.first("centre").alias("centre"), *_deviations("centre"))
-    common = references.agg(*_deviations(F.lit(centre).cast("double"))).first()
+    trusted = written(_distinct(trusted), "trusted")
+    support = trusted.groupBy("lang").agg(F.count("*").alias("n"))
+    large = F.col("n") >= LEAST_REFERENCES
+    # A row per language.
+    enough, few = (F.broadcast(support.filter(x).select("lang")) for x in (large, ~large))
+    references = trusted.join(enough, "lang", "left_semi").unionByName(
+        _distinct(known.join(few, "lang", "left_semi"))
+    )
+    references = written(references, "references")
+    centres = references.groupBy("lang").agg(F.count("*").alias("n"), _median("x").alias("centre"))
+    middle = references.agg(_median("x").alias("x")).first().x
+    middle = F.lit(middle).cast("double")
+    away = written(references.join(F.broadcast(centres), "lang"), "away")  # a row per language
+    by_language = away.groupBy("lang").agg(
+        F.first("n").alias("n"), F.first("centre").alias("centre"), *_deviations(F.col("centre"))
+    )
+    within = [F.lit(x).cast("double") for x in away.agg(*_deviations(F.col("centre"))).first()]
+    common = [F.lit(x).cast("double") for x in away.agg(*_deviations(middle)).first()]
     joined = scores.join(F.broadcast(by_language), "lang", "left")  # a row per language
     own = _bounds(F.col("centre"), F.col("flat"), F.col("per_root"), spread)
-    shared = _bounds(*[F.lit(x).cast("double") for x in (centre, *common)], spread)
-    has_own = F.col("centre").isNotNull()
-    low, high = (F.when(has_own, x).otherwise(y) for x, y in zip(own, shared))
+    larger = [F.greatest(F.col(name), x) for name, x in zip(("flat", "per_root"), within)]
+    near = _bounds(F.col("centre"), *larger, spread)
+    shared = _bounds(middle, *common, spread)
+    low, high = (
+        F.when(large, x).when(F.col("n") > 0, reach(y, z)).otherwise(z)
+        for x, y, z, reach in zip(own, near, shared, (F.least, F.greatest))
+    )
     limits = joined.select(
         "doc_id", "lang", "n_chars", "perplexity", low.alias("low"), high.alias("high")
     )
@@ -254,9 +277,9 @@ def _median(column: Column | str) -> Column:
     return F.percentile_approx(column, 0.5, 100_000)
 
 
-def _deviations(centre: Column | str) -> list[Column]:
+def _deviations(centre: Column) -> list[Column]:
     """Median deviations from a centre: ``flat``, and ``per_root`` of a character."""
-    away = F.abs(F.col("x") - (F.col(centre) if isinstance(centre, str) else centre))
+    away = F.abs(F.col("x") - centre)
     root = F.sqrt(F.col("n_chars") + 1)
     return [
         (NORMAL * _median(away)).alias("flat"),

@@ -134,6 +134,26 @@ def test_planted_bad_documents_go_and_clean_ones_stay(spark):
     assert sum(not keep[k] for k in range(300)) <= 3
 
 
+@pytest.mark.parametrize("trusted", [1, 3])
+def test_a_language_with_few_trusted_documents(spark, trusted):
+    chance = random.Random(13)
+    alphabets = {"en": ["an", "ter", "ou", "the", "is"], "el": ["αν", "τε", "ου", "και"], "da": ["an", "te", "ou", "æg"]}
+    sizes = {"en": 120, "el": 60, "da": 12}
+    rows = [
+        (1000 * j + k, syllables(chance, alphabets[lang], 80), lang)
+        for j, (lang, n) in enumerate(sizes.items())
+        for k in range(n)
+    ]
+    bad = [(5000 + k, "".join(chance.choices("#$%&*+=@", k=200)), lang) for k, lang in enumerate(["en", "el", "da"] * 2)]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    labels = [(k, 1, 0) for k in range(100)] + [(1000 * j + k, 1, 0) for j in (1, 2) for k in range(trusted)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classified(docs, labels).collect()}
+    for lang, n in sizes.items():
+        assert sum(not r.keep for r in got.values() if r.lang == lang and r.doc_id < 5000) <= 0.05 * n
+    assert not any(r.keep for r in got.values() if r.doc_id >= 5000)
+
+
 def test_toxic_documents_are_not_trusted(spark):
     labels = [(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, None, 1), (5, 0, 0)]
     labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
