@@ -18,8 +18,8 @@ from shelfspark.session import written
 
 #: About so many labelled rows train the classifier, chosen by a hash of their id.
 SAMPLE_ROWS = 20_000
-#: Words that tell most about a domain, for each domain.
-DOMAIN_WORDS = 64
+#: So many of the commonest features are broadcast (about 100 bytes each); the others are joined by word.
+BROADCAST_WORDS = 200_000
 #: Longer words are no features.
 FEATURE_CHARS = 64
 #: Documents of the sample that a feature occurs in, at least.
@@ -61,7 +61,8 @@ def posteriors(
 ) -> DataFrame:
     """``doc_id, tokens, p_<domain>...`` for every row of ``docs``, posteriors adding to one.
 
-    ``labelled`` has ``doc_id, domain``, one row per id. A domain without a labelled
+    ``labelled`` has ``doc_id, domain``, one row per id. Features are all words of the
+    sample with enough evidence of some domain. A domain without a labelled
     document has posterior zero; without any, all belong to the first domain. Tokens are
     words. Null text has none, and the posterior that no feature word gives.
     """
@@ -103,32 +104,35 @@ def posteriors(
         .filter(F.col("n") >= FEATURE_ROWS)
     )
     counts = written(counts, "word_counts")
-    chosen = None
-    for d in known:
-        evidence = 2 * total * _information(F.col("n"), F.col(f"n_{d}"), n[d], total)
-        best = counts.withColumn("evidence", evidence).filter(F.col("evidence") >= EVIDENCE)
-        best = best.orderBy(F.desc("evidence"), "word").limit(DOMAIN_WORDS).drop("evidence")
-        chosen = best if chosen is None else chosen.union(best)
-    # At most DOMAIN_WORDS rows for each domain.
-    features = chosen.distinct().collect()
+    evidence = F.greatest(
+        *[2 * total * _information(F.col("n"), F.col(f"n_{d}"), n[d], total) for d in known]
+    )
     # Only words that occur count: the lack of words says little of a short text.
-    weights = [
-        (f.word, *[math.log((f[f"n_{d}"] + 0.5) / (n[d] + 1)) for d in known]) for f in features
-    ]
-    weights.append((ANY, *[math.log(n[d] / total) for d in known]))
+    features = written(
+        counts.filter(evidence >= EVIDENCE).select(
+            "word", "n", *[F.log((F.col(f"n_{d}") + 0.5) / (n[d] + 1)).alias(f"w_{d}") for d in known]
+        ),
+        "features",
+    )
+    n_features = features.count()
+    # The rest are words with many commoner ones before them, so none of them is a hot key.
+    common = features if n_features <= BROADCAST_WORDS else features.orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS)
     schema = "word string, " + ", ".join(f"`w_{d}` double" for d in known)
-    table = F.broadcast(docs.sparkSession.createDataFrame(weights, schema))
-    vocabulary = F.array(*[F.lit(f.word) for f in features]).cast("array<string>")
+    prior = docs.sparkSession.createDataFrame([(ANY, *[math.log(n[d] / total) for d in known])], schema)
+    common = common.drop("n").unionByName(prior)
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     found = numbered.select(
         "row",
         "doc_id",
         tokens.cast("long").alias("tokens"),
-        F.explode(F.concat(F.array(F.lit(ANY)), F.array_intersect("words", vocabulary))).alias("word"),
+        F.explode(F.array_distinct(F.concat(F.array(F.lit(ANY)), F.col("words")))).alias("word"),
     )
+    weighed = found.join(F.broadcast(common), "word")
+    if n_features > BROADCAST_WORDS:
+        rest = features.drop("n").join(common, "word", "left_anti")
+        weighed = weighed.unionByName(found.join(rest, "word"))
     sums = (
-        found.join(table, "word")
-        .groupBy("row")
+        weighed.groupBy("row")
         .agg(
             F.first("doc_id").alias("doc_id"),
             F.first("tokens").alias("tokens"),

@@ -169,6 +169,18 @@ def test_naive_bayes_is_that_of_the_formula(spark):
         assert got[doc_id].p_low == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 10])
+def test_every_word_with_evidence_is_a_feature(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_WORDS", broadcast)
+    rows = [(k, f" word w{k // 8} ") for k in range(800)] + [(k, "word") for k in range(800, 3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(k, "low" if k < 800 else "good") for k, _ in rows], "doc_id long, domain string")
+    got = mixing.posteriors(docs, labelled, ["good", "low"]).collect()
+    assert len(got) == len(rows) and all(r.tokens == (2 if r.doc_id < 800 else 1) for r in got)
+    assert all(r.p_low == pytest.approx(1 / (1 + 3 * (0.5 / 2401) / (8.5 / 801))) for r in got if r.doc_id < 800)
+    assert all(r.p_low == pytest.approx(0.25) for r in got if r.doc_id >= 800)
+
+
 def test_rates_meet_targets(spark):
     from pyspark.sql import functions as F
 
