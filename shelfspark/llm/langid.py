@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import among, text_or_empty, worker_cache
 from shelfspark.session import written
 
-#: The bounded sample that a language is learnt from: documents, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 120, 400
+#: The bounded sample that a language is learnt from: documents, and characters of each, in segments
+#: all over its text. 48,000 characters a language, as every worker holds a table of steps that grows with them.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SEGMENTS = 120, 400, 4
 #: Symbols of a window. Windows are parsed side by side; a phrase ends with its window.
 WINDOW = 2048
 #: Characters parsed at a time.
@@ -39,7 +40,9 @@ def learnt(
     """Automata of the languages in ``labelled``: name, training length, its edges.
 
     Rows without text or language teach nothing. Each language is learnt from
-    ``SAMPLE_DOCS`` documents, those with the smallest hash of their id.
+    ``SAMPLE_DOCS`` documents, those with the smallest hash of their id: from each
+    ``SAMPLE_CHARS`` characters, a segment at a hashed place in each of as many equal parts
+    of its text as there are segments; shorter texts are taken whole.
     """
     rows = labelled.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -50,13 +53,26 @@ def learnt(
     ranked = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(by_hash))
     chosen = written(ranked.filter(F.col("rank") <= SAMPLE_DOCS).select("doc_id"), "sample")
     sample = among(rows, chosen, "doc_id").select(
-        "lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")
+        "lang", "doc_id", _segments(F.col("text")).alias("text")
     )
     automata = sample.groupBy("lang").applyInPandas(_automaton, "lang string, length long, edges binary")
     # A row per language, of a size that the sample bounds.
     return sorted((r.lang, r.length, bytes(r.edges)) for r in automata.collect() if r.length)
 
 
+def _segments(text: Column) -> Column:
+    """``SAMPLE_CHARS`` characters from all over a longer text, by a hash of ``doc_id``."""
+    size = SAMPLE_CHARS // SAMPLE_SEGMENTS
+    part = F.floor(F.length(text) / SAMPLE_SEGMENTS).cast("int")
+    segments = [
+        text.substr(
+            (k * part + F.pmod(F.xxhash64("doc_id", F.lit(k)), part - size + 1) + 1).cast("int"), F.lit(size)
+        )
+        for k in range(SAMPLE_SEGMENTS)
+    ]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *segments))
+
+
 def identified(
     docs: DataFrame,
     automata: list[tuple[str, int, bytes]],

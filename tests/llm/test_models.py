@@ -25,6 +25,19 @@ def test_language_of_texts(spark, corpus, nothing):
     assert langid.identified(corpus, automata).count() == corpus.count()
 
 
+def test_a_language_is_learnt_from_behind_a_foreign_header(spark):
+    chance = random.Random(8)
+    bits = {"aa": ["an", "ter", "ou", "the"], "bb": ["zu", "sch", "ein", "och"]}
+    prose = lambda l, n: " ".join("".join(chance.choices(bits[l], k=2)) for _ in range(n))
+    header = {"aa": prose("bb", 100), "bb": prose("aa", 100)}
+    rows = [(k, f"{header[l]}\n{prose(l, 400)}", l) for k, l in enumerate(["aa", "bb"] * 20)]
+    automata = langid.learnt(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(length <= 120 * 404 for _, length, _ in automata)
+    ask = [(k, prose("aa" if k < 10 else "bb", 30)) for k in range(20)]
+    got = langid.identified(spark.createDataFrame(ask, "doc_id long, text string"), automata).collect()
+    assert all(r.lang_pred == ("aa" if r.doc_id < 10 else "bb") for r in got)
+
+
 def test_phrases_are_longest_matches(spark):
     import pandas as pd
 
