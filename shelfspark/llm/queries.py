@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import exact_dedup, hmm, langid, mixing, neighbours, packing, quality, rollups
-from shelfspark.llm import simhash, substrings
+from shelfspark.llm import conversations, exact_dedup, hmm, langid, mixing, neighbours, packing, quality
+from shelfspark.llm import rollups, simhash, substrings
 from shelfspark.llm.common import table
 from shelfspark.session import new_path, written
 
@@ -121,3 +121,35 @@ def op2_token_counts(spark, sf_dir):
 @query
 def op4_substring_dedup(spark, sf_dir):
     return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with one row in 20 each dropped, emptied, cut short, repeated, or given to the user."""
+    space = F.lit(" ")
+    conv_id, turn = (F.coalesce(F.col(name).cast("string"), space) for name in ("conv_id", "turn"))
+    hit = F.crc32(F.concat(conv_id, F.lit(":"), turn).cast("binary")) % 20
+    text = F.coalesce("text", space)
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(hit == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(hit == 1, "").when(hit == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """Damaged conversations, audited and repaired; those without rows left are whole and empty."""
+    rows = table(spark, sf_dir, "conversations")
+    audits, repaired = conversations.repaired(damaged(rows))
+    found = audits.join(
+        conversations.digests(repaired).withColumnRenamed("conv_id", "of"), F.expr("conv_id <=> of"), "left"
+    ).drop("of")
+    every = rows.select(F.col("conv_id").alias("of")).distinct()
+    return (
+        every.join(found, F.expr("conv_id <=> of"), "left")
+        .select(F.col("of").alias("conv_id"), *found.columns[1:])
+        .fillna({name: 0 for name in found.columns[1:-2]} | {"audit": ""})
+        .withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+    )
