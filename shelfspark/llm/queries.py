@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import conversations, exact_dedup, hmm, langid, mixing, neighbours, packing, quality
-from shelfspark.llm import rollups, simhash, substrings
+from shelfspark.llm import conversations, exact_dedup, hmm, imatch, langid, mixing, neighbours
+from shelfspark.llm import packing, phrases, quality, rollups, simhash, substrings
 from shelfspark.llm.common import table
 from shelfspark.session import new_path, written
 
@@ -153,3 +153,62 @@ def op11_conversation_repair(spark, sf_dir):
         .fillna({name: 0 for name in found.columns[1:-2]} | {"audit": ""})
         .withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
     )
+
+
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), listed AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), placed AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed
+), grams AS (
+    SELECT lang, w[i] AS phrase, 1 AS words FROM placed
+    UNION ALL SELECT lang, w[i] || ' ' || w[i + 1], 2 FROM placed WHERE i + 1 <= len(w)
+    UNION ALL SELECT lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3 FROM placed WHERE i + 2 <= len(w)
+), f AS (
+    SELECT lang, phrase, words, count(*) AS f FROM grams GROUP BY ALL
+), total AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang
+), found AS (
+    SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 10
+), cuts AS (
+    SELECT lang, phrase, a, 1 AS k, w[1] AS left_part, array_to_string(w[2:], ' ') AS right_part FROM found
+    UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM found WHERE words = 3
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+           ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.left_part
+    JOIN f y ON y.lang = c.lang AND y.phrase = c.right_part
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ones AS (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM found WHERE words = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM found WHERE words = 3
+), longer AS (
+    SELECT lang, phrase, max(a) AS most FROM inner_ones GROUP BY ALL
+), ranked AS (
+    SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank,
+           b.phrase, a, l, r, score
+    FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase
+    WHERE o.most IS NULL OR 100 * o.most < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_document_fingerprints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = imatch.compared_with_next(docs, imatch.lexicon(docs))
+    text = lambda name: F.lower(F.hex(name)).alias(name)
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next"
+    )
