@@ -1,14 +1,17 @@
 """Phrase collocations, counted in burstable tries.
 
-A task counts phrases of up to three words in a trie over word ids: a hash container holds
-phrases of many first words until it is large; then words with many phrases in it burst out
-into subtrees of their own, and within these second words. When a task holds too many
-phrases its largest subtrees leave whole, as runs in phrase order. Runs are merged by prefix (the
-first two words), and a prefix is split by the next word, so that none is a hot key.
+Words are counted first. Then a task counts the phrases that begin at each place, up to three
+words, in a trie over word ids: one hash container holds those of all first words until it
+is large; then words with many phrases in it burst out into containers of their own, and these by
+their second word. A phrase of three words stands for its first two and its first as well.
+When a task holds too many, its largest subtrees leave whole, as sorted runs: word numbers in
+columns, compressed, with the words themselves, a run per prefix partition. The runs of a
+partition (first two words by hash) are merged; only phrases that are frequent come out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,98 +21,139 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import in_parts, text_or_empty
 from shelfspark.session import written
 
-#: A container with more phrases bursts; a word with this share of them gets a subtree.
+#: A container with more phrases bursts; a word with this share of them gets its own.
 BURST, SHARE = 8192, 64
 #: Phrases, and words, that a task holds before subtrees leave (all of them for words).
-HELD, WORDS = 1_000_000, 500_000
-#: Parts of a prefix, by its next word.
-SLICES = 16
+HELD, WORDS = 1_000_000, 1_000_000
+#: Places of text counted at a time.
+PLACES = 400_000
+#: Places of text of a prefix partition, which is merged in memory.
+MERGED = 2_000_000
+#: Prefixes of two words that each are one in ``COMMON`` words or more (at most so many words) are
+#: split into ``SLICES`` by the next word, as one such prefix may hold much of the text.
+COMMON, SLICES = 1000, 8
 #: The language of rows without one.
 UNKNOWN = "und"
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-LOW = (1 << 32) - 1
+#: Bits of a word number in a phrase; numbers of what ends a piece, and of nothing between two spaces.
+BITS, END, NOTHING = 21, 0, 1
+LOW = (1 << BITS) - 1
 
 
-class Node:
-    """Counts of a prefix: itself, those in the container by packed word ids, and subtrees."""
+class Trie:
+    """Hash containers of packed phrases: of all words, of burst words, of burst prefixes of two."""
 
-    __slots__ = ("count", "box", "kids", "limit")
+    def __init__(self, burst: int = BURST) -> None:
+        import numpy as np
 
-    def __init__(self) -> None:
-        self.count, self.box, self.kids, self.limit = 0, {}, {}, BURST
+        self.burst = burst
+        self.boxes: list[Counter] = [Counter()]
+        self.limits = [burst]
+        #: Bits that tell the word by which a container bursts; none below second words.
+        self.shifts: list[int | None] = [2 * BITS]
+        self.words, self.word_boxes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pairs, self.pair_boxes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def size(self) -> int:
-        return len(self.box) + sum(kid.size() + 1 for kid in self.kids.values())
-
-    def burst(self, shift: int) -> None:
-        """Give the words that hold much of a full container their own subtrees."""
-        if len(self.box) > self.limit:
-            heads = Counter(key >> shift for key in self.box)
-            apart = {word for word, n in heads.items() if n * SHARE >= len(self.box)}
-            rest, low = {}, (1 << shift) - 1
-            for key, n in self.box.items():
-                word = key >> shift
-                if word not in apart:
-                    rest[key] = n
-                    continue
-                kid = self.kids.setdefault(word, Node())
-                if key & low:
-                    kid.box[key & low] = n
-                else:
-                    kid.count += n
-            self.box, self.limit = rest, max(BURST, 2 * len(rest))
-        if shift > 32:
-            for kid in self.kids.values():
-                kid.burst(shift - 32)
-
-    def phrases(self, prefix: tuple = (), words: int = 3) -> Iterator[tuple[tuple, int]]:
-        """Word ids of every phrase and its count; keys hold up to ``words`` more words."""
-        if self.count:
-            yield prefix, self.count
-        for key, n in self.box.items():
-            ids = (key >> 32 * at & LOW for at in range(words - 1, -1, -1))
-            yield (*prefix, *(word for word in ids if word)), n
-        for word, kid in self.kids.items():
-            yield from kid.phrases((*prefix, word), words - 1)
-
-
-def add(root: Node, ids: list[int]) -> None:
-    """Count all phrases of a piece of text; word ids begin at one."""
-    box, kids = root.box, root.kids
-    for a, b, c in zip(ids, [*ids[1:], 0], [*ids[2:], 0, 0]):
-        kid = kids.get(a)
-        if kid is None:
-            key = a << 64
-            box[key] = box.get(key, 0) + 1
-            if b:
-                key |= b << 32
-                box[key] = box.get(key, 0) + 1
-                if c:
-                    key |= c
-                    box[key] = box.get(key, 0) + 1
-            continue
-        kid.count += 1
-        if not b:
-            continue
-        deep = kid.kids.get(b)
-        if deep is None:
-            inner, key = kid.box, b << 32
-            inner[key] = inner.get(key, 0) + 1
-            if c:
-                key |= c
-                inner[key] = inner.get(key, 0) + 1
+        return sum(map(len, self.boxes))
+
+    def _places(self, keys):
+        """The container of each phrase."""
+        import numpy as np
+
+        boxes = np.zeros(len(keys), np.int64)
+        for known, theirs, shift in ((self.words, self.word_boxes, 2 * BITS), (self.pairs, self.pair_boxes, BITS)):
+            if len(known):
+                prefix = keys >> shift
+                at = np.minimum(np.searchsorted(known, prefix), len(known) - 1)
+                boxes = np.where(known[at] == prefix, theirs[at], boxes)
+        return boxes
+
+    def add(self, keys, counts=None) -> None:
+        import numpy as np
+
+        boxes = self._places(keys)
+        order = np.argsort(boxes, kind="stable")
+        found, starts = np.unique(boxes[order], return_index=True)
+        for box, part in zip(found.tolist(), np.split(order, starts[1:])):
+            if counts is None:
+                self.boxes[box].update(keys[part].tolist())
+            else:
+                self.boxes[box].update(dict(zip(keys[part].tolist(), counts[part].tolist())))
+            if len(self.boxes[box]) > self.limits[box] and self.shifts[box] is not None:
+                self._burst(box)
+
+    def _burst(self, box: int) -> None:
+        """Give the words that hold much of a full container their own."""
+        import numpy as np
+
+        keys, counts = arrays(self.boxes[box])
+        shift = self.shifts[box]
+        heads, sizes = np.unique(keys >> shift, return_counts=True)
+        apart = heads[sizes * SHARE >= len(keys)]
+        new = len(self.boxes) + np.arange(len(apart))
+        deeper = BITS if shift == 2 * BITS else None
+        for _ in apart:
+            self.boxes.append(Counter())
+            self.limits.append(self.burst)
+            self.shifts.append(deeper)
+        if shift == 2 * BITS:
+            self.words, self.word_boxes = _merged(self.words, self.word_boxes, apart, new)
         else:
-            deep.count += 1
-            if c:
-                deep.box[c] = deep.box.get(c, 0) + 1
+            self.pairs, self.pair_boxes = _merged(self.pairs, self.pair_boxes, apart, new)
+        stays = ~np.isin(keys >> shift, apart)
+        self.boxes[box] = Counter(dict(zip(keys[stays].tolist(), counts[stays].tolist())))
+        self.limits[box] = max(self.burst, 2 * int(stays.sum()))
+        self.add(keys[~stays], counts[~stays])
 
+    def largest(self, enough: int) -> list[Counter]:
+        """Containers taken out, largest first, until they hold enough phrases."""
+        gone = []
+        for box in sorted(range(len(self.boxes)), key=lambda box: -len(self.boxes[box])):
+            if enough <= 0:
+                break
+            enough -= len(self.boxes[box])
+            gone.append(self.boxes[box])
+            self.boxes[box], self.limits[box] = Counter(), self.burst
+        return gone
 
-class _Ids(dict):
+
+def _merged(known, boxes, more, theirs):
+    import numpy as np
+
+    known, boxes = np.append(known, more), np.append(boxes, theirs)
+    order = np.argsort(known)
+    return known[order], boxes[order]
+
+
+def arrays(box: Counter):
+    """Packed phrases and counts of a container."""
+    import numpy as np
+
+    return np.fromiter(box.keys(), np.int64, len(box)), np.fromiter(box.values(), np.int64, len(box))
+
+
+def phrases_at(ids):
+    """The packed phrase at every word of texts, given as word numbers with ends between pieces."""
+    import numpy as np
+
+    ids = ids[ids != NOTHING]
+    second = np.append(ids[1:], [END] * min(1, len(ids)))
+    third = np.append(second[1:], [END] * min(1, len(ids)))
+    third = np.where(second == END, END, third)
+    return ((ids << 2 * BITS) | (second << BITS) | third)[ids != END]
+
+
+class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self) + 1
+        self[word] = number = len(self)
         return number
 
 
+def _numbers() -> _Numbers:
+    return _Numbers({b"\n": END, b"": NOTHING})
+
+
 def _table() -> bytes:
     """Lower case A-Z, a newline for what ends pieces, a space for tabs."""
     table = bytearray(range(256)).lower()
@@ -119,94 +163,250 @@ def _table() -> bytes:
     return bytes(table)
 
 
-def _runs(held: int, most_words: int):
-    """From rows (lang, text) to runs (lang, phrase, f); the empty phrase counts all words."""
+def _split(text: bytes, table: bytes) -> list[bytes]:
+    """Words, newlines at the ends of pieces, and nothing where spaces meet."""
+    return (text.translate(table) + b"\n").replace(b"\n", b" \n ").split(b" ")
 
-    def run(subtrees: list[tuple[str, Node, tuple, int]], words: _Ids, totals: Counter) -> Iterator:
+
+def _texts(batches: Iterator) -> Iterator[list[tuple[str, bytes]]]:
+    import pyarrow as pa
+
+    for batch in in_parts(batches, 200):
+        yield list(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()))
+
+
+def _word_counts(most: int):
+    """Words of a task by language, and under nothing the number of all."""
+
+    def batches(counts: dict[str, Counter]) -> Iterator:
         import pyarrow as pa
 
-        names = [b"", *words]
-        for lang, node, prefix, more in subtrees:
-            rows = sorted((b" ".join([names[word] for word in ids]), n) for ids, n in node.phrases(prefix, more))
-            if totals[lang]:
-                rows.insert(0, (b"", totals.pop(lang)))
-            for start in range(0, len(rows), 50_000):
-                phrases, counts = zip(*rows[start : start + 50_000])
+        for lang, words in counts.items():
+            total = sum(n for word, n in words.items() if word not in (b"", b"\n"))
+            words.pop(b"\n", None)
+            words[b""] = total
+            names, numbers = list(words), list(words.values())
+            for start in range(0, len(names), 50_000):
+                part = slice(start, start + 50_000)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(phrases), pa.string()),
-                        pa.array(phrases, pa.binary()).view(pa.string()),
-                        pa.array(counts, pa.int64()),
+                        pa.array([lang] * len(names[part]), pa.string()),
+                        pa.array(names[part], pa.binary()).view(pa.string()),
+                        pa.array(numbers[part], pa.int64()),
                     ],
                     names=["lang", "phrase", "f"],
                 )
 
-    def runs(batches: Iterator) -> Iterator:
+    def word_counts(rows: Iterator) -> Iterator:
+        table, counts = _table(), {}
+        for texts in _texts(rows):
+            for lang, text in texts:
+                counts.setdefault(lang, Counter()).update(_split(text, table))
+            if sum(map(len, counts.values())) > most:
+                yield from batches(counts)
+                counts = {}
+        yield from batches(counts)
+
+    return word_counts
+
+
+def _runs(common: set[tuple[str, str]], partitions: int, held: int, most_words: int):
+    """From rows (lang, text) to runs (partition, lang, words, phrases)."""
+
+    def run(lang: str, boxes: list[Counter], names: list[bytes]) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        table, words, tries, totals = _table(), _Ids(), {}, Counter()
-        for batch in in_parts(batches):
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for lang, text in zip(langs, texts):
-                root = tries.get(lang)
-                if root is None:
-                    root = tries[lang] = Node()
-                for piece in text.translate(table).split(b"\n"):
-                    ids = [words[word] for word in piece.split()]
-                    totals[lang] += len(ids)
-                    add(root, ids)
-            for root in tries.values():
-                root.burst(64)
-            if len(words) > most_words:
-                yield from run([(lang, root, (), 3) for lang, root in tries.items()], words, totals)
-                tries, words = {}, _Ids()
-            elif (size := sum(root.size() for root in tries.values())) > held:
-                yield from run(list(_largest(tries, size - held // 2)), words, totals)
-        yield from run([(lang, root, (), 3) for lang, root in tries.items()], words, totals)
+        keys, counts = (np.concatenate(parts) for parts in zip(*map(arrays, boxes)))
+        columns = np.stack([keys >> 2 * BITS, (keys >> BITS) & LOW, keys & LOW])
+        used, local = np.unique(columns, return_inverse=True)
+        words = [names[at] for at in used.tolist()]
+        local = local.reshape(columns.shape)
+        hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+        usual = np.fromiter(((lang, w.decode("utf-8", "replace")) in common for w in words), bool, len(words))
+        a, b, c = local
+        piece = np.where(usual[a] & usual[b], hashes[c] % SLICES + 1, 0)
+        mixed = (hashes[a] * 0x9E3779B1 + hashes[b]) * 0x85EBCA77 + piece * 0xC2B2AE3D
+        part = ((mixed ^ (mixed >> 29)) & (1 << 60) - 1) % partitions
+        order = np.lexsort((c, b, a, part))
+        found, starts = np.unique(part[order], return_index=True)
+        out = []
+        for number, rows in zip(found.tolist(), np.split(order, starts[1:])):
+            here, theirs = np.unique(local[:, rows], return_inverse=True)
+            theirs = theirs.reshape(3, -1)
+            own = b" ".join([words[at] if used[at] != END else b"" for at in here.tolist()])
+            sliced = int((piece[rows] > 0).any())
+            out.append((number, lang, own, pack(theirs, counts[rows]), sliced))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(column, kind)
+                for column, kind in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32()))
+            ],
+            names=["part", "lang", "words", "phrases", "sliced"],
+        )
+
+    def runs(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        table, numbers, tries, waiting = _table(), _numbers(), {}, {}
+
+        def count(lang: str) -> None:
+            ids, waiting[lang] = np.concatenate(waiting[lang]), []
+            tries.setdefault(lang, Trie()).add(phrases_at(ids))
+
+        for texts in _texts(batches):
+            for lang, text in texts:
+                parts = _split(text, table)
+                ids = waiting.setdefault(lang, [])
+                ids.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
+                if sum(map(len, ids)) > PLACES if len(ids) % 100 == 0 else len(parts) > PLACES:
+                    count(lang)
+            full = len(numbers) > most_words
+            if full:
+                for lang in [lang for lang, ids in waiting.items() if ids]:
+                    count(lang)
+            size = sum(trie.size() for trie in tries.values())
+            if full or size > held:
+                names = list(numbers)
+                for lang, trie in tries.items():
+                    share = trie.size() if full else trie.size() - held * trie.size() // (2 * size)
+                    if boxes := trie.largest(share):
+                        yield from run(lang, boxes, names)
+                if full:
+                    numbers = _numbers()
+        names = None
+        for lang in [lang for lang, ids in waiting.items() if ids]:
+            count(lang)
+        names = list(numbers)
+        for lang, trie in tries.items():
+            if trie.size():
+                yield from run(lang, trie.boxes, names)
 
     return runs
 
 
-def _largest(tries: dict[str, Node], enough: int) -> Iterator[tuple[str, Node, tuple, int]]:
-    """Subtrees taken out of the tries, largest first, until they hold enough phrases."""
-    subtrees = [(kid.size(), lang, word) for lang, root in tries.items() for word, kid in root.kids.items()]
-    subtrees += [(len(root.box), lang, 0) for lang, root in tries.items()]
-    for size, lang, word in sorted(subtrees, reverse=True):
-        if enough <= 0:
-            break
-        enough -= size
-        root = tries[lang]
-        if word:
-            yield lang, root.kids.pop(word), (word,), 2
-        else:
-            node = Node()
-            node.box, root.box, root.limit = root.box, {}, BURST
-            yield lang, node, (), 3
+def pack(columns, counts) -> bytes:
+    """Sorted columns of word numbers and counts, byte by byte, compressed."""
+    import numpy as np
+    import zstandard
+
+    first, second, third = columns
+    first = np.diff(first, prepend=0)
+    planes = [c.astype("<u4").view("u1").reshape(-1, 4).T.tobytes() for c in (first, second, third)]
+    planes.append(counts.astype("<u8").view("u1").reshape(-1, 8).T.tobytes())
+    return zstandard.compress(b"".join(planes), 3)
+
+
+def unpack(data: bytes):
+    """What ``pack`` packed: three columns and counts."""
+    import numpy as np
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), "u1").reshape(20, -1)
+    columns = [np.ascontiguousarray(planes[4 * k : 4 * k + 4].T).view("<u4").ravel().astype(np.int64) for k in range(3)]
+    counts = np.ascontiguousarray(planes[12:].T).view("<u8").ravel().astype(np.int64)
+    return np.cumsum(columns[0]), columns[1], columns[2], counts
+
+
+def _summed(keys, counts):
+    """Distinct keys, the sums of their counts, and where each key went."""
+    import numpy as np
+
+    found, back = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, back, counts)
+    return found, sums, back
+
+
+def _frequent(least: int):
+    """From the runs of a task, partition by partition, to frequent phrases of two and three words."""
+
+    def merged(lang: str, runs: list[tuple]) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        numbers = _Numbers({b"": END})
+        parts = []
+        for words, data, _ in runs:
+            to = np.fromiter(map(numbers.__getitem__, words.split(b" ")), np.int64)
+            *columns, counts = unpack(data)
+            parts.append([*(to[column] for column in columns), counts])
+        a, b, c, counts = (np.concatenate(column) for column in zip(*parts))
+        names = list(numbers)
+        pairs, sums, back = _summed((a << 32) | b, counts)
+        # Only a slice of a prefix may be here, so its count can be any.
+        few = 1 if any(sliced for *_, sliced in runs) else least
+        chosen = (sums >= few) & (pairs & 0xFFFFFFFF != END)
+        phrases = [names[p >> 32] + b" " + names[p & 0xFFFFFFFF] for p in pairs[chosen].tolist()]
+        found = sums[chosen].tolist()
+        threes, sums, _ = _summed((back << 32) | c, counts)
+        chosen = (sums >= least) & (threes & 0xFFFFFFFF != END)
+        for key in threes[chosen].tolist():
+            pair = int(pairs[key >> 32])
+            phrases.append(b" ".join((names[pair >> 32], names[pair & 0xFFFFFFFF], names[key & 0xFFFFFFFF])))
+        found += sums[chosen].tolist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang] * len(phrases), pa.string()),
+                pa.array(phrases, pa.binary()).view(pa.string()),
+                pa.array(found, pa.int64()),
+            ],
+            names=["lang", "phrase", "f"],
+        )
+
+    def frequent(batches: Iterator) -> Iterator:
+        now, held = None, []
+        for batch in in_parts(batches, 100):
+            for part, lang, *run in zip(*(column.to_pylist() for column in batch.columns)):
+                if held and (part, lang) != now:
+                    yield from merged(now[1], held)
+                    held = []
+                now = (part, lang)
+                held.append(run)
+        if held:
+            yield from merged(now[1], held)
+
+    return frequent
 
 
 def phrase_counts(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", held: int = HELD, words: int = WORDS
+    docs: DataFrame,
+    least: int = 10,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    held: int = HELD,
+    words: int = WORDS,
 ) -> DataFrame:
     """``lang, phrase, f``: how often each phrase of one to three words occurs within pieces.
 
-    Texts are lower-cased (A-Z), cut at ``. , ; : ! ?`` and line ends into pieces and these at
-    spaces and tabs into words; phrases are joined by spaces. The empty phrase counts all
-    words. Null text is empty, a null language ``und``; other columns aren't read. Texts
-    without words, and an empty table, give no rows.
+    Phrases that occur ``least`` times or more, and under the empty phrase all words. Texts are
+    lower-cased (A-Z), cut at ``. , ; : ! ?`` and line ends into pieces and these at spaces and
+    tabs into words; phrases are joined by spaces. Null text is empty, a null language
+    ``und``; other columns aren't read. Languages without words, and an empty table, give no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), text_or_empty(text_col).alias("text")
     )
-    runs = rows.mapInArrow(_runs(held, words), "lang string, phrase string, f long")
-    prefix = F.substring_index("phrase", " ", 2).alias("prefix")
-    piece = F.pmod(F.hash("phrase"), F.lit(SLICES)).alias("slice")
-    return (
-        runs.select("*", prefix, piece)
-        .repartition("lang", "prefix", "slice")
-        .groupBy("lang", "prefix", "slice", "phrase")
+    schema = "lang string, phrase string, f long"
+    singles = written(
+        rows.mapInArrow(_word_counts(words), schema)
+        .groupBy("lang", "phrase")
         .agg(F.sum("f").alias("f"))
-        .select("lang", "phrase", "f")
+        .filter((F.col("f") >= least) | ((F.col("phrase") == "") & (F.col("f") > 0))),
+        "words",
     )
+    total = singles.filter("phrase = ''").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    # At most COMMON words, as each has that share of all.
+    often = singles.filter((F.col("phrase") != "") & (F.col("f") * COMMON >= total)).collect()
+    common = {(row.lang, row.phrase) for row in often}
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // MERGED)
+    runs = rows.mapInArrow(
+        _runs(common, partitions, held, words), "part long, lang string, words binary, phrases binary, sliced int"
+    )
+    merged = runs.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(_frequent(least), schema)
+    longer = merged.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return singles.unionByName(longer)
 
 
 def collocations(
@@ -226,12 +426,7 @@ def collocations(
     then ``a``, then the phrase in byte order. Nulls, empty texts and tables as in ``phrase_counts``.
     """
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    counts = written(
-        phrase_counts(docs, text_col, lang_col)
-        .withColumn("words", size)
-        .filter((F.col("words") == 0) | (F.col("f") >= least)),
-        "phrases",
-    )
+    counts = written(phrase_counts(docs, least, text_col, lang_col).withColumn("words", size), "phrases")
     found = counts.filter("words > 1").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
 
     def joined(*places: int) -> Column:

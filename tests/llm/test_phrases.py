@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from shelfspark.llm import phrases
@@ -61,35 +62,45 @@ def invented(n=400):
 
 
 @pytest.mark.parametrize("held,words", [(phrases.HELD, phrases.WORDS), (50, 1000), (1000, 20)])
-def test_counts_equal_plain_version(spark, held, words):
+@pytest.mark.parametrize("least", [1, 4])
+def test_counts_equal_plain_version(spark, held, words, least):
     """Also where subtrees, or all words, leave after every part of the rows."""
     rows = invented()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = phrases.phrase_counts(docs, held=held, words=words).collect()
-    expected = {(lang, p, n) for lang, f in plain_counts([r[1:3] for r in rows]).items() for p, n in f.items()}
+    got = phrases.phrase_counts(docs, least, held=held, words=words).collect()
+    expected = {
+        (lang, p, n)
+        for lang, f in plain_counts([r[1:3] for r in rows]).items()
+        for p, n in f.items()
+        if n >= least or not p
+    }
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
 
 
 def test_tries_that_burst():
-    """Subtrees of first and second words, in memory and when the largest leave."""
+    """Containers of first words and prefixes of two, in memory and when the largest leave."""
     chance = random.Random(1)
-    texts = [[min(int(chance.paretovariate(0.7)), 50) for _ in range(30)] for _ in range(400)]
-    root, whole = phrases.Node(), Counter()
-    root.limit = 40
-    for words in texts:
-        phrases.add(root, words)
-        root.burst(64)
-        for kid in root.kids.values():
-            kid.limit = min(kid.limit, 20)
-        for n in (1, 2, 3):
-            whole.update(tuple(words[at : at + n]) for at in range(len(words) - n + 1))
-    assert root.kids and any(kid.kids for kid in root.kids.values())
-    size, total = root.size(), Counter()
-    gone = list(phrases._largest({"en": root}, size // 2))
-    assert 0 < root.size() < size
-    for _, node, prefix, more in [*gone, ("en", root, (), 3)]:
-        total.update(dict(node.phrases(prefix, more)))
-    assert total == whole
+    trie, whole = phrases.Trie(burst=40), Counter()
+    for _ in range(40):
+        ids = [min(int(chance.paretovariate(0.7)), 50) + 1 if chance.random() < 0.9 else 0 for _ in range(300)]
+        keys = phrases.phrases_at(np.array(ids + [0]))
+        trie.add(keys)
+        whole.update(keys.tolist())
+        plain = [tuple(x) for x in zip(ids, [*ids[1:], 0], [*ids[2:], 0, 0]) if x[0] > 1]
+        plain = [(a, b, c if b else 0) for a, b, c in plain]
+        if 1 not in ids:
+            assert [(k >> 42, k >> 21 & phrases.LOW, k & phrases.LOW) for k in keys.tolist()] == plain
+    assert len(trie.words) and len(trie.pairs) and sum(trie.boxes, Counter()) == whole
+    size = trie.size()
+    gone = trie.largest(size // 2)
+    assert 0 < trie.size() < size and sum([*gone, *trie.boxes], Counter()) == whole
+
+
+def test_packed_runs():
+    chance = np.random.default_rng(3)
+    columns = np.sort(chance.integers(0, 2**21, (3, 1000)), axis=1)
+    counts = chance.integers(1, 2**40, 1000)
+    assert all((x == y).all() for x, y in zip([*columns, counts], phrases.unpack(phrases.pack(columns, counts))))
 
 
 @pytest.mark.parametrize("least,most", [(10, 2000), (3, 15)])
