@@ -9,7 +9,6 @@ none of the changed terms: in sparse subsets if they are long, in dense ones if
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,16 +28,17 @@ RATES, SUBSETS = (1, 3, 5, 7, 9), 16
 TELLING = 3
 #: Terms that a task counts or remembers at a time.
 REMEMBERED = 300_000
-TERM = re.compile(r"[^\W_]+")
+#: ASCII that is no letter or digit ends a term; all other characters are part of terms.
+SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 COMPARED = (
     "part int, kind string, doc_id long, n_chars long, edited_sha256 string, fingerprint binary, "
     "edited_fingerprint binary, near_edited double, near_next double, text string"
 )
 
 
-def terms(text: str) -> set[str]:
-    """Distinct runs of letters and digits, in lower case."""
-    return set(TERM.findall(text.lower()))
+def terms(text: str) -> set[bytes]:
+    """Distinct runs of letters, digits and other characters beyond ASCII, in lower case."""
+    return set(text.lower().encode("utf-8", "replace").translate(SPACED).split())
 
 
 def lexicon(
@@ -104,8 +104,8 @@ def fingerprinted(docs: DataFrame, words: bytes, id_col: str = "doc_id", text_co
     return rows.mapInArrow(batches, "doc_id long, fingerprint binary")
 
 
-def likeness(a: bytes, b: bytes) -> float:
-    """How alike two fingerprints are, from 0 to 1.
+def likeness(a: list[bytes], b: list[bytes]) -> list[float]:
+    """How alike the fingerprints of two lists are, one by one, from 0 to 1.
 
     Per rate, the share of subsets in which they agree, of those where either has a term. The
     largest share counts, of rates with ``TELLING`` such subsets, or else of the rates
@@ -113,12 +113,12 @@ def likeness(a: bytes, b: bytes) -> float:
     """
     import numpy as np
 
-    x, y = (np.frombuffer(f, "<u2").reshape(len(RATES), SUBSETS) for f in (a, b))
+    x, y = (np.frombuffer(b"".join(prints), "<u2").reshape(-1, len(RATES), SUBSETS) for prints in (a, b))
     some = (x != 0) | (y != 0)
-    held = some.sum(axis=1)
-    agreed = ((x == y) & some).sum(axis=1)
-    telling = held >= min(TELLING, held.max())
-    return float((agreed[telling] / np.maximum(held[telling], 1)).max())
+    held = some.sum(axis=2)
+    agreed = ((x == y) & some).sum(axis=2)
+    telling = held >= np.minimum(TELLING, held.max(axis=1, keepdims=True))
+    return np.where(telling, agreed / np.maximum(held, 1), 0).max(axis=1).tolist()
 
 
 def compared_with_next(docs: DataFrame, words: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,13 +160,14 @@ def _counted(batches: Iterator) -> Iterator:
         for start in range(0, len(names), 50_000):
             part = slice(start, start + 50_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[part], pa.string()), pa.array(numbers[part], pa.int64())], names=["term", "df"]
+                [pa.array(names[part], pa.binary()).view(pa.string()), pa.array(numbers[part], pa.int64())],
+                names=["term", "df"],
             )
 
     for batch in in_parts(batches):
         for text in batch.column(0).to_pylist():
             counts.update(terms(text))
-        counts[""] += batch.num_rows
+        counts[b""] += batch.num_rows
         if len(counts) > REMEMBERED:
             yield from out()
     yield from out()
@@ -175,7 +176,7 @@ def _counted(batches: Iterator) -> Iterator:
 class _Hashes(dict):
     """XXH64 of terms, as ``xxhash64`` has it."""
 
-    def __missing__(self, term: str) -> int:
+    def __missing__(self, term: bytes) -> int:
         import xxhash
 
         if len(self) > REMEMBERED:
@@ -193,6 +194,19 @@ def _mixed(numbers):
     return numbers ^ (numbers >> np.uint64(31))
 
 
+def _members(known):
+    """In which subsets each term of the lexicon is: a bit per subset, two bytes per rate."""
+    import numpy as np
+
+    n = len(RATES) * SUBSETS
+    seeds = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    bits = np.zeros((len(known), len(RATES)), "<u2")
+    for at, seed in enumerate(seeds):
+        inside = _mixed(known ^ seed) >> np.uint64(64 - RATES[at // SUBSETS]) == 0
+        bits[:, at // SUBSETS] |= inside.astype("<u2") << np.uint16(at % SUBSETS)
+    return bits
+
+
 def _signer(shared):
     """A function from texts to fingerprints."""
     import numpy as np
@@ -201,42 +215,49 @@ def _signer(shared):
     cache = worker_cache()
     hash_of = cache.setdefault("imatch_hashes", _Hashes())
     known = np.frombuffer(shared.value, np.uint64)
+    if cache.get("imatch_known") != shared.value:
+        cache["imatch_known"], cache["imatch_members"] = shared.value, _members(known)
+    members = cache["imatch_members"]
     n = len(RATES) * SUBSETS
-    seeds = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(len(RATES), SUBSETS)
-    short = lambda data: xxhash.xxh64_intdigest(data) % 0xFFFF + 1
+    digest = xxhash.xxh64_intdigest
 
     def sign(text: str) -> bytes:
         found = terms(text)
-        hashes = np.fromiter((hash_of[term] for term in found), np.uint64, len(found))
+        hashes = np.fromiter(map(hash_of.__getitem__, found), np.uint64, len(found))
         hashes.sort()
-        inside = hashes[:0]
+        at = np.searchsorted(known, hashes)
         if len(known):
-            at = np.searchsorted(known, hashes)
             at[at == len(known)] = 0
-            inside = hashes[known[at] == hashes]
-        if not len(inside):
-            return np.full(n, short(hashes.tobytes() if found else text.encode("utf-8", "replace")), "<u2").tobytes()
-        out = []
-        for rate, salt in zip(RATES, seeds):
-            member = _mixed(inside[None, :] ^ salt[:, None]) >> np.uint64(64 - rate) == 0
-            subset, at = np.nonzero(member)
-            chosen = inside[at]
-            ends = np.searchsorted(subset, np.arange(SUBSETS + 1)).tolist()
-            out += [short(chosen[i:j].tobytes()) if j > i else 0 for i, j in zip(ends, ends[1:])]
+            at = at[known[at] == hashes]
+        else:
+            at = at[:0]
+        if not len(at):
+            whole = digest(hashes.tobytes() if found else text.encode("utf-8", "replace"))
+            return np.full(n, whole % 0xFFFF + 1, "<u2").tobytes()
+        bits = np.unpackbits(members[at].view("u1"), axis=1, bitorder="little")
+        places = np.flatnonzero(np.ascontiguousarray(bits.T)) % len(at)
+        data = known[at[places]].tobytes()
+        ends = (8 * np.cumsum(bits.sum(axis=0, dtype=np.int64))).tolist()
+        out = [digest(data[i:j]) % 0xFFFF + 1 if j > i else 0 for i, j in zip([0, *ends], ends)]
         return np.array(out, "<u2").tobytes()
 
     return sign
 
 
-def _row(doc_id, text: str, print_: bytes, next_text: str, next_print: bytes, sign) -> list:
+def _beside(rows: list[tuple], sign) -> list[list]:
+    """From (id, text, fingerprint, next text, next fingerprint) to rows of the result."""
     import hashlib
 
-    cut = len(text) // 4
-    edited = text[: len(text) - cut] + next_text[:cut]
-    edited_print = print_ if edited == text else sign(edited)
-    sha = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-    near = likeness(print_, edited_print), likeness(print_, next_print)
-    return [None, "row", doc_id, len(text), sha, print_, edited_print, *near, None]
+    out = []
+    for doc_id, text, print_, after, _ in rows:
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        sha = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
+        out.append([None, "row", doc_id, len(text), sha, print_, print_ if edited == text else sign(edited)])
+    prints = [row[5] for row in out]
+    near_edited = likeness(prints, [row[6] for row in out])
+    near_next = likeness(prints, [row[4] for row in rows])
+    return [[*row, *near, None] for row, *near in zip(out, near_edited, near_next)]
 
 
 def _batch(rows: list[list]):
@@ -254,16 +275,16 @@ def _compared(shared):
 
         sign, part, last = _signer(shared), TaskContext.get().partitionId(), None
         for batch in in_parts(batches):
-            out = []
+            rows = []
             for doc_id, text in zip(*(column.to_pylist() for column in batch.columns)):
                 now = (doc_id, text, sign(text))
                 if last is None:
-                    out.append([part, "head", doc_id, *[None] * 6, text])
+                    yield _batch([[part, "head", doc_id, *[None] * 6, text]])
                 else:
-                    out.append(_row(*last, *now[1:], sign))
+                    rows.append((*last, *now[1:]))
                 last = now
-            if out:
-                yield _batch(out)
+            if rows:
+                yield _batch(_beside(rows, sign))
         if last is not None:
             yield _batch([[part, "tail", last[0], *[None] * 6, last[1]]])
 
@@ -275,8 +296,8 @@ def _pairs(shared):
         sign = _signer(shared)
         for batch in in_parts(batches, 50):
             columns = (column.to_pylist() for column in batch.columns)
-            rows = [_row(i, text, sign(text), after, sign(after), sign) for i, text, after in zip(*columns)]
+            rows = [(i, text, sign(text), after, sign(after)) for i, text, after in zip(*columns)]
             if rows:
-                yield _batch(rows)
+                yield _batch(_beside(rows, sign))
 
     return pairs

@@ -17,7 +17,7 @@ def mixed(x):
 
 
 def plain_terms(text):
-    return set(re.findall(r"[^\W_]+", text.lower()))
+    return set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower()))
 
 
 def plain_lexicon(texts):
