@@ -591,7 +591,8 @@ COUNTS = ["n_attributes", "n_buyable", "n_price", "n_available"]
 
 def _stage_counts(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     products, normal, questions = _asked(spark, sf_dir, views.only(*names))
-    counts = find.stage_counts(find.matches(products, questions)).select("question_id", *COUNTS)
+    met = written(find.scope_matches(products, questions), "scope_matches")
+    counts = find.question_counts(met, questions).select("question_id", *COUNTS)
     return _per_request(normal, questions, counts)
 
 
@@ -670,9 +671,7 @@ def a9_search_score(spark, sf_dir):
 def _ranked(spark, sf_dir, columns, browse=False):
     products, normal, questions = _asked(spark, sf_dir, columns, browse)
     matched = written(find.matches(products, questions).filter("available"), "matches")
-    pages = find.page(
-        find.collapse_duplicates(matched), questions, find.furthest_rank(questions)
-    )
+    pages = find.page(find.collapse_duplicates(matched), questions)
     pages = pages.withColumn("score", F.round("score", 6))
     return _per_request(normal, questions, pages)
 
@@ -711,9 +710,7 @@ def w4_collapse_duplicates(spark, sf_dir):
 
 def _envelopes(spark, sf_dir, columns, browse=False):
     products, normal, questions = _asked(spark, sf_dir, columns, browse)
-    envelopes, mentions = find.answer_questions(
-        products, questions, find.furthest_rank(questions)
-    )
+    envelopes, mentions = find.answer_questions(products, questions)
     return normal, questions, envelopes, mentions
 
 
@@ -842,7 +839,7 @@ def w9_byte_budget(spark, sf_dir):
         spark, sf_dir, {**views.BROWSE_COLUMNS, "limit": "20"}, browse=True
     )
     matched = written(find.matches(products, questions).filter("available"), "matches")
-    pages = find.page(find.collapse_duplicates(matched), questions, find.furthest_rank(questions))
+    pages = find.page(find.collapse_duplicates(matched), questions)
     shown = products.select("product_id", respond.summary().alias("summary"))
     listed = (
         pages.join(shown, "product_id")
@@ -910,7 +907,7 @@ def best_per_category(spark, sf_dir):
     )
     questions = find.distinct_questions(find.as_browse(wanted))
     matched = written(find.matches(products, questions).filter("available"), "matches")
-    pages = find.page(find.collapse_duplicates(matched), questions, 5)
+    pages = find.page(find.collapse_duplicates(matched), questions)
     facts = products.select("product_id", "name", F.round("popularity", 6).alias("popularity"))
     return (
         pages.join(facts, "product_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import fixed
@@ -16,6 +16,7 @@ from shelfspark.functions.text import (
 )
 from shelfspark.operators.nearest import closest
 from shelfspark.operators.skew import HOT_ROWS, attach
+from shelfspark.operators.ranks import ranked
 from shelfspark.session import written
 
 
@@ -88,7 +89,7 @@ def category_summary(products: DataFrame) -> DataFrame:
 def vocabulary(products: DataFrame) -> DataFrame:
     """``(kind, value, n, rank)`` of categories, occasions and recipients.
 
-    The ranking window runs over distinct values only: one row per filter value.
+    Distinct values are ranked by a sort over all partitions, however many there are of a kind.
     """
     values = products.select(
         F.explode(
@@ -107,8 +108,8 @@ def vocabulary(products: DataFrame) -> DataFrame:
     counts = values.filter("value IS NOT NULL").groupBy("kind", "value").agg(
         F.count("*").alias("n")
     )
-    order = Window.partitionBy("kind").orderBy(F.desc("n"), "value")
-    return counts.withColumn("rank", F.row_number().over(order))
+    ranks = ranked(counts.withColumn("rarity", -F.col("n")), ["kind"], ["rarity", "value"])
+    return ranks.select("kind", "value", "n", F.col("rank").cast("int").alias("rank"))
 
 
 def category_dimension(products: DataFrame) -> DataFrame:
@@ -117,17 +118,14 @@ def category_dimension(products: DataFrame) -> DataFrame:
     ``place`` is the rank by product count; ``first`` the first product in input
     order, by which slugs are listed.
     """
-    order = Window.orderBy(F.desc("n"), "category")
-    return written(
-        products.groupBy("category")
-        .agg(
-            F.min("category_key").alias("category_key"),
-            F.count("*").alias("n"),
-            F.min("_ord").alias("first"),
-        )
-        .withColumns({"slug": slugify(F.col("category")), "place": F.row_number().over(order)}),
-        "categories",
+    found = products.groupBy("category").agg(
+        F.min("category_key").alias("category_key"),
+        F.count("*").alias("n"),
+        F.min("_ord").alias("first"),
     )
+    found = found.withColumns({"slug": slugify(F.col("category")), "rarity": -F.col("n")})
+    places = ranked(found, [], ["rarity", "category"], "place").drop("rarity")
+    return written(places.withColumn("place", F.col("place").cast("int")), "categories")
 
 
 def category_candidates(dimension: DataFrame) -> DataFrame:
@@ -135,14 +133,9 @@ def category_candidates(dimension: DataFrame) -> DataFrame:
     names = dimension.select(
         F.col("category").alias("candidate"), _place(0, F.col("place")).alias("at")
     )
-    slug_order = Window.orderBy("first")
-    slugs = (
-        dimension.groupBy("slug")
-        .agg(F.min("first").alias("first"))
-        .select(
-            F.col("slug").alias("candidate"),
-            _place(1, F.row_number().over(slug_order)).alias("at"),
-        )
+    slugs = dimension.groupBy("slug").agg(F.min("first").alias("first"))
+    slugs = ranked(slugs, [], ["first", "slug"], "nth").select(
+        F.col("slug").alias("candidate"), _place(1, F.col("nth").cast("int")).alias("at")
     )
     return names.unionByName(slugs)
 

@@ -3,8 +3,8 @@
 Requests that ask the same thing are one question, and questions with the same words
 and attribute filters one scope. A scope meets products through an equal key (a search
 term of the index, or without words its category, occasion or recipient); its matches
-are written once. A question's counts, fallbacks and page are made from the
-matches of its scope: counts are summed, and pages cut to their length, before
+are written once. A question is counted without meeting them, by running sums over the prices of its scope.
+Its page and fallbacks are made from the matches of its scope, and cut to their length before
 anything is shuffled by question.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import fixed
 from shelfspark.functions.text import nfkc, stems, tokens
 from shelfspark.operators.index import term_index, with_terms
+from shelfspark.operators.ranks import ranked, running
 from shelfspark.session import written
 
 PARAMETERS = [
@@ -184,9 +185,14 @@ def matches(
     """Every (question, product) that passes the attribute filters, scored.
 
     Only the matches of scopes are written; those of questions are made from them
-    when they are counted or ranked, and never stored.
+    when they are ranked, and never stored.
     """
     met = written(scope_matches(products, questions, index), "scope_matches")
+    return asked_matches(met, products, questions)
+
+
+def asked_matches(met: DataFrame, products: DataFrame, questions: DataFrame) -> DataFrame:
+    """The scored matches of questions, from the written ones of their scopes."""
     asking = questions.select(
         "question_id",
         scope_id().alias("scope_id"),
@@ -268,32 +274,134 @@ def collapse_duplicates(available: DataFrame) -> DataFrame:
     return single.unionByName(grouped).select("question_id", "b.*")
 
 
-def page(collapsed: DataFrame, questions: DataFrame, most: int) -> DataFrame:
-    """The requested page per question; ``most`` bounds offset + limit of them all.
+#: Pages that end within so many ranks are cut to it per task; a deeper one is found by a sort.
+SHALLOW = 200
+
 
-    The literal bound lets Spark drop lower ranks before the shuffle.
+def page(collapsed: DataFrame, questions: DataFrame) -> DataFrame:
+    """The requested page per question.
+
+    Shallow pages keep the first ``SHALLOW`` ranks of a question at most, and tasks drop later
+    ones before anything is shuffled. A question whose page lies deeper doesn't raise that
+    bound for others: its products alone are ranked by a sort over all partitions.
     """
+    reach = F.col("offset") + F.col("limit")
+    paging = written(questions.select("question_id", "offset", "limit", reach.alias("reach")), "paging")
+    shallow = paging.filter(F.col("reach") <= SHALLOW)
     order = Window.partitionBy("question_id").orderBy("first", "second", "product_id")
-    ranked = collapsed.withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= most
+    ranks = collapsed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SHALLOW)
+    pages = ranks.join(shallow, "question_id")
+    if paging.filter(F.col("reach") > SHALLOW).limit(1).count():
+        deep = paging.filter(F.col("reach") > SHALLOW)
+        among = collapsed.join(deep.select("question_id"), "question_id")
+        ranks = ranked(among, ["question_id"], ["first", "second", "product_id"])
+        pages = pages.unionByName(ranks.withColumn("rank", F.col("rank").cast("int")).join(deep, "question_id"))
+    return pages.filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("reach"))).select(
+        "question_id", "rank", "product_id", "score"
     )
-    paging = questions.select("question_id", "offset", "limit")
-    return (
-        ranked.join(paging, "question_id")
-        .filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("limit")))
-        .select("question_id", "rank", "product_id", "score")
+
+
+#: What is counted of a scope at each price: products, those that can be bought, and both with
+#: the copies of a product as one.
+COUNTED = ["n_all", "n_buy", "n_all_collapsed", "n_buy_collapsed"]
+#: The first products at a price by input order, of all and of those that can be bought.
+FIRST = ["first_all", "first_buy"]
+#: Order at equal prices: where a least price begins, the products, where a highest price ends.
+BEGINS, PRODUCTS, ENDS = 0, 1, 2
+
+
+def scope_prices(met: DataFrame) -> DataFrame:
+    """The products of each scope counted by price: ``COUNTED`` and ``FIRST`` per scope and price.
+
+    Copies share a price, so those of a scope that count as one meet here; a product with
+    very many copies shrinks to a row per task before it moves.
+    """
+    buyable = F.col("stock_level").isin(fixed.RECOMMENDABLE)
+    found = F.struct("price_eur", "_ord", "product_id")
+    single = F.when(F.col("duplicate_group_id").isNull(), F.col("product_id"))
+    units = met.groupBy("scope_id", "price_eur", "duplicate_group_id", single.alias("single")).agg(
+        F.count("*").alias("n_all"),
+        F.count_if(buyable).alias("n_buy"),
+        F.min(found).alias("first_all"),
+        F.min(F.when(buyable, found)).alias("first_buy"),
+    )
+    return units.groupBy("scope_id", "price_eur").agg(
+        F.sum("n_all").alias("n_all"),
+        F.sum("n_buy").alias("n_buy"),
+        F.count("*").alias("n_all_collapsed"),
+        F.count_if(F.col("n_buy") > 0).alias("n_buy_collapsed"),
+        F.min("first_all").alias("first_all"),
+        F.min("first_buy").alias("first_buy"),
+    )
+
+
+def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
+    """How many products survive each filter stage, from the written matches of scopes.
+
+    Per question: ``n_attributes, n_buyable, n_price, n_available``, ``total_matches`` (available
+    ones, copies as one) and ``nearest``, the cheapest product that can be bought outside
+    the price range. No question meets its matches: a scope's products are counted by price, the
+    bounds of its questions take their places in the order of prices, and running
+    sums there are the answers. What is shuffled are matches, prices and questions.
+    """
+    prices = written(scope_prices(met), "scope_prices")
+    asked = questions.select(
+        "question_id", scope_id().alias("scope_id"), "max_price", "min_price",
+        F.col("include_out_of_stock").alias("every_stock"),
     )
 
+    def bound(name: str, side: int) -> DataFrame:
+        return asked.filter(F.col(name).isNotNull()).select(
+            "scope_id", F.col(name).alias("price_eur"), F.lit(side).alias("side"), "question_id"
+        )
+
+    places = prices.filter("price_eur IS NOT NULL").withColumn("side", F.lit(PRODUCTS)).unionByName(
+        bound("min_price", BEGINS).unionByName(bound("max_price", ENDS)), allowMissingColumns=True
+    )
+    sums = running(places, ["scope_id"], ["price_eur", "side", "question_id"], COUNTED, FIRST)
+
+    def at(side: int, name: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(name)))
+
+    found = sums.filter(F.col("side") != PRODUCTS).groupBy("question_id").agg(
+        *[at(BEGINS, f"up_to_{n}").alias(f"below_{n}") for n in COUNTED],
+        *[at(ENDS, f"up_to_{n}").alias(f"within_{n}") for n in COUNTED],
+        *[at(ENDS, f"next_{n}").alias(f"next_{n}") for n in FIRST],
+    )
+    priced = F.col("price_eur").isNotNull()
+    whole = prices.groupBy("scope_id").agg(
+        *[F.sum(n).alias(n) for n in COUNTED],
+        *[F.sum(F.when(priced, F.col(n))).alias(f"priced_{n}") for n in COUNTED],
+        *[F.min(F.when(priced, F.col(n))).alias(n) for n in FIRST],
+    )
+    bounded = _given("max_price") | _given("min_price")
+
+    def in_price(name: str) -> Column:
+        up_to = F.coalesce(f"within_{name}", f"priced_{name}", F.lit(0))
+        some = F.greatest(up_to - F.coalesce(f"below_{name}", F.lit(0)), F.lit(0))
+        return F.when(bounded, some).otherwise(F.col(name))
 
-def stage_counts(matched: DataFrame) -> DataFrame:
-    """How many products survive each filter stage, and the nearest one over budget."""
-    beyond = F.col("buyable") & ~F.col("in_price")
-    return matched.groupBy("question_id").agg(
-        F.count("*").alias("n_attributes"),
-        F.count_if("buyable").alias("n_buyable"),
-        F.count_if("in_price").alias("n_price"),
-        F.count_if("available").alias("n_available"),
-        F.min(F.when(beyond, F.struct("price_eur", "_ord", "product_id"))).alias("nearest"),
+    def stock(name: str, of=F.col) -> Column:
+        return F.when(F.col("every_stock"), of(f"{name}_all")).otherwise(of(f"{name}_buy"))
+
+    def collapsed() -> Column:
+        return F.when(F.col("every_stock"), in_price("n_all_collapsed")).otherwise(in_price("n_buy_collapsed"))
+
+    first, following = stock("first"), stock("next_first")
+    return (
+        asked.join(whole, "scope_id")
+        .join(found, "question_id", "left")
+        .select(
+            "question_id",
+            F.col("n_all").alias("n_attributes"),
+            stock("n").alias("n_buyable"),
+            in_price("n_all").alias("n_price"),
+            stock("n", in_price).alias("n_available"),
+            collapsed().alias("total_matches"),
+            F.when(_given("min_price") & (first["price_eur"] < F.col("min_price")), first)
+            .when(_given("max_price"), following)
+            .alias("nearest"),
+        )
     )
 
 
@@ -332,7 +440,6 @@ def cheapest_overall(products: DataFrame) -> DataFrame:
 def answer_questions(
     products: DataFrame,
     questions: DataFrame,
-    most: int,
     index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(envelopes, mentions) for distinct questions.
@@ -340,23 +447,20 @@ def answer_questions(
     Envelopes hold one row per question: counts, reason, total. Mentions name every
     product a response shows, with its role (result, sold_out, nearest) and rank.
     """
-    matched = matches(products, questions, index)
-    collapsed = collapse_duplicates(matched.filter("available"))
-    totals = collapsed.groupBy("question_id").agg(F.count("*").alias("total_matches"))
-    counts = stage_counts(matched)
+    met = written(scope_matches(products, questions, index), "scope_matches")
     numbers = ["n_attributes", "n_buyable", "n_price", "n_available", "total_matches"]
-    envelopes = (
-        questions.join(counts, "question_id", "left")
-        .join(totals, "question_id", "left")
+    envelopes = written(
+        questions.join(question_counts(met, questions), "question_id", "left")
         .fillna(0, numbers)
-        .withColumn("reason", diagnose())
+        .withColumn("reason", diagnose()),
+        "envelopes",
     )
     empty = envelopes.select("question_id", "reason", "max_price", "min_price", "nearest")
-    sold_out = (
-        most_popular_unavailable(matched)
-        .join(empty.filter("reason = 'out_of_stock_only'").select("question_id"), "question_id")
-        .withColumn("role", F.lit("sold_out"))
-    )
+    # Only questions that found something are ranked, and only sold-out ones look for the popular.
+    full = envelopes.filter("n_available > 0").select(questions.columns)
+    gone = envelopes.filter("reason = 'out_of_stock_only'").select(questions.columns)
+    collapsed = collapse_duplicates(asked_matches(met, products, full).filter("available"))
+    sold_out = most_popular_unavailable(asked_matches(met, products, gone)).withColumn("role", F.lit("sold_out"))
     bounded = _given("max_price") | _given("min_price")
     nearest = empty.filter(
         F.col("reason").isin("out_of_stock_only", "budget_too_low")
@@ -368,15 +472,9 @@ def answer_questions(
         F.col("nearest.product_id").alias("product_id"),
         F.lit("nearest").alias("role"),
     )
-    results = page(collapsed, questions, most).withColumn("role", F.lit("result"))
+    results = page(collapsed, questions).withColumn("role", F.lit("result"))
     columns = ["question_id", "role", "rank", "product_id"]
     mentions = reduce(
         DataFrame.unionByName, [part.select(columns) for part in (results, sold_out, nearest)]
     )
     return envelopes, mentions
-
-
-def furthest_rank(questions: DataFrame) -> int:
-    """The largest offset + limit any question asks for."""
-    reach = F.max(F.col("offset") + F.col("limit"))
-    return questions.agg(F.coalesce(reach, F.lit(1)).alias("reach")).first().reach

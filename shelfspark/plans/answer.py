@@ -158,9 +158,7 @@ def _answer_list(
         normalise, filters = find.as_browse, _browse_filters
     normal = with_ask(normalise(known_rows))
     questions = written(with_ask(find.distinct_questions(normal)), "questions")
-    envelopes, mentions = find.answer_questions(
-        products, questions, find.furthest_rank(questions), index
-    )
+    envelopes, mentions = find.answer_questions(products, questions, index)
     answers = (
         envelopes.drop("nearest")
         .join(_summaries(mentions, products, "question_id", base_url), "question_id", "left")
