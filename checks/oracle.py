@@ -648,6 +648,7 @@ ORACLES["j3_term_match"] = f"""
 WITH {search_ctes(views.only('query'))}
 SELECT request_id, count(*) AS n_products, round(max(score), 6) AS best_score
 FROM keyed WHERE len(q_words) > 0 GROUP BY 1"""
+ORACLES["j3_stored_index"] = ORACLES["j3_term_match"]
 ORACLES["a9_search_score"] = f"""
 WITH {search_ctes(views.SEARCH_COLUMNS)}
 SELECT request_id, round(sum(score), 4) AS sum_score, round(max(score), 6) AS max_score,

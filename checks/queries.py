@@ -642,6 +642,20 @@ def j3_term_match(spark, sf_dir):
     return _per_request(normal, questions, met)
 
 
+@query
+def j3_stored_index(spark, sf_dir):
+    """As ``j3_term_match``, on an index that is stored in buckets and read in part."""
+    products, normal, questions = _asked(spark, sf_dir, views.only("query"))
+    folder = new_path(spark, "catalogue")
+    write_tables({"term_index": index.bucketed(index.term_index(products))}, folder)
+    stored = read_tables(spark, folder, "term_index")["term_index"]
+    asked = questions.filter(F.size("words") > 0)
+    met = find.matches(products, asked, stored).groupBy("question_id").agg(
+        F.count("*").alias("n_products"), F.round(F.max("score"), 6).alias("best_score")
+    )
+    return _per_request(normal, questions, met)
+
+
 @query
 def j4_structured_filters(spark, sf_dir):
     return _stage_counts(

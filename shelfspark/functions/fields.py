@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions import fixed
-from shelfspark.functions.text import NEEDS_PYTHON, TAG_PATTERN, tidy
+from shelfspark.functions.text import TAG_PATTERN, needs_python, tidy
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -38,7 +38,7 @@ def split_multi(cleaned: Column) -> Column:
         .when(F.contains(cleaned, F.lit("/")), "/")
     )
     parts = F.when(separator.isNull(), F.array(cleaned)).otherwise(F.split(cleaned, separator))
-    odd = cleaned.rlike(NEEDS_PYTHON)
+    odd = needs_python(cleaned)
     plain = F.transform(parts, lambda part: F.regexp_replace(part, TAG_PATTERN, " "))
     parts = F.when(odd, _compat_markup_items(F.when(odd, parts))).otherwise(plain)
     items = F.transform(

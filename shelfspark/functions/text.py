@@ -2,7 +2,7 @@
 
 Everything here runs inside Catalyst, except :func:`compat_markup` and
 :func:`nfkc`: Spark has no Unicode normalisation and no HTML unescaping, so the
-values that need them (and only those) visit Python in Arrow batches.
+values that they could change (and only those) visit Python in Arrow batches.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ SPACE_PATTERN = (
     r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 )
 SPACE_BEFORE_PUNCTUATION = r" +([.,;:!?])"
-NEEDS_PYTHON = r"[^\x00-\x7f]|&"
+#: What an HTML entity can begin with; any other ampersand stays as it is.
+ENTITY_PATTERN = r"&[^\t\n\f <&;]"
 
 
 @F.pandas_udf(T.StringType())
@@ -54,15 +55,54 @@ def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def settled_ranges() -> list[tuple[int, int]]:
+    """Ranges of characters beyond ASCII that NFKC leaves alone whatever stands beside them.
+
+    These are no marks, normalise to themselves, and aren't the second part of a composed
+    character. Only ranges of a useful length are kept, as any other character is just looked
+    at in Python.
+    """
+    restless = {code for code in range(0x1161, 0x1176)} | {code for code in range(0x11A8, 0x11C3)}
+    for code in range(0x80, 0x10000):
+        char = chr(code)
+        parts = unicodedata.decomposition(char)
+        if parts and "<" not in parts:
+            restless.update(int(part, 16) for part in parts.split()[1:])
+        if unicodedata.combining(char) or 0xD800 <= code < 0xE000 or unicodedata.normalize("NFKC", char) != char:
+            restless.add(code)
+    ranges, start = [], 0x80
+    for code in [*sorted(restless), 0x10000]:
+        if code - start >= (4 if start < 0x2200 else 32):
+            ranges.append((start, code - 1))
+        start = code + 1
+    return ranges
+
+
+def unsettled(value: Column) -> Column:
+    """Whether NFKC could change a value; never false where it does.
+
+    Only the characters beyond ASCII of a value are held against the ranges.
+    """
+    beyond = F.regexp_replace(value, r"[\x00-\x7f]+", "")
+    ranges = "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in settled_ranges())
+    return F.when(value.rlike(r"[^\x00-\x7f]"), beyond.rlike(f"[^{ranges}]")).otherwise(F.lit(False))
+
+
 def nfkc(value: Column) -> Column:
-    """Compatibility-normalise; plain ASCII never leaves the JVM."""
-    odd = value.rlike(r"[^\x00-\x7f]")
+    """Compatibility-normalise; text that this can't change never leaves the JVM."""
+    odd = unsettled(value)
     return F.when(odd, _nfkc(F.when(odd, value))).otherwise(value)
 
 
+def needs_python(value: Column) -> Column:
+    """Whether NFKC or unescaping of entities could change a value."""
+    return value.rlike(ENTITY_PATTERN) | unsettled(value)
+
+
 def compat_markup(value: Column) -> Column:
     """NFKC, then drop tags, then unescape entities, in that order."""
-    odd = value.rlike(NEEDS_PYTHON)
+    odd = needs_python(value)
     return F.when(odd, _compat_markup(F.when(odd, value))).otherwise(
         F.regexp_replace(value, TAG_PATTERN, " ")
     )

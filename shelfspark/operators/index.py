@@ -1,7 +1,8 @@
 """The bilingual, field-weighted term index.
 
 A product's terms depend on that product alone, so the index is a map over rows:
-no shuffle. Each entry carries what the term is worth in a search.
+no shuffle. Each entry carries what the term is worth in a search. A stored index lies in
+buckets of terms, so that a search reads a part of it.
 """
 
 from __future__ import annotations
@@ -90,6 +91,34 @@ def term_index(products: DataFrame) -> DataFrame:
     return with_entries(products).select("product_id", F.inline("entries"))
 
 
+#: Parts of a stored index; a search reads those that its terms are in.
+TERM_BUCKETS = 256
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def bucketed(index: DataFrame) -> DataFrame:
+    """The index ready to be stored by ``bucket``, a part of the terms each.
+
+    A bucket with a very frequent term is split among tasks, small ones share a task.
+    """
+    rows = index.withColumn("bucket", term_bucket(F.col("term")))
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "kind", "term")
+
+
+def asked_entries(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """Entries of a stored index in the buckets of ``terms``: other buckets aren't read.
+
+    At most ``TERM_BUCKETS`` numbers pass the driver. An index without buckets is read whole.
+    """
+    if "bucket" not in index.columns:
+        return index
+    asked = terms.select(term_bucket(F.col("term")).alias("bucket")).distinct().collect()
+    return index.filter(F.col("bucket").isin(sorted(row.bucket for row in asked)))
+
+
 def gate_violations(products: DataFrame) -> DataFrame:
     """Terms that would score without ever letting a product qualify; must be empty."""
     termed = products if "stem_tokens" in products.columns else with_terms(products)

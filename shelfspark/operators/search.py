@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions import fixed
 from shelfspark.functions.text import nfkc, stems, tokens
-from shelfspark.operators.index import term_index, with_terms
+from shelfspark.operators.index import asked_entries, term_index, with_terms
 from shelfspark.operators.ranks import ranked, running
 from shelfspark.session import written
 
@@ -134,15 +134,15 @@ def scope_matches(
 ) -> DataFrame:
     """Every (scope, product) that passes the attribute filters and shares a word, if any is given.
 
-    ``index`` is the stored term index of ``products``; without one it is made. Terms
-    meet it by equality, and only narrow rows (scope, product, weight) are shuffled; a
+    ``index`` is the stored term index of ``products``, of which the buckets of asked terms are
+    read; without one it is made. Terms meet it by equality, and only narrow rows (scope, product, weight) are shuffled; a
     term that very many products hold is left to the skew handling of the join.
     Scopes without words meet the products of their filter directly.
     """
     asked = scopes(questions)
     facts = _facts(products)
-    index = term_index(products) if index is None else index
     terms = asked.filter("worded").select("scope_id", F.inline("keys"))
+    index = term_index(products) if index is None else asked_entries(index, terms)
     worded = (
         terms.join(index.select("product_id", "kind", "term", "weight"), ["kind", "term"])
         .groupBy("scope_id", "product_id")

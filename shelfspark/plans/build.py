@@ -9,7 +9,7 @@ from shelfspark.operators.categories import changed_spellings, resolve_display,
 from shelfspark.operators.cleaning import accepted, classify, clean_rows, issue_rows, quarantine
 from shelfspark.operators.duplicates import link_duplicates
 from shelfspark.operators.enrich import add_pitches, add_translations
-from shelfspark.operators.index import term_index, with_terms
+from shelfspark.operators.index import bucketed, term_index, with_terms
 from shelfspark.operators.quality import (
     duplicate_group_count,
     issue_counts,
@@ -66,8 +66,7 @@ def build_catalogue(
     tables = {
         "quarantine": quarantine(classified),
         "issues": issue_rows(accepted(classified)),
-        # Sorted, so that a search reads the parts that hold its terms.
-        "term_index": term_index(products).repartitionByRange("term", "kind").sortWithinPartitions("term", "kind"),
+        "term_index": bucketed(term_index(products)),
         "vocabulary": vocabulary(products),
         "quarantine_counts": quarantine_counts(classified),
         "issue_counts": issue_counts(accepted(classified)),

@@ -10,9 +10,10 @@ from shelfspark.session import _file_system
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write each table below ``folder``."""
+    """Write each table below ``folder``; one with a column ``bucket`` in a folder per bucket."""
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+        parts = ["bucket"] if "bucket" in table.columns else []
+        table.write.mode("overwrite").partitionBy(*parts).parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def pending_folder(folder: str) -> str:

@@ -145,3 +145,29 @@ def test_short_numbers(spark):
     values = [68.0, 6.5, 1234.56, 0.01, 12345.67, 123456.78, 999999.99, 100.0, 1000000.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r.y for r in df.select(short_number(F.col("x")).alias("y")).collect()] == [f"{v:g}" for v in values]
+
+
+def test_text_that_normalisation_cannot_change_stays_in_the_jvm(spark):
+    """Settled characters stay as they are in any company; all others are seen as unsettled."""
+    chance = random.Random(2)
+    settled = [chr(c) for low, high in text.settled_ranges() for c in range(low, high + 1)]
+    for _ in range(200):
+        line = "".join(chance.choices(settled + ["a", " "], k=200))
+        assert unicodedata.normalize("NFKC", line) == line
+    assert {"é", "ß", "€", "–", "“", "ñ", "ж", "中"} <= set(settled)
+    odd = ["e\u0301", "\u1100\u1161", "ﬁ", "½", "Å", "x\xa0y", "ª", "가\u11a8", "𝐀", "q\u0323\u0307", "…", "™"]
+    rows = spark.createDataFrame([(x,) for x in [*odd, "Café – “ß” 12 €", "plain"]], "x string")
+    found = rows.select("x", text.unsettled(rows.x).alias("odd"), text.nfkc(rows.x).alias("y")).collect()
+    assert all(r.y == unicodedata.normalize("NFKC", r.x) for r in found)
+    assert [r.x for r in found if not r.odd] == ["Café – “ß” 12 €", "plain"]
+
+
+def test_ampersands_that_begin_no_entity(evaluate):
+    cases = ["a & b", "a &amp; b", "&", "&;", "x&&lt;", "&<b>amp;", "AT&T", "&#65;", "R&D &eacute", "é & ü"]
+    expected = [text_module_clean(x) for x in cases]
+    assert evaluate(text.clean_text(F.col("x")), cases) == expected
+
+
+def text_module_clean(value):
+    value = html.unescape(re.sub("<[^>]+>", " ", unicodedata.normalize("NFKC", value)))
+    return re.sub(r" +([.,;:!?])", r"\1", re.sub(r"\s+", " ", value)).strip()

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators.cleaning import classify
+from shelfspark.operators import index, search
 from shelfspark.operators.index import term_index, with_terms
 from shelfspark.plans import answer
-from shelfspark.session import written
+from shelfspark.session import new_path, written
+from shelfspark.sources.tables import read_tables, write_tables
 from shelfspark.streaming.intake import clean_arrivals
 
 ASKED = (
@@ -78,6 +80,37 @@ def test_operations_with_a_made_and_a_stored_index(spark, products):
     assert got[8]["did_you_mean"] == ["relevance", "price_asc", "price_desc", "rating"]
 
 
+def files_read(df):
+    """How many files the scans of a table read, and whether a scan has a filter on partitions."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.getClass().getSimpleName() in ("WholeStageCodegenExec", "ColumnarToRowExec", "InputAdapter", "ProjectExec", "FilterExec"):
+        plan = plan.children().apply(0)
+    pruned = "PartitionFilters: [" in plan.verboseStringWithOperatorId() and "bucket" in plan.toString().split("PartitionFilters")[1]
+    return plan.metrics().apply("numFiles").value(), pruned
+
+
+def test_searches_read_the_buckets_of_their_terms(spark, products):
+    folder = new_path(spark, "catalogue")
+    made = term_index(products)
+    write_tables({"term_index": index.bucketed(made)}, folder)
+    stored = read_tables(spark, folder, "term_index")["term_index"]
+    assert stored.drop("bucket").exceptAll(made).isEmpty() and stored.count() == made.count()
+    terms = made.select("term").distinct().orderBy("term")
+    every, _ = files_read(stored)
+    few, pruned = files_read(index.asked_entries(stored, terms.limit(2)))
+    most, _ = files_read(index.asked_entries(stored, terms))
+    assert pruned and 1 <= few <= 4 < most <= every
+    assert index.asked_entries(stored, terms.limit(0)).count() == 0
+    asked = spark.createDataFrame(
+        [(1, "old lamps", None, None, None, None, None, False, None, None), (2, "gift", None, None, None, 30.0, 5.0, True, None, None)], ASKED
+    )
+    questions = search.distinct_questions(search.as_search(asked))
+    whole = search.scope_matches(products, questions)
+    assert search.scope_matches(products, questions, stored).exceptAll(whole).isEmpty()
+    assert responses(answer.search_products(products, asked, index=stored)) == responses(answer.search_products(products, asked))
+
+
 def test_budget_is_kept_and_announced(spark, products):
     requests = spark.createDataFrame([(1, "gift", None, None, None, None, None, True, None, 12)], ASKED)
     whole = responses(answer.search_products(products, requests))[1]
