@@ -210,6 +210,12 @@ def _word_counts(most: int):
     return word_counts
 
 
+def _usual(lang: str, words: list[bytes], common: set[tuple[str, str]]):
+    import numpy as np
+
+    return np.fromiter(((lang, w.decode("utf-8", "replace")) in common for w in words), bool, len(words))
+
+
 def _runs(common: set[tuple[str, str]], partitions: int, held: int, most_words: int):
     """From rows (lang, text) to runs (partition, lang, words, phrases)."""
 
@@ -223,7 +229,7 @@ def _runs(common: set[tuple[str, str]], partitions: int, held: int, most_words:
         words = [names[at] for at in used.tolist()]
         local = local.reshape(columns.shape)
         hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
-        usual = np.fromiter(((lang, w.decode("utf-8", "replace")) in common for w in words), bool, len(words))
+        usual = _usual(lang, words, common)
         a, b, c = local
         piece = np.where(usual[a] & usual[b], hashes[c] % SLICES + 1, 0)
         mixed = (hashes[a] * 0x9E3779B1 + hashes[b]) * 0x85EBCA77 + piece * 0xC2B2AE3D
@@ -235,14 +241,13 @@ def _runs(common: set[tuple[str, str]], partitions: int, held: int, most_words:
             here, theirs = np.unique(local[:, rows], return_inverse=True)
             theirs = theirs.reshape(3, -1)
             own = b" ".join([words[at] if used[at] != END else b"" for at in here.tolist()])
-            sliced = int((piece[rows] > 0).any())
-            out.append((number, lang, own, pack(theirs, counts[rows]), sliced))
+            out.append((number, lang, own, pack(theirs, counts[rows])))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(column, kind)
-                for column, kind in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32()))
+                for column, kind in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.binary()))
             ],
-            names=["part", "lang", "words", "phrases", "sliced"],
+            names=["part", "lang", "words", "phrases"],
         )
 
     def runs(batches: Iterator) -> Iterator:
@@ -318,7 +323,7 @@ def _summed(keys, counts):
     return found, sums, back
 
 
-def _frequent(least: int):
+def _frequent(common: set[tuple[str, str]], least: int):
     """From the runs of a task, partition by partition, to frequent phrases of two and three words."""
 
     def merged(lang: str, runs: list[tuple]) -> Iterator:
@@ -327,16 +332,17 @@ def _frequent(least: int):
 
         numbers = _Numbers({b"": END})
         parts = []
-        for words, data, _ in runs:
+        for words, data in runs:
             to = np.fromiter(map(numbers.__getitem__, words.split(b" ")), np.int64)
             *columns, counts = unpack(data)
             parts.append([*(to[column] for column in columns), counts])
         a, b, c, counts = (np.concatenate(column) for column in zip(*parts))
         names = list(numbers)
         pairs, sums, back = _summed((a << 32) | b, counts)
-        # Only a slice of a prefix may be here, so its count can be any.
-        few = 1 if any(sliced for *_, sliced in runs) else least
-        chosen = (sums >= few) & (pairs & 0xFFFFFFFF != END)
+        # Of two usual words only a slice may be here, so their count can be any.
+        usual = _usual(lang, names, common)
+        sliced = usual[pairs >> 32] & usual[pairs & 0xFFFFFFFF]
+        chosen = ((sums >= least) | sliced) & (pairs & 0xFFFFFFFF != END)
         phrases = [names[p >> 32] + b" " + names[p & 0xFFFFFFFF] for p in pairs[chosen].tolist()]
         found = sums[chosen].tolist()
         threes, sums, _ = _summed((back << 32) | c, counts)
@@ -402,9 +408,9 @@ def phrase_counts(
     common = {(row.lang, row.phrase) for row in often}
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // MERGED)
     runs = rows.mapInArrow(
-        _runs(common, partitions, held, words), "part long, lang string, words binary, phrases binary, sliced int"
+        _runs(common, partitions, held, words), "part long, lang string, words binary, phrases binary"
     )
-    merged = runs.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(_frequent(least), schema)
+    merged = runs.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(_frequent(common, least), schema)
     longer = merged.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     return singles.unionByName(longer)
 
