@@ -47,12 +47,17 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's ``k`` nearest rows by cosine.
 
-    Both tables have ``vec_id, v`` as ``valid_vectors`` gives them, of one width. A row
-    is no neighbour of the query that has its id. Ties go to the smaller id;
+    Both tables have ``vec_id, v`` as ``valid_vectors`` gives them; vectors of another width
+    than most rows have (the smaller of equally common ones) take no part, and of
+    rows with one id the least vector does. A row is no neighbour of the query that has
+    its id. Ties go to the smaller id, however many rows are equally near;
     a query with fewer candidates gets them all. Without rows or queries there are none.
     """
     rows = written(rows, "vectors")
-    queries = written(queries, "queries")
+    widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    same_width = F.size("v") == (widths.width if widths else 0)
+    rows = rows.filter(same_width)
+    queries = written(queries.filter(same_width), "queries")
     shards = max(1, -(-rows.count() // shard_rows))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
 
@@ -95,6 +100,16 @@ def _unit(vectors):
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def _one_of_each(rows):
+    """Rows by id, of repeated ids the least vector."""
+    rows = rows.sort_values("vec_id", kind="stable").reset_index(drop=True)
+    if rows["vec_id"].is_unique:
+        return rows
+    vectors = rows["v"].map(tuple)
+    order = sorted(rows.index, key=lambda at: (rows["vec_id"][at], vectors[at]))
+    return rows.loc[order].drop_duplicates("vec_id")
+
+
 def _tree(k: int, leaf_rows: int):
     def tree(shard):
         """The tree of a shard: equal vectors are one point, which keeps its first k + 1 ids.
@@ -106,7 +121,7 @@ def _tree(k: int, leaf_rows: int):
         import numpy as np
         import pandas as pd
 
-        shard = shard.drop_duplicates("vec_id").sort_values("vec_id", kind="stable")
+        shard = _one_of_each(shard)
         vectors = np.array(shard["v"].tolist(), float)
         ids = shard["vec_id"].to_numpy(np.int64)
         points, member = np.unique(vectors, axis=0, return_inverse=True)
@@ -148,7 +163,7 @@ def _block(block):
     import numpy as np
     import pandas as pd
 
-    block = block.drop_duplicates("vec_id")
+    block = _one_of_each(block)
     vectors = np.array(block["v"].tolist(), float)
     return pd.DataFrame(
         {
@@ -169,21 +184,43 @@ def _search(k: int, relax: float):
         def searched(tree, ids, vectors):
             points, unit, groups, nodes = tree
             asked = _unit(vectors)
-            # The nearest points so far, k + 1 as the query's own may be one of them.
+            first_id = np.fromiter((group[0] for group in groups), np.int64, len(groups))
+            lengths = np.sqrt((points * points).sum(axis=1))
+            asked_lengths = np.sqrt((vectors * vectors).sum(axis=1))
+            # The least distances so far, k + 1 as the query's own point may be one of them; and the
+            # points that are best by exact score and id, among all that may be as near.
             keep = k + 1
             best = np.full((len(ids), keep), np.inf)
             which = np.full((len(ids), keep), -1, np.int64)
+            scores = np.full((len(ids), keep), -np.inf)
+
+            def scored(queries, found):
+                """Exactly the cosine of the vectors as given, summed alike for each."""
+                with np.errstate(over="ignore", invalid="ignore"):
+                    dots = (points[found] * vectors[queries]).sum(axis=1)
+                    score = dots / (lengths[found] * asked_lengths[queries])
+                odd = ~np.isfinite(score)
+                if odd.any():  # too long or short for the plain formula
+                    score[odd] = (unit[found[odd]] * asked[queries[odd]]).sum(axis=1)
+                return score
 
             def visit(at: int, q) -> None:
                 node = nodes[at]
                 if len(node) == 1:
                     members = node[0]
                     near = np.sqrt(np.maximum(0.0, 2 - 2 * asked[q] @ unit[members].T))
-                    all_near = np.concatenate([best[q], near], axis=1)
-                    all_which = np.concatenate([which[q], np.broadcast_to(members, near.shape)], axis=1)
-                    order = np.argpartition(all_near, keep - 1, axis=1)[:, :keep]
-                    best[q] = np.take_along_axis(all_near, order, axis=1)
-                    which[q] = np.take_along_axis(all_which, order, axis=1)
+                    best[q] = np.partition(np.concatenate([best[q], near], axis=1), keep - 1, axis=1)[:, :keep]
+                    row, column = np.nonzero(near <= best[q].max(axis=1, keepdims=True) + MARGIN)
+                    touched = np.unique(row)
+                    held = np.repeat(touched, keep)
+                    rows = np.concatenate([held, row])
+                    found = np.concatenate([which[q[touched]].ravel(), members[column]])
+                    score = np.concatenate([scores[q[touched]].ravel(), scored(q[row], members[column])])
+                    order = np.lexsort((first_id[found], -score, rows))
+                    rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+                    order = order[rank < keep]
+                    which[q[touched]] = found[order].reshape(-1, keep)
+                    scores[q[touched]] = score[order].reshape(-1, keep)
                     return
                 vantage, radius, inside, outside = node
                 distance = np.sqrt(np.maximum(0.0, 2 - 2 * asked[q] @ unit[vantage]))
@@ -198,17 +235,10 @@ def _search(k: int, relax: float):
 
             visit(0, np.arange(len(ids)))
             out_q, out_v, out_s = [], [], []
-            lengths = np.sqrt((points * points).sum(axis=1))
             for i, own in enumerate(ids):
-                found = which[i][which[i] >= 0]
-                # Exactly the cosine of the vectors as given, summed alike for each.
-                with np.errstate(over="ignore", invalid="ignore"):
-                    dots = (points[found] * vectors[i]).sum(axis=1)
-                    score = dots / (lengths[found] * np.sqrt((vectors[i] * vectors[i]).sum()))
-                odd = ~np.isfinite(score)
-                if odd.any():  # too long or short for the plain formula
-                    score[odd] = (unit[found[odd]] * asked[i]).sum(axis=1)
-                hits = [(-s, v) for s, p in zip(score.tolist(), found) for v in groups[p].tolist() if v != own]
+                found = which[i] >= 0
+                pairs = zip(scores[i][found].tolist(), which[i][found].tolist())
+                hits = [(-s, v) for s, p in pairs for v in groups[p].tolist() if v != own]
                 for s, v in sorted(hits)[:k]:
                     out_q.append(int(own))
                     out_v.append(v)

@@ -252,6 +252,24 @@ def test_neighbours_are_those_of_brute_force(spark):
     assert len(found & {(e[0], e[2]) for e in expected}) >= 0.5 * len(expected)
 
 
+def test_ties_of_parallel_vectors_go_to_the_smaller_ids(spark):
+    """Equal scores beyond the number of neighbours, over one shard and several, and powers of two as factors."""
+    rows = [(k, [float(2 ** (k * 17 % 23)), 0.0, 0.0]) for k in range(41)] + [(k, [1.0, k / 50, 1.0]) for k in range(41, 300)]
+    table = neighbours.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for shard_rows in (10_000, 20):
+        got = neighbours.nearest(table, table.filter("vec_id in (0, 40)"), shard_rows=shard_rows, leaf_rows=4).collect()
+        found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got)
+        assert found == [(0, k, k, 1.0) for k in range(1, 6)] + [(40, k + 1, k, 1.0) for k in range(5)]
+
+
+def test_repeated_ids_and_other_widths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.2]), (2, [0.0, 1.0]), (3, [1.0]), (4, [1.0, 1.0, 1.0]), (5, [1.0, 0.9])]
+    table = neighbours.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = neighbours.nearest(table, table.filter("vec_id in (1, 3)")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 5), (1, 2, 2)]
+    assert got[1].score == 0.0
+
+
 def test_few_or_no_vectors(spark):
     table = neighbours.valid_vectors(spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<float>"))
     got = neighbours.nearest(table, table.filter("vec_id = 0")).collect()
