@@ -155,6 +155,94 @@ def op11_conversation_repair(spark, sf_dir):
     )
 
 
+# The cheapest edits row by row: of all ways to a state the least by cost, then by initials; a billion is never.
+LLM_ORACLES["op11_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                          lambda ch: ascii(ch)::BIGINT) AS bytes
+    FROM conversations
+), hits AS (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda x, y:
+        list_reduce(list_prepend(xor(x, y), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z:
+            CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) % 20 AS hit
+    FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM hits
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+           regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body
+    FROM damaged
+), lines AS (
+    SELECT conv_id, turn, role, text, i, left(role, 1) AS ini,
+           CASE WHEN body = '' THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS kind,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+    FROM placed
+), walk AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS f0, {'c': 1000000000::BIGINT, 'a': ''} AS f1,
+           {'c': 3::BIGINT, 'a': 'I'} AS e2, {'c': 6::BIGINT, 'a': 'II'} AS e3
+    FROM conversations
+    UNION ALL
+    SELECT conv_id, i, f0, f1, e2, least(f3, {'c': e2.c + 3, 'a': e2.a || 'I'}) AS e3
+    FROM (
+        SELECT conv_id, i, f0, f1, f3, least(f2, {'c': near.c + 3, 'a': near.a || 'I'}) AS e2
+        FROM (
+            SELECT *, least(f0, f1, f3) AS near
+            FROM (
+                SELECT w.conv_id, r.i,
+                       {'c': f0.c + 4, 'a': f0.a || 'D'} AS f0,
+                       least({'c': f1.c + 4, 'a': f1.a || 'D'},
+                             {'c': f0.c + x + CASE ini WHEN 's' THEN 0 ELSE 1000000000 END, 'a': f0.a || 'K'}) AS f1,
+                       least({'c': e2.c + 4, 'a': e2.a || 'D'},
+                             {'c': p.c + x + CASE ini WHEN 'u' THEN 0 ELSE 1000000000 END, 'a': p.a || 'K'},
+                             {'c': p.c + x + 3, 'a': p.a || 'R'}) AS f2,
+                       least({'c': e3.c + 4, 'a': e3.a || 'D'},
+                             {'c': e2.c + x + CASE ini WHEN 'a' THEN 0 ELSE 1000000000 END, 'a': e2.a || 'K'},
+                             {'c': e2.c + x + 3, 'a': e2.a || 'R'}) AS f3
+                FROM (SELECT *, least(f0, f1, e3) AS p FROM walk) w
+                JOIN (SELECT *, CASE kind WHEN 'sound' THEN 0 WHEN 'truncated' THEN 3 ELSE 1000000000 END AS x FROM lines) r
+                  ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+            )
+        )
+    )
+), ends AS (
+    SELECT conv_id, least(f0, e3).c AS cost, least(f0, e3).a AS audit
+    FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), letters AS (
+    SELECT conv_id, p, substr(audit, p, 1) AS edit
+    FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM ends)
+), edits AS (
+    SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w AS place
+    FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), kept AS (
+    SELECT e.conv_id, e.p, e.edit, e.place, r.role, CASE edit WHEN 'I' THEN '' ELSE r.text END AS text,
+           max(CASE WHEN e.place = 1 AND edit = 'K' AND r.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+    FROM edits e LEFT JOIN lines r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i AND e.edit <> 'I'
+    WHERE edit <> 'D'
+), repaired AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                               || ':' || text, chr(10) ORDER BY p) AS whole
+    FROM kept GROUP BY conv_id
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (WHERE kind = 'blank') AS blank, count(*) FILTER (WHERE kind = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE kind = 'truncated') AS truncated,
+           count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM lines GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+       sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ends e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 @query
 def op13_phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
