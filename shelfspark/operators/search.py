@@ -4,8 +4,8 @@ Requests that ask the same thing are one question, and questions with the same w
 and attribute filters one scope. A scope meets products through an equal key (a search
 term of the index, or without words its category, occasion or recipient); its matches
 are written once. A question is counted without meeting them, by running sums over the prices of its scope.
-Its page and fallbacks are made from the matches of its scope, and cut to their length before
-anything is shuffled by question.
+Its page and fallbacks are read from blocks of prices, which keep their first products in
+the orders that the questions of a scope ask for.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from shelfspark.functions import fixed
 from shelfspark.functions.text import nfkc, stems, tokens
 from shelfspark.operators.index import asked_entries, term_index, with_terms
 from shelfspark.operators.ranks import ranked, running
+from shelfspark.operators.tops import range_tops
 from shelfspark.session import written
 
 PARAMETERS = [
@@ -26,6 +27,8 @@ PARAMETERS = [
     "include_out_of_stock", "sort", "limit", "offset",
 ]
 SCOPE = PARAMETERS[:4]
+#: Orders that don't look at the score.
+STATIC_SORTS = ["price_asc", "price_desc", "rating", "popularity"]
 
 
 def clamp(limit: Column, bounds: tuple[int, int]) -> Column:
@@ -218,19 +221,24 @@ def asked_matches(met: DataFrame, products: DataFrame, questions: DataFrame) ->
     )
 
 
-def score() -> Column:
-    """The search score of a matched product; filters already hold."""
+def budget_bonus() -> Column:
+    """What a price adds to the score by its share of the highest price."""
     ratio = F.col("price_eur") / F.nullif("q_max_price", F.lit(0.0))
     tiers = F
     for low, high, bonus in fixed.BUDGET_TIERS:
         upper = ratio <= high if high == 1.0 else ratio < high
         tiers = tiers.when((ratio >= low) & upper, bonus)
+    return tiers.otherwise(0.0)
+
+
+def score(bonus: Column | None = None) -> Column:
+    """The search score of a matched product; filters already hold. ``bonus`` is that of its price."""
     catch_all = F.col("q_recipient") == fixed.CATCH_ALL_RECIPIENT
     return (
         F.col("text_score")
         + F.when(_given("q_occasion"), fixed.OCCASION_BONUS).otherwise(0.0)
         + F.when(_given("q_recipient") & ~catch_all, fixed.RECIPIENT_BONUS).otherwise(0.0)
-        + tiers.otherwise(0.0)
+        + (budget_bonus() if bonus is None else bonus)
         - F.when(F.col("stock_level") == "low", fixed.LOW_STOCK_PENALTY).otherwise(0.0)
         + F.when(
             F.col("max_popularity") > 0,
@@ -301,6 +309,141 @@ def page(collapsed: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def _price_ranges(questions: DataFrame) -> DataFrame:
+    """The price ranges of each question in which a price adds the same bonus to the score.
+
+    Only an order by score under a highest price needs more than one: the tiers follow each other up to that
+    price. A tier begins at the least number whose ratio reaches it, which rounding puts within
+    a few units of the last place around the product.
+    """
+    above_none = F.when(_given("min_price") | _given("max_price"), F.coalesce("min_price", F.lit(float("-inf"))))
+
+    def cut(share: float) -> Column:
+        near = F.col("max_price") * share
+        places = F.array(*[near + near * (k * 2.0**-53) for k in range(-8, 9)])
+        return F.array_min(F.filter(places, lambda x: x / F.col("max_price") >= share))
+
+    def piece(low: Column, high: Column, open_: bool, bonus: float) -> Column:
+        return F.struct(
+            low.alias("low"), high.alias("high"), F.lit(open_).alias("open"), F.lit(bonus).alias("bonus")
+        )
+
+    most = F.col("max_price")
+    tiers = sorted(fixed.BUDGET_TIERS)
+    begins = [F.greatest(above_none, cut(low)) for low, _, _ in tiers]
+    pieces = [piece(above_none, cut(tiers[0][0]), True, 0.0)]
+    for k, (_, high, bonus) in enumerate(tiers):
+        ends = most if high == 1.0 else cut(tiers[k + 1][0])
+        pieces.append(piece(begins[k], ends, high != 1.0, bonus))
+    tiered = ~F.col("sort").isin(*STATIC_SORTS) & (most > 0)
+    return questions.select(
+        "question_id",
+        scope_id().alias("scope_id"),
+        "sort",
+        F.col("include_out_of_stock").alias("every_stock"),
+        (F.col("offset") + F.col("limit")).alias("n"),
+        F.inline(F.when(tiered, F.array(*pieces)).otherwise(F.array(piece(above_none, most, False, 0.0)))),
+    )
+
+
+def _list_id() -> Column:
+    return F.concat_ws(":", "scope_id", "sort", F.col("every_stock").cast("string"), F.col("bonus").cast("string"))
+
+
+def _with_top(met: DataFrame, products: DataFrame) -> DataFrame:
+    return met.crossJoin(F.broadcast(products.agg(F.max("popularity").alias("max_popularity"))))  # one row
+
+
+def top_pages(met: DataFrame, products: DataFrame, questions: DataFrame) -> DataFrame:
+    """The requested page of each question, as ``page`` gives it, from the written matches of scopes.
+
+    Each order that the questions of a scope ask for is a list of its products, copies as one (they share a
+    price), and a page the first of a price range of it. What is shuffled are matches by order and, for a question,
+    the first products of a few blocks of prices. Only pages beyond ``SHALLOW`` are
+    made by sorting all matches of their questions.
+    """
+    questions = written(questions, "paging")
+    deep = questions.filter(F.col("offset") + F.col("limit") > SHALLOW)
+    asked = written(
+        _price_ranges(questions.filter(F.col("offset") + F.col("limit") <= SHALLOW)).withColumn("list_id", _list_id()),
+        "price_ranges",
+    )
+    lists = asked.select("list_id", "scope_id", "sort", "every_stock", "bonus").distinct()
+    buyable = F.col("stock_level").isin(fixed.RECOMMENDABLE)
+    first, second = _order(F.col("sort"), score(F.col("bonus")))
+    listed = (
+        _with_top(met, products)
+        .join(lists, "scope_id")
+        .filter(buyable | F.col("every_stock"))
+        .select(
+            F.col("list_id").alias("question_id"), "duplicate_group_id", "product_id", "price_eur",
+            F.struct(
+                first.alias("first"), second.alias("second"), "product_id", "price_eur", "text_score",
+                "stock_level", "popularity",
+            ).alias("item"),
+        )
+    )
+    copies = (
+        listed.filter("duplicate_group_id IS NOT NULL")
+        .groupBy("question_id", "duplicate_group_id")
+        .agg(F.min("item").alias("item"))
+    )
+    units = listed.filter("duplicate_group_id IS NULL").select("question_id", "item").unionByName(
+        copies.select("question_id", "item")
+    )
+    found = range_tops(
+        units.select(F.col("question_id").alias("list_id"), F.col("item.price_eur").alias("at"), "item"),
+        asked.select(
+            F.struct("question_id", "bonus").alias("ask_id"), "list_id", "low", "high", "open", "n"
+        ),
+    )
+    order = Window.partitionBy("question_id").orderBy("item.first", "item.second", "item.product_id")
+    terms = questions.select(
+        "question_id", "offset", (F.col("offset") + F.col("limit")).alias("reach"),
+        *[F.col(name).alias(f"q_{name}") for name in ("occasion", "recipient", "max_price")],
+    )
+    shown = (
+        found.select(F.col("ask_id.question_id").alias("question_id"), "item")
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= SHALLOW)
+        .join(terms, "question_id")
+        .filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("reach")))
+        .select("*", "item.*")
+    )
+    pages = _with_top(shown, products).select("question_id", "rank", "product_id", score().alias("score"))
+    if deep.isEmpty():
+        return pages
+    among = asked_matches(met, products, deep).filter("available")
+    return pages.unionByName(page(collapse_duplicates(among), deep))
+
+
+def top_sold_out(met: DataFrame, questions: DataFrame, n: int = 2) -> DataFrame:
+    """Per question the ``n`` most popular products in its price range that can't be bought.
+
+    Of questions that take any stock there are none.
+    """
+    asked = questions.filter(~F.col("include_out_of_stock")).withColumn("sort", F.lit("popularity"))
+    asked = _price_ranges(asked).withColumn("n", F.lit(n))
+    gone = met.filter(~F.col("stock_level").isin(fixed.RECOMMENDABLE)).join(
+        asked.select("scope_id").distinct(), "scope_id", "left_semi"
+    )
+    found = range_tops(
+        gone.select(
+            F.col("scope_id").alias("list_id"),
+            F.col("price_eur").alias("at"),
+            F.struct((-F.col("popularity")).alias("first"), "_ord", "product_id").alias("item"),
+        ),
+        asked.select(F.col("question_id").alias("ask_id"), F.col("scope_id").alias("list_id"), "low", "high", "open", "n"),
+    )
+    order = Window.partitionBy("question_id").orderBy("item")
+    return (
+        found.withColumnRenamed("ask_id", "question_id")
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= n)
+        .select("question_id", "rank", F.col("item.product_id").alias("product_id"))
+    )
+
+
 #: What is counted of a scope at each price: products, those that can be bought, and both with
 #: the copies of a product as one.
 COUNTED = ["n_all", "n_buy", "n_all_collapsed", "n_buy_collapsed"]
@@ -405,17 +548,6 @@ def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def most_popular_unavailable(matched: DataFrame, n: int = 2) -> DataFrame:
-    """Per question the ``n`` most popular products in the price range but sold out."""
-    order = Window.partitionBy("question_id").orderBy(F.desc("popularity"), "_ord")
-    return (
-        matched.filter(F.col("in_price") & ~F.col("buyable"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= n)
-        .select("question_id", "rank", "product_id")
-    )
-
-
 def diagnose() -> Column:
     """Why a question came back empty; null when it did not."""
     bounded = _given("max_price") | _given("min_price")
@@ -459,8 +591,7 @@ def answer_questions(
     # Only questions that found something are ranked, and only sold-out ones look for the popular.
     full = envelopes.filter("n_available > 0").select(questions.columns)
     gone = envelopes.filter("reason = 'out_of_stock_only'").select(questions.columns)
-    collapsed = collapse_duplicates(asked_matches(met, products, full).filter("available"))
-    sold_out = most_popular_unavailable(asked_matches(met, products, gone)).withColumn("role", F.lit("sold_out"))
+    sold_out = top_sold_out(met, gone).withColumn("role", F.lit("sold_out"))
     bounded = _given("max_price") | _given("min_price")
     nearest = empty.filter(
         F.col("reason").isin("out_of_stock_only", "budget_too_low")
@@ -472,7 +603,7 @@ def answer_questions(
         F.col("nearest.product_id").alias("product_id"),
         F.lit("nearest").alias("role"),
     )
-    results = page(collapsed, questions).withColumn("role", F.lit("result"))
+    results = top_pages(met, products, full).withColumn("role", F.lit("result"))
     columns = ["question_id", "role", "rank", "product_id"]
     mentions = reduce(
         DataFrame.unionByName, [part.select(columns) for part in (results, sold_out, nearest)]
