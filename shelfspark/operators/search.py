@@ -391,20 +391,34 @@ def top_pages(met: DataFrame, products: DataFrame, questions: DataFrame) -> Data
     units = listed.filter("duplicate_group_id IS NULL").select("question_id", "item").unionByName(
         copies.select("question_id", "item")
     )
-    found = range_tops(
-        units.select(F.col("question_id").alias("list_id"), F.col("item.price_eur").alias("at"), "item"),
-        asked.select(
-            F.struct("question_id", "bonus").alias("ask_id"), "list_id", "low", "high", "open", "n"
-        ),
-    )
+    units = units.withColumnRenamed("question_id", "list_id")
+    # Without a price range a page is the beginning of its list, cut to its length per task.
+    free = F.col("low").isNull() & F.col("high").isNull()
+    begin = Window.partitionBy("list_id").orderBy("item.first", "item.second", "item.product_id")
+    found = (
+        units.join(asked.filter(free).select("list_id").distinct(), "list_id", "left_semi")
+        .withColumn("place", F.row_number().over(begin))
+        .filter(F.col("place") <= SHALLOW)
+        .join(asked.filter(free).select("question_id", "list_id", "n"), "list_id")
+        .filter(F.col("place") <= F.col("n"))
+        .select("question_id", "item")
+    )
+    ranged = asked.filter(~free)
+    if not ranged.isEmpty():
+        within = range_tops(
+            units.join(ranged.select("list_id").distinct(), "list_id", "left_semi").select(
+                "list_id", F.col("item.price_eur").alias("at"), "item"
+            ),
+            ranged.select(F.struct("question_id", "bonus").alias("ask_id"), "list_id", "low", "high", "open", "n"),
+        )
+        found = found.unionByName(within.select("ask_id.question_id", "item"))
     order = Window.partitionBy("question_id").orderBy("item.first", "item.second", "item.product_id")
     terms = questions.select(
         "question_id", "offset", (F.col("offset") + F.col("limit")).alias("reach"),
         *[F.col(name).alias(f"q_{name}") for name in ("occasion", "recipient", "max_price")],
     )
     shown = (
-        found.select(F.col("ask_id.question_id").alias("question_id"), "item")
-        .withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= SHALLOW)
         .join(terms, "question_id")
         .filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("reach")))
