@@ -23,6 +23,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(rows: DataFrame, stem: str) -> str:
+    """A column name that ``rows`` doesn't have, for a helper column."""
+    taken = {name.lower() for name in rows.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def in_parts(batches: Iterator, rows: int = PART_ROWS) -> Iterator:
     """Arrow batches cut into smaller ones, as their values as Python objects take more memory."""
     for batch in batches:
@@ -36,7 +45,7 @@ def worker_cache() -> dict:
     return vars(sys.modules.setdefault(name, types.ModuleType(name)))
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
+def bounded(ids: DataFrame) -> DataFrame:
     """Marked for broadcast where a count shows that it is small enough."""
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         return F.broadcast(ids)
@@ -49,9 +58,9 @@ def without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     Removed keys are counted first: a bounded number is broadcast, so rows are not
     shuffled; more of them meet the rows in a shuffled join.
     """
-    return rows.join(_bounded(removed.select(key)), key, "left_anti").select(*rows.columns)
+    return rows.join(bounded(removed.select(key)), key, "left_anti").select(*rows.columns)
 
 
 def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in ``ids``; broadcast or shuffled as in ``without``."""
-    return rows.join(_bounded(ids.select(key)), key, "left_semi").select(*rows.columns)
+    return rows.join(bounded(ids.select(key)), key, "left_semi").select(*rows.columns)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import in_parts, text_or_empty, without
+from shelfspark.llm.common import free_name, in_parts, text_or_empty, without
 from shelfspark.session import dropped, written
 
 #: Characters in a block: most documents are one block, and a block is a small row.
@@ -126,13 +126,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = verdict.filter("NOT kept AND (doc_id != keep_id OR (doc_id IS NULL AND keep_id IS NOT NULL))")
     twice = verdict.filter("NOT kept AND doc_id <=> keep_id")
     by = [F.col(id_col).cast("string"), F.sha2(normalised(text_col), 256)]
-    marked = docs.withColumn("_row_key", F.concat_ws(":", *by))
-    of = F.concat_ws(":", F.col("doc_id").cast("string"), "text_sha256").alias("_row_key")
-    kept = without(marked, gone.select(of).distinct(), "_row_key")
+    key = free_name(docs, "row_key")
+    marked = docs.withColumn(key, F.concat_ws(":", *by))
+    of = F.concat_ws(":", F.col("doc_id").cast("string"), "text_sha256").alias(key)
+    kept = without(marked, gone.select(of).distinct(), key)
     if not twice.isEmpty():
         repeated = written(twice.select(of).distinct(), "repeated")
-        once = kept.join(repeated, "_row_key", "left_semi").dropDuplicates(["_row_key"])
-        kept = without(kept, repeated, "_row_key").unionByName(once)
+        once = kept.join(repeated, key, "left_semi").dropDuplicates([key])
+        kept = without(kept, repeated, key).unionByName(once)
     return kept.select(*columns)
 
 

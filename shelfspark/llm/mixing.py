@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import BROADCAST_IDS, text_or_empty, without
+from shelfspark.llm.common import BROADCAST_IDS, free_name, text_or_empty, without
 from shelfspark.session import written
 
 #: About so many labelled rows train the classifier, chosen by a hash of their id.
@@ -27,6 +27,10 @@ FEATURE_ROWS = 5
 #: Least evidence (G statistic) that a word and a domain go together; chance rarely gives so much.
 EVIDENCE = 20.0
 ROUNDS, TOLERANCE = 20, 1e-4
+#: Sums over all documents that bounded rates may take to find their total.
+BOUNDED_ROUNDS = 60
+#: Least part of the wished total that bounded rates may fall to.
+LEAST_TOTAL = 0.25
 ANY = ""
 
 
@@ -179,7 +183,10 @@ def rates(
     the rates against the gradient of the squared misses, scaled by the normal equations
     of the documents that are free to move, and projects them to zero or more; a round
     that doesn't come nearer is taken back and the step cut. ``max_rate`` bounds rates from
-    above as well; targets may then be out of reach. Only sums by domain reach the driver.
+    above as well. Where no total is given it then falls as far as the targets need (see
+    ``_with_total``), but not below ``LEAST_TOTAL`` of the wished one: where even that is out
+    of reach, the rates are those nearest to the targets of that total. Only sums by domain
+    reach the driver.
     """
     import numpy as np
 
@@ -192,9 +199,13 @@ def rates(
     share = np.array([weights[d] / scale for d in used])
     main = int(share.argmax())
     total = have[used[main]] / share[main] if total_tokens is None else total_tokens
+    if max_rate is not None and total_tokens is None:
+        found = _with_total(members, used, share, total, max_rate)
+        if found is not None:
+            return found
+        total *= LEAST_TOTAL
+    # Rates at the upper bound can still fall, and all begin there where it is one.
     free = (F.col("rate") > 0).cast("double")
-    if max_rate is not None:
-        free = free * (F.col("rate") < max_rate).cast("double")
     p = [F.col(f"p_{d}") for d in used]
     needed = [F.sum(F.col("rate") * F.col("tokens") * x) for x in p]
     needed += [F.sum(free * F.col("tokens") * x * y) for x in p for y in p]
@@ -227,6 +238,59 @@ def rates(
     return current
 
 
+def _with_total(
+    members: DataFrame, domains: list[str], share, wished: float, max_rate: float
+) -> DataFrame | None:
+    """``members`` with rates up to ``max_rate`` that meet ``share`` of a total, itself fitted.
+
+    Of all rates and totals that meet the targets, those nearest to keeping each document
+    once and to the ``wished`` total: squared distances weighted by tokens, and of the total
+    by itself. They are one minus multipliers times posteriors, projected to the bounds, so
+    a round is one sum over the documents: the misses are the gradient for the multipliers,
+    scaled by the normal equations of the documents that are free to move, and a step that
+    doesn't raise the dual is cut. None where the total would fall below ``LEAST_TOTAL`` or
+    the targets aren't met in ``BOUNDED_ROUNDS`` rounds.
+    """
+    import numpy as np
+
+    p = [F.col(f"p_{d}") for d in domains]
+    tokens = F.col("tokens")
+
+    def rate(by) -> Column:
+        cut = sum((F.lit(float(m)) * x for m, x in zip(by, p)), F.lit(0.0))
+        return F.least(F.greatest(F.lit(1.0) - cut, F.lit(0.0)), F.lit(float(max_rate)))
+
+    def state(by) -> tuple:
+        total = max(wished * (1 + share @ by), 0.0)
+        free = ((F.col("rate") > 0) & (F.col("rate") < max_rate)).cast("double")
+        sums = [F.sum(tokens * (F.col("rate") - 1) * (F.col("rate") - 1))]
+        sums += [F.sum(F.col("rate") * tokens * x) for x in p]
+        sums += [F.sum(free * tokens * x * y) for x in p for y in p]
+        got = np.array(members.withColumn("rate", rate(by)).agg(*sums).first(), float)
+        miss = got[1 : 1 + len(p)] - share * total
+        dual = (got[0] + wished * (total / wished - 1) ** 2) / 2 + by @ miss
+        return dual, miss, got[1 + len(p) :].reshape(len(p), len(p)), total
+
+    current = np.zeros(len(p))
+    dual, miss, normal, total = state(current)
+    step = 1.0
+    for _ in range(BOUNDED_ROUNDS):
+        if np.abs(miss).max() <= TOLERANCE * total:
+            break
+        metric = normal + wished * (np.outer(share, share) + 1e-9 * np.eye(len(p)))
+        move = np.linalg.solve(metric, miss)
+        ahead = state(current + step * move)
+        if ahead[0] > dual + 1e-4 * step * (miss @ move):
+            current = current + step * move
+            dual, miss, normal, total = ahead
+            step = 1.0
+        else:
+            step /= 4
+    if total < LEAST_TOTAL * wished or np.abs(miss).max() > 10 * TOLERANCE * total:
+        return None
+    return members.withColumn("rate", rate(current))
+
+
 def mixing_rates(
     docs: DataFrame,
     labels: DataFrame,
@@ -257,19 +321,20 @@ def mixed(
     text_col: str = "text",
 ) -> DataFrame:
     """``docs`` drawn by their rates: left out, kept, or repeated. Rows without an id stay."""
+    times, nth = free_name(docs, "copies"), free_name(docs, "copy")
     drawn = mixing_rates(docs, labels, weights, max_rate, id_col, text_col)
     copies = written(
         drawn.filter("doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").alias(id_col))
-        .agg(F.max("copies").alias("_copies"))
-        .filter("_copies != 1"),
+        .agg(F.max("copies").alias(times))
+        .filter(F.col(times) != 1),
         "copies",
     )
-    kept = without(docs, copies.filter("_copies = 0"), id_col)
-    more = copies.filter("_copies > 1")
+    kept = without(docs, copies.filter(F.col(times) == 0), id_col)
+    more = copies.filter(F.col(times) > 1)
     extra = more.limit(BROADCAST_IDS + 1).count()
     if not extra:
         return kept
     again = docs.join(F.broadcast(more) if extra <= BROADCAST_IDS else more, id_col)
-    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(2), F.col("_copies"))))
+    again = again.withColumn(nth, F.explode(F.sequence(F.lit(2), F.col(times))))
     return kept.unionByName(again.select(*docs.columns))

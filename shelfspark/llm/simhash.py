@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import in_parts, text_or_empty, without
+from shelfspark.llm.common import bounded, free_name, in_parts, text_or_empty, without
 from shelfspark.llm.components import components
 from shelfspark.session import written
 
@@ -68,11 +68,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component those with its smallest id.
 
+    Rows that share an id are told apart by their fingerprints; repeated rows stay together.
     Rows without an id stay, as nothing tells them apart.
     """
-    gone = near_groups(docs, id_col, text_col).filter("doc_id != component_id")
-    gone = written(gone.select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return without(docs, gone, id_col)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = written(near_groups(docs, id_col, text_col).withColumn("stays", stays), "near")
+    by_id = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.bool_or("stays").alias("some"), F.bool_and("stays").alias("every")
+    )
+    by_id = written(by_id.filter("NOT every"), "gone")
+    of_all = by_id.filter("NOT some").select(F.col("doc_id").alias(id_col))
+    kept = without(docs, of_all, id_col)
+    shared = by_id.filter("some").select(F.col("doc_id").alias("shared_id"))
+    if shared.isEmpty():
+        return kept
+    shared = bounded(shared)
+    same_id = F.col(id_col).cast("long") == F.col("shared_id")
+    # Fingerprints once more, of the texts of these ids only.
+    unsure = written(kept.join(shared, same_id, "left_semi"), "unsure")
+    key, fp = free_name(docs, "text_key"), free_name(docs, "print")
+    of_text = F.sha2(text_or_empty(text_col), 256)
+    texts = unsure.select(of_text.alias("key"), text_or_empty(text_col).alias("text"))
+    known = texts.dropDuplicates(["key"]).mapInArrow(_fingerprint, "key string, fp long").toDF(key, fp)
+    gone = groups.filter("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp"))
+    gone = gone.join(shared, F.col("gone_id") == F.col("shared_id"), "left_semi").distinct()
+    marked = unsure.withColumn(key, of_text).join(bounded(known), key)
+    went = (F.col(fp) == F.col("gone_fp")) & (F.col(id_col).cast("long") == F.col("gone_id"))
+    left = marked.join(bounded(written(gone, "gone_rows")), went, "left_anti").select(*docs.columns)
+    return kept.join(shared, same_id, "left_anti").unionByName(left)
 
 
 def embedded(fp: Column) -> Column:
@@ -151,6 +174,7 @@ def links(nodes: DataFrame, paired_cell: int = PAIRED_CELL) -> DataFrame:
 
 
 def _fingerprint(batches: Iterator) -> Iterator:
+    """The first column and, of the second, its fingerprint."""
     from itertools import repeat
 
     import numpy as np
@@ -179,5 +203,5 @@ def _fingerprint(batches: Iterator) -> Iterator:
             chosen = np.packbits((2 * counts > n).astype(np.uint8), bitorder="little")
             prints.append(int(chosen.view("<i8")[0]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"]
+            [batch.column(0), pa.array(prints, pa.int64())], names=[batch.schema.names[0], "fp"]
         )

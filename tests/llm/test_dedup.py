@@ -161,3 +161,15 @@ def test_repeats_are_cut_out(spark):
 def test_bands_reach_the_recall(similarity, recall):
     bands, rows = substrings.bands_for(similarity, recall, 64)
     assert 1 - (1 - similarity**rows) ** bands >= recall - 1e-9
+
+
+def test_ids_that_rows_share_and_names_that_clash(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, base, "p", "a"), (2, base, "q", "b"), (2, "another text of its own", "r", "c")]
+    rows += [(None, base, "s", "d"), (None, "none has this text", "t", "e"), (3, base, "u", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_key string, _Print string")
+    want = [("another text of its own", "r", "c"), (base, "p", "a"), ("none has this text", "t", "e")]
+    # The near stage leaves rows without an id alone.
+    for kept, more in ((exact_dedup.exact_dedup(docs), []), (simhash.near_dedup(docs), [(base, "s", "d")])):
+        assert kept.columns == docs.columns
+        assert sorted(tuple(r)[1:] for r in kept.collect()) == sorted(want + more)

@@ -193,6 +193,23 @@ def test_rates_meet_targets(spark):
         assert got.filter("rate < 0").count() == 0
     bounded = mixing.rates(members, {"a": 0.9, "b": 0.1}, max_rate=1.0)
     assert bounded.filter("rate < 0 OR rate > 1").count() == 0
+    for share in (0.3, 0.8):
+        bounded = mixing.rates(members, {"a": share, "b": 1 - share}, max_rate=1.0)
+        a, b = bounded.agg(F.sum(F.expr("rate * tokens * p_a")), F.sum(F.expr("rate * tokens * p_b"))).first()
+        assert a / (a + b) == pytest.approx(share, abs=0.001)
+        assert bounded.filter("rate < 0 OR rate > 1").count() == 0
+    # No document has less than 0.4 of b: the total may not fall to nothing for it.
+    even = base.select("tokens", F.lit(0.6).alias("p_a"), F.lit(0.4).alias("p_b"))
+    kept = mixing.rates(even, {"a": 0.99, "b": 0.01}, max_rate=1.0).agg(F.avg("rate")).first()[0]
+    assert 0.1 < kept <= 1
+
+
+def test_names_that_clash_with_the_copies(spark, corpus, labels):
+    from pyspark.sql import functions as F
+
+    docs = corpus.withColumn("_copies", F.lit(7)).withColumn("_Copy", F.lit("x"))
+    drawn = mixing.mixed(docs, labels, {"good": 0.2, "low": 0.4, "toxic": 0.4})
+    assert drawn.columns == docs.columns and drawn.filter("_copies != 7 OR _Copy != 'x'").count() == 0
 
 
 def test_drawn_documents(spark, corpus, labels):
