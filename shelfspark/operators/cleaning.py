@@ -17,7 +17,8 @@ from shelfspark.functions.numbers import (
 )
 from shelfspark.functions.spanish import translate_color, translate_material
 from shelfspark.functions.text import category_key, clean_text, product_id, truncate
-from shelfspark.operators.skew import HOT_ROWS, attach
+from shelfspark.operators.skew import HOT_ROWS, attach, spread
+from shelfspark.session import written
 
 RAW_COLUMNS = fixed.REQUIRED_COLUMNS + fixed.OPTIONAL_COLUMNS
 
@@ -33,9 +34,10 @@ def _issue(condition: Column, name: str, kind: str, detail: Column | str = "") -
 def clean_rows(raw: DataFrame) -> DataFrame:
     """Row-local cleaning: typed fields, soft issues, and the untouched raw cells.
 
-    No shuffle; the same projection runs over a stream.
+    Cleaning a row costs far more than reading it, so rows of few large files are first
+    spread over all tasks; apart from that no row meets another.
     """
-    text = raw.select(
+    text = spread(raw, "_ord").select(
         "_ord",
         "_ragged",
         F.struct(*RAW_COLUMNS).alias("raw"),
@@ -151,8 +153,10 @@ def classify(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     The first row that is valid by itself takes an id; every later row with the id
     is a duplicate, whatever else is wrong with it. One partial aggregation per id
-    finds that row; only ids that occur twice are joined back.
+    finds that row; only ids that occur twice are joined back. Rows are written first,
+    as every reader of the result would clean them anew, and twice.
     """
+    rows = written(rows, "cleaned")
     keyed = rows.withColumn("_key", known(F.col("product_id")))
     valid = (F.col("name") != "") & F.col("price_eur").isNotNull()
     first = (

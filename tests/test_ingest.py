@@ -115,3 +115,15 @@ def test_the_last_of_repeated_entries_counts(spark, tmp_path):
     (tmp_path / "lines.txt").write_text(lines)
     rows = read_cache(spark, str(tmp_path / "lines.txt"), TRANSLATION_FIELDS, one_entry_per_line=True).collect()
     assert sorted((r.product_id, r.hash) for r in rows) == [("P1", "z"), ("P2", "y")]
+
+
+def test_cleaning_is_spread_and_done_once(spark):
+    raw = spark.createDataFrame(
+        [(k, None, *[str(k)] * len(cleaning.RAW_COLUMNS)) for k in range(64)],
+        "_ord long, _ragged string, " + ", ".join(f"{name} string" for name in cleaning.RAW_COLUMNS),
+    ).coalesce(1)
+    tasks = cleaning.clean_rows(raw).select(F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() > 1
+    classified = cleaning.classify(cleaning.clean_rows(raw))
+    assert classified.filter("reason IS NULL").count() == 64
+    assert all("/cleaned-" in file for file in classified.inputFiles() if "/lookup-" not in file)
