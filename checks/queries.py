@@ -196,7 +196,9 @@ def s6_json_cache(spark, sf_dir):
 def s7_table_sink(spark, sf_dir):
     products = build_products(_classified(spark, sf_dir)).drop("issues")
     folder = new_path(spark, "catalogue")
-    write_tables({"products": products, "term_index": index.term_index(products)}, folder)
+    write_tables({"products": products}, folder)
+    stored = read_tables(spark, folder, "products")["products"]
+    write_tables({"term_index": index.term_index(stored)}, folder)
     tables = read_tables(spark, folder, "products", "term_index")
     per_product = tables["term_index"].groupBy("product_id").agg(F.count("*").alias("n_terms"))
     return (
