@@ -593,8 +593,9 @@ COUNTS = ["n_attributes", "n_buyable", "n_price", "n_available"]
 
 def _stage_counts(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     products, normal, questions = _asked(spark, sf_dir, views.only(*names))
-    met = written(find.scope_matches(products, questions), "scope_matches")
-    counts = find.question_counts(met, questions).select("question_id", *COUNTS)
+    facts, pairs = find.scope_profiles(products, questions)
+    prices = find.profile_prices(facts, pairs, firsts=False)
+    counts = find.priced_counts(prices, questions).select("question_id", *COUNTS)
     return _per_request(normal, questions, counts)
 
 

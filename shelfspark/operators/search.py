@@ -19,6 +19,7 @@ from shelfspark.functions import fixed
 from shelfspark.functions.text import nfkc, stems, tokens
 from shelfspark.operators.index import asked_entries, term_index, with_terms
 from shelfspark.operators.ranks import ranked, running
+from shelfspark.operators.skew import spread
 from shelfspark.operators.tops import range_tops
 from shelfspark.session import written
 
@@ -132,27 +133,51 @@ def _facts(products: DataFrame) -> DataFrame:
     )
 
 
-def scope_matches(
+def scope_profiles(
     products: DataFrame, questions: DataFrame, index: DataFrame | None = None
-) -> DataFrame:
-    """Every (scope, product) that passes the attribute filters and shares a word, if any is given.
+) -> tuple[DataFrame, DataFrame]:
+    """(facts, pairs): products with their ``profile_id``, and the profiles that each scope takes.
+
+    Products with the same asked terms, category, occasions and recipient have one profile, and
+    no scope tells them apart but by price, stock and order. So scopes meet profiles: words, once for all
+    scopes that ask them, by equal terms, and then the filters. A pair is a scope, a profile and its ``text_score``.
+    Where every product has terms of its own that are asked, profiles are as many as products.
 
     ``index`` is the stored term index of ``products``, of which the buckets of asked terms are
-    read; without one it is made. Terms meet it by equality, and only narrow rows (scope, product, weight) are shuffled; a
-    term that very many products hold is left to the skew handling of the join.
-    Scopes without words meet the products of their filter directly.
+    read; without one it is made.
     """
-    asked = scopes(questions)
-    facts = _facts(products)
-    terms = asked.filter("worded").select("scope_id", F.inline("keys"))
+    asked = scopes(questions).withColumn("words_id", F.sha2(F.to_json("keys"), 256))
+    sets = asked.filter("worded").select("words_id", "keys").dropDuplicates(["words_id"])
+    terms = written(sets.select("words_id", F.inline("keys")), "terms")
     index = term_index(products) if index is None else asked_entries(index, terms)
-    worded = (
-        terms.join(index.select("product_id", "kind", "term", "weight"), ["kind", "term"])
-        .groupBy("scope_id", "product_id")
-        .agg(F.sum("weight").alias("text_score"))
-        .join(facts, "product_id")
-        .join(asked.drop("keys", "worded"), "scope_id")
+    entry = F.struct("kind", "term", "weight")
+    entries = (
+        index.join(terms.select("kind", "term").distinct(), ["kind", "term"], "left_semi")
+        .groupBy("product_id")
+        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    )
+    profile = ["entries", "category", "occasions", "recipient"]
+    facts = written(
+        _facts(products)
+        .join(entries, "product_id", "left")
+        .withColumn("profile_id", F.sha2(F.to_json(F.struct(*profile)), 256)),
+        "facts",
+    )
+    profiles = written(facts.select("profile_id", *profile).dropDuplicates(["profile_id"]), "profiles")
+    # Few words and profiles make very many pairs, so they are spread first.
+    scored = spread(
+        profiles.select("profile_id", "category", "occasions", "recipient", F.inline("entries"))
+        .join(terms, ["kind", "term"])
+        .groupBy("words_id", "profile_id")
+        .agg(
+            F.sum("weight").alias("text_score"),
+            *[F.first(name).alias(name) for name in profile[1:]],  # equal within a profile
+        ),
+        "words_id", "profile_id",
     )
+    worded = asked.filter("worded").drop("keys", "worded")
+    within = worded.filter(_given("q_category")).withColumn("category", F.col("q_category"))
+    anywhere = worded.filter(~_given("q_category"))
 
     def place(kind: str, term: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), term.alias("term"))
@@ -166,16 +191,32 @@ def scope_matches(
         F.transform(F.array_distinct("occasions"), lambda occasion: place("occasion", occasion)),
     )
     wordless = (
-        facts.select("*", F.inline(places))
+        spread(profiles.drop("entries"), "profile_id")
+        .select("*", F.inline(places))
         .join(asked.filter("NOT worded").select("*", F.inline("keys")).drop("keys", "worded"), ["kind", "term"])
-        .drop("kind", "term")
         .withColumn("text_score", F.lit(0.0))
     )
-    return worded.unionByName(wordless).filter(
+    columns = ["scope_id", "profile_id", "text_score", "q_occasion", "q_recipient"]
+    filters = ["q_category", "category", "occasions", "recipient"]
+    met = [scored.join(within, ["words_id", "category"]), scored.join(anywhere, "words_id"), wordless]
+    pairs = reduce(DataFrame.unionByName, [part.select(*columns, *filters) for part in met]).filter(
         (~_given("q_category") | (F.col("q_category") == F.col("category")))
         & (~_given("q_occasion") | F.array_contains("occasions", F.col("q_occasion")))
         & (~_given("q_recipient") | (F.col("q_recipient") == F.col("recipient")))
-    ).drop("category", "occasions", "recipient", "q_category")
+    )
+    return facts.drop(*profile), written(pairs.select(*columns), "scope_profiles")
+
+
+def profile_matches(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (scope, product) matches that pairs of scopes and profiles stand for."""
+    return pairs.join(facts, "profile_id").drop("profile_id")
+
+
+def scope_matches(
+    products: DataFrame, questions: DataFrame, index: DataFrame | None = None
+) -> DataFrame:
+    """Every (scope, product) that passes the attribute filters and shares a word, if any is given."""
+    return profile_matches(*scope_profiles(products, questions, index))
 
 
 def _given(column: str) -> Column:
@@ -492,16 +533,72 @@ def scope_prices(met: DataFrame) -> DataFrame:
     )
 
 
+def profile_prices(facts: DataFrame, pairs: DataFrame, firsts: bool = True) -> DataFrame:
+    """As ``scope_prices``, without a scope meeting its products; ``FIRST`` on demand.
+
+    The products of a profile are counted by price before scopes meet them. Only copies
+    whose profiles differ have to meet per scope, as those it takes are one.
+    """
+    buyable = F.col("stock_level").isin(fixed.RECOMMENDABLE)
+    found = F.struct("price_eur", "_ord", "product_id")
+    single = F.when(F.col("duplicate_group_id").isNull(), F.col("product_id"))
+    unit = ["price_eur", "duplicate_group_id", "single"]
+    first = {"first_all": F.min(found), "first_buy": F.min(F.when(buyable, found))} if firsts else {}
+    cells = written(
+        facts.withColumn("single", single)
+        .groupBy("profile_id", *unit)
+        .agg(
+            F.count("*").alias("n_all"),
+            F.count_if(buyable).alias("n_buy"),
+            *[value.alias(name) for name, value in first.items()],
+        )
+        .withColumn("n_profiles", F.count("*").over(Window.partitionBy(*unit))),
+        "cells",
+    )
+    alone, for_sale = F.col("n_profiles") == 1, F.col("n_buy") > 0
+    sums = [F.sum(name).alias(name) for name in COUNTED]
+    least = [F.min(name).alias(name) for name in first]
+    by_price = cells.groupBy("profile_id", "price_eur").agg(
+        F.sum("n_all").alias("n_all"),
+        F.sum("n_buy").alias("n_buy"),
+        F.count_if(alone).alias("n_all_collapsed"),
+        F.count_if(alone & for_sale).alias("n_buy_collapsed"),
+        *least,
+    )
+    places = pairs.select("scope_id", "profile_id")
+    whole = places.join(by_price, "profile_id").groupBy("scope_id", "price_eur").agg(*sums, *least)
+    none = F.lit(0).cast("long")
+    mixed = (
+        places.join(cells.filter(~alone), "profile_id")
+        .groupBy("scope_id", *unit)
+        .agg(F.max("n_buy").alias("n_buy"))
+        .groupBy("scope_id", "price_eur")
+        .agg(
+            F.count("*").alias("n_all_collapsed"),
+            F.count_if(for_sale).alias("n_buy_collapsed"),
+        )
+        .withColumns({"n_all": none, "n_buy": none})
+    )
+    both = whole.unionByName(mixed, allowMissingColumns=True)
+    return both.groupBy("scope_id", "price_eur").agg(*sums, *least)
+
+
 def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
-    """How many products survive each filter stage, from the written matches of scopes.
+    """How many products survive each filter stage, from the written matches of scopes."""
+    return priced_counts(scope_prices(met), questions)
+
+
+def priced_counts(prices: DataFrame, questions: DataFrame) -> DataFrame:
+    """How many products survive each filter stage, from the products of scopes counted by price.
 
     Per question: ``n_attributes, n_buyable, n_price, n_available``, ``total_matches`` (available
     ones, copies as one) and ``nearest``, the cheapest product that can be bought outside
-    the price range. No question meets its matches: a scope's products are counted by price, the
+    the price range, if ``prices`` has ``FIRST``. No question meets its matches: a scope's products are counted by price, the
     bounds of its questions take their places in the order of prices, and running
     sums there are the answers. What is shuffled are matches, prices and questions.
     """
-    prices = written(scope_prices(met), "scope_prices")
+    prices = written(prices, "scope_prices")
+    firsts = [name for name in FIRST if name in prices.columns]
     asked = questions.select(
         "question_id", scope_id().alias("scope_id"), "max_price", "min_price",
         F.col("include_out_of_stock").alias("every_stock"),
@@ -515,7 +612,7 @@ def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
     places = prices.filter("price_eur IS NOT NULL").withColumn("side", F.lit(PRODUCTS)).unionByName(
         bound("min_price", BEGINS).unionByName(bound("max_price", ENDS)), allowMissingColumns=True
     )
-    sums = running(places, ["scope_id"], ["price_eur", "side", "question_id"], COUNTED, FIRST)
+    sums = running(places, ["scope_id"], ["price_eur", "side", "question_id"], COUNTED, firsts)
 
     def at(side: int, name: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(name)))
@@ -523,13 +620,13 @@ def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
     found = sums.filter(F.col("side") != PRODUCTS).groupBy("question_id").agg(
         *[at(BEGINS, f"up_to_{n}").alias(f"below_{n}") for n in COUNTED],
         *[at(ENDS, f"up_to_{n}").alias(f"within_{n}") for n in COUNTED],
-        *[at(ENDS, f"next_{n}").alias(f"next_{n}") for n in FIRST],
+        *[at(ENDS, f"next_{n}").alias(f"next_{n}") for n in firsts],
     )
     priced = F.col("price_eur").isNotNull()
     whole = prices.groupBy("scope_id").agg(
         *[F.sum(n).alias(n) for n in COUNTED],
         *[F.sum(F.when(priced, F.col(n))).alias(f"priced_{n}") for n in COUNTED],
-        *[F.min(F.when(priced, F.col(n))).alias(n) for n in FIRST],
+        *[F.min(F.when(priced, F.col(n))).alias(n) for n in firsts],
     )
     bounded = _given("max_price") | _given("min_price")
 
@@ -544,7 +641,14 @@ def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
     def collapsed() -> Column:
         return F.when(F.col("every_stock"), in_price("n_all_collapsed")).otherwise(in_price("n_buy_collapsed"))
 
-    first, following = stock("first"), stock("next_first")
+    nearest = []
+    if firsts:
+        first, following = stock("first"), stock("next_first")
+        nearest = [
+            F.when(_given("min_price") & (first["price_eur"] < F.col("min_price")), first)
+            .when(_given("max_price"), following)
+            .alias("nearest")
+        ]
     return (
         asked.join(whole, "scope_id")
         .join(found, "question_id", "left")
@@ -555,9 +659,7 @@ def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
             in_price("n_all").alias("n_price"),
             stock("n", in_price).alias("n_available"),
             collapsed().alias("total_matches"),
-            F.when(_given("min_price") & (first["price_eur"] < F.col("min_price")), first)
-            .when(_given("max_price"), following)
-            .alias("nearest"),
+            *nearest,
         )
     )
 
@@ -593,10 +695,10 @@ def answer_questions(
     Envelopes hold one row per question: counts, reason, total. Mentions name every
     product a response shows, with its role (result, sold_out, nearest) and rank.
     """
-    met = written(scope_matches(products, questions, index), "scope_matches")
+    facts, pairs = scope_profiles(products, questions, index)
     numbers = ["n_attributes", "n_buyable", "n_price", "n_available", "total_matches"]
     envelopes = written(
-        questions.join(question_counts(met, questions), "question_id", "left")
+        questions.join(priced_counts(profile_prices(facts, pairs), questions), "question_id", "left")
         .fillna(0, numbers)
         .withColumn("reason", diagnose()),
         "envelopes",
@@ -605,6 +707,7 @@ def answer_questions(
     # Only questions that found something are ranked, and only sold-out ones look for the popular.
     full = envelopes.filter("n_available > 0").select(questions.columns)
     gone = envelopes.filter("reason = 'out_of_stock_only'").select(questions.columns)
+    met = written(profile_matches(facts, pairs), "scope_matches")
     sold_out = top_sold_out(met, gone).withColumn("role", F.lit("sold_out"))
     bounded = _given("max_price") | _given("min_price")
     nearest = empty.filter(

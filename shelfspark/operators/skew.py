@@ -12,13 +12,13 @@ from shelfspark.session import written
 HOT_ROWS = 1_000_000
 
 
-def spread(rows: DataFrame, by: str) -> DataFrame:
+def spread(rows: DataFrame, *by: str) -> DataFrame:
     """Rows by a hash of ``by`` over as many tasks as a shuffle has, for costly work on each.
 
     A scan makes no more tasks than a table has row groups, or multi-line files.
     """
     n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n_tasks, by)
+    return rows.repartition(n_tasks, *by)
 
 
 def attach(

@@ -145,3 +145,42 @@ def test_deep_pages_leave_the_others_alone(spark, many_partitions):
         page = list(enumerate(in_order, 1))[offset : offset + limit]
         expected += [(question, rank, p) for rank, p in page]
     assert got == expected
+
+
+def test_scopes_meet_profiles_not_products(spark):
+    """Counts by price through profiles are those of the products, copies of other profiles, nulls and twin ids included."""
+    r = random.Random(5)
+    rows = []
+    for k in range(400):
+        name, brand = r.choice(["red lamp", "red chair", "blue lamp"]), r.choice(["Lumo", "Solo"])
+        price = r.choice([None, 5.0, 7.0, 9.0])
+        group = f"g-{name}-{brand}-{price}" if r.random() < 0.6 else None
+        rows.append((
+            None if k % 97 == 0 else f"p{k // 2 if k % 31 == 0 else k}", group, name, brand, r.choice(["Home", "Pets", None]), None, ["x"],
+            r.choice([[], ["easter"], ["easter", "birthday"]]), r.choice(["her", "anyone", None]), price,
+            r.choice(["in_stock", "low", "out_of_stock", "unknown"]), 4.0, k, k,
+        ))
+    products = spark.createDataFrame(
+        rows,
+        "product_id string, duplicate_group_id string, name string, brand string, category string, subcategory string, "
+        "tags array<string>, occasions array<string>, recipient string, price_eur double, stock_level string, "
+        "rating double, reviews_count int, _ord long",
+    )
+    asked = spark.createDataFrame(
+        [(k, r.choice([None, "lamp", "red lamps", "red chair", "zzz"]), r.choice([None, "Home", "Pets"]),
+          r.choice([None, "easter"]), r.choice([None, "her"]), None, None, False, None, None) for k in range(120)],
+        "request_id long, query string, category string, occasion string, recipient string, max_price double, "
+        "min_price double, include_out_of_stock boolean, sort string, limit int",
+    )
+    questions = written(search.distinct_questions(search.as_search(asked)), "questions")
+    facts, pairs = search.scope_profiles(products, questions)
+    met = written(search.profile_matches(facts, pairs), "met")
+    columns = ["scope_id", "price_eur", *search.COUNTED, *search.FIRST]
+
+    def by_scope(table):
+        return sorted(map(repr, table.select(columns).collect()))
+
+    assert by_scope(search.profile_prices(facts, pairs)) == by_scope(search.scope_prices(met))
+    plain = search.question_counts(met, questions).drop("nearest")
+    assert plain.exceptAll(search.priced_counts(search.profile_prices(facts, pairs, firsts=False), questions)).isEmpty()
+    assert 0 < pairs.count() < met.count() / 2
