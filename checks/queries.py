@@ -639,8 +639,8 @@ def j3_term_match(spark, sf_dir):
     """Requests with words only: how many products each meets, and their best score."""
     products, normal, questions = _asked(spark, sf_dir, views.only("query"))
     asked = questions.filter(F.size("words") > 0)
-    met = find.matches(products, asked).groupBy("question_id").agg(
-        F.count("*").alias("n_products"), F.round(F.max("score"), 6).alias("best_score")
+    met = find.score_sums(products, asked).select(
+        "question_id", "n_products", F.round("max_score", 6).alias("best_score")
     )
     return _per_request(normal, questions, met)
 
@@ -653,8 +653,8 @@ def j3_stored_index(spark, sf_dir):
     write_tables({"term_index": index.bucketed(index.term_index(products))}, folder)
     stored = read_tables(spark, folder, "term_index")["term_index"]
     asked = questions.filter(F.size("words") > 0)
-    met = find.matches(products, asked, stored).groupBy("question_id").agg(
-        F.count("*").alias("n_products"), F.round(F.max("score"), 6).alias("best_score")
+    met = find.score_sums(products, asked, stored).select(
+        "question_id", "n_products", F.round("max_score", 6).alias("best_score")
     )
     return _per_request(normal, questions, met)
 
@@ -677,10 +677,11 @@ def a8_max_popularity(spark, sf_dir):
 def a9_search_score(spark, sf_dir):
     """The summed score of everything a request matches, all bonuses included."""
     products, normal, questions = _asked(spark, sf_dir, views.SEARCH_COLUMNS)
-    sums = find.matches(products, questions).groupBy("question_id").agg(
-        F.round(F.sum("score"), 4).alias("sum_score"),
-        F.round(F.max("score"), 6).alias("max_score"),
-        F.round(F.min("score"), 6).alias("min_score"),
+    sums = find.score_sums(products, questions).select(
+        "question_id",
+        F.round("sum_score", 4).alias("sum_score"),
+        F.round("max_score", 6).alias("max_score"),
+        F.round("min_score", 6).alias("min_score"),
     )
     return _per_request(normal, questions, sums)
 
@@ -776,13 +777,7 @@ def x1_token_overlap(spark, sf_dir):
 def x2_over_budget(spark, sf_dir):
     """What passes the attribute filters and can be bought, but not at the price."""
     products, normal, questions = _asked(spark, sf_dir, views.SEARCH_COLUMNS)
-    beyond = (
-        find.matches(products, questions)
-        .filter("buyable AND NOT in_price")
-        .groupBy("question_id")
-        .agg(F.count("*").alias("n_over_budget"), F.min("price_eur").alias("cheapest"))
-    )
-    return _per_request(normal, questions, beyond)
+    return _per_request(normal, questions, find.over_budget(products, questions))
 
 
 # --- Similar products -------------------------------------------------------------------

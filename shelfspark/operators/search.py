@@ -591,7 +591,8 @@ def question_counts(met: DataFrame, questions: DataFrame) -> DataFrame:
 def priced_counts(prices: DataFrame, questions: DataFrame) -> DataFrame:
     """How many products survive each filter stage, from the products of scopes counted by price.
 
-    Per question: ``n_attributes, n_buyable, n_price, n_available``, ``total_matches`` (available
+    Per question: ``n_attributes, n_buyable, n_price, n_available, n_beyond`` (can be bought, but not
+    at the price), ``total_matches`` (available
     ones, copies as one) and ``nearest``, the cheapest product that can be bought outside
     the price range, if ``prices`` has ``FIRST``. No question meets its matches: a scope's products are counted by price, the
     bounds of its questions take their places in the order of prices, and running
@@ -658,12 +659,64 @@ def priced_counts(prices: DataFrame, questions: DataFrame) -> DataFrame:
             stock("n").alias("n_buyable"),
             in_price("n_all").alias("n_price"),
             stock("n", in_price).alias("n_available"),
+            F.when(bounded, stock("priced_n") - stock("n", in_price)).otherwise(0).alias("n_beyond"),
             collapsed().alias("total_matches"),
             *nearest,
         )
     )
 
 
+def over_budget(products: DataFrame, questions: DataFrame) -> DataFrame:
+    """Per question what passes the attribute filters and can be bought, but not at the price.
+
+    ``question_id, n_over_budget, cheapest`` (price), where there is any.
+    """
+    counts = priced_counts(profile_prices(*scope_profiles(products, questions)), questions)
+    return counts.filter("n_beyond > 0").select(
+        "question_id", F.col("n_beyond").alias("n_over_budget"), F.col("nearest.price_eur").alias("cheapest")
+    )
+
+
+def score_sums(
+    products: DataFrame, questions: DataFrame, index: DataFrame | None = None
+) -> DataFrame:
+    """How many products each question matches, and their summed, highest and lowest score.
+
+    Within equal text score, price and stock a score follows popularity, so
+    scopes are reduced to a row for each of these before their questions meet them.
+    """
+    facts, pairs = scope_profiles(products, questions, index)
+    low = F.when(F.col("stock_level") == "low", "low").alias("stock_level")
+    gathered = [
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"),
+    ]
+    cells = facts.groupBy("profile_id", "price_eur", low).agg(
+        F.count("*").alias("n"),
+        F.sum("popularity").alias("total"),
+        F.min("popularity").alias("least"),
+        F.max("popularity").alias("most"),
+    )
+    shelf = ["scope_id", "text_score", "q_occasion", "q_recipient", "price_eur", "stock_level"]
+    shelves = written(pairs.join(cells, "profile_id").groupBy(*shelf).agg(*gathered), "shelves")
+    asking = questions.select("question_id", scope_id().alias("scope_id"), F.col("max_price").alias("q_max_price"))
+
+    # Either side may be small enough to be sent to all tasks, and the other is then what makes tasks.
+    shelves = spread(shelves, "scope_id", "text_score", "price_eur", "stock_level")
+    met = _with_top(shelves, products).join(spread(asking, "question_id"), "scope_id")
+    plain = met.withColumn("popularity", F.lit(0.0)).withColumn("base", score())
+    best = plain.withColumn("popularity", F.col("most")).withColumn("highest", score())
+    worst = best.withColumn("popularity", F.col("least")).withColumn("lowest", score())
+    share = F.when(
+        F.col("max_popularity") > 0, F.lit(fixed.POPULARITY_BONUS) * (F.col("total") / F.col("max_popularity"))
+    ).otherwise(0.0)
+    return worst.groupBy("question_id").agg(
+        F.sum("n").alias("n_products"),
+        F.sum(F.col("n") * F.col("base") + share).alias("sum_score"),
+        F.max("highest").alias("max_score"),
+        F.min("lowest").alias("min_score"),
+    )
+
+
 def diagnose() -> Column:
     """Why a question came back empty; null when it did not."""
     bounded = _given("max_price") | _given("min_price")

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.operators import search
+from shelfspark.operators.index import with_terms
 from shelfspark.operators.ranks import ranked, running
 from shelfspark.session import written
 
@@ -184,3 +186,41 @@ def test_scopes_meet_profiles_not_products(spark):
     plain = search.question_counts(met, questions).drop("nearest")
     assert plain.exceptAll(search.priced_counts(search.profile_prices(facts, pairs, firsts=False), questions)).isEmpty()
     assert 0 < pairs.count() < met.count() / 2
+
+
+def test_scores_and_budgets_of_profiles(spark):
+    """Sums of scores and what lies over a budget, as all matches of a question give them."""
+    r = random.Random(8)
+    rows = [
+        (f"p{k}", None, r.choice(["red lamp", "red chair"]), None, r.choice(["Home", "Pets"]), None, ["x"], ["easter"],
+         r.choice(["her", "anyone"]), r.choice([None, 5.0, 7.0, 9.0]), r.choice(["in_stock", "low", "out_of_stock"]),
+         r.choice([None, 3.0, 4.5]), r.randrange(50), k) for k in range(200)
+    ]
+    products = with_terms(spark.createDataFrame(
+        rows,
+        "product_id string, duplicate_group_id string, name string, brand string, category string, subcategory string, "
+        "tags array<string>, occasions array<string>, recipient string, price_eur double, stock_level string, "
+        "rating double, reviews_count int, _ord long",
+    ))
+    asked = spark.createDataFrame(
+        [(k, r.choice([None, "lamp", "red lamps"]), r.choice([None, "Home"]), r.choice([None, "easter"]), r.choice([None, "her"]),
+          r.choice([None, 6.0, 7.0, 10.0]), r.choice([None, 6.0, 9.0]), r.random() < 0.5, None, None) for k in range(150)],
+        "request_id long, query string, category string, occasion string, recipient string, max_price double, "
+        "min_price double, include_out_of_stock boolean, sort string, limit int",
+    )
+    questions = written(search.distinct_questions(search.as_search(asked)), "questions")
+    matched = written(search.matches(products, questions), "matches")
+    plain = {
+        row.question_id: row
+        for row in matched.groupBy("question_id").agg(
+            F.count("*").alias("n"), F.sum("score").alias("s"), F.max("score").alias("m"), F.min("score").alias("l")
+        ).collect()
+    }
+    sums = search.score_sums(products, questions).collect()
+    assert len(sums) == len(plain) > 20
+    for row in sums:
+        other = plain[row.question_id]
+        assert row.sum_score == pytest.approx(other.s, abs=1e-9) and (row.n_products, row.max_score, row.min_score) == (other.n, other.m, other.l)
+    beyond = matched.filter("buyable AND NOT in_price").groupBy("question_id").agg(F.count("*").alias("n"), F.min("price_eur").alias("c"))
+    found = search.over_budget(products, questions)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, beyond.collect())) != []
