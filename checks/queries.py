@@ -688,8 +688,7 @@ def a9_search_score(spark, sf_dir):
 
 def _ranked(spark, sf_dir, columns, browse=False):
     products, normal, questions = _asked(spark, sf_dir, columns, browse)
-    met = written(find.scope_matches(products, questions), "scope_matches")
-    pages = find.top_pages(met, products, questions)
+    pages = find.profile_pages(*find.scope_profiles(products, questions), products, questions)
     pages = pages.withColumn("score", F.round("score", 6))
     return _per_request(normal, questions, pages)
 
@@ -850,8 +849,7 @@ def w9_byte_budget(spark, sf_dir):
     products, normal, questions = _asked(
         spark, sf_dir, {**views.BROWSE_COLUMNS, "limit": "20"}, browse=True
     )
-    met = written(find.scope_matches(products, questions), "scope_matches")
-    pages = find.top_pages(met, products, questions)
+    pages = find.profile_pages(*find.scope_profiles(products, questions), products, questions)
     shown = products.select("product_id", respond.summary().alias("summary"))
     listed = (
         pages.join(shown, "product_id")
@@ -918,8 +916,7 @@ def best_per_category(spark, sf_dir):
          "max_price": F.lit(None).cast("double"), "include_out_of_stock": F.lit(False)}
     )
     questions = find.distinct_questions(find.as_browse(wanted))
-    met = written(find.scope_matches(products, questions), "scope_matches")
-    pages = find.top_pages(met, products, questions)
+    pages = find.profile_pages(*find.scope_profiles(products, questions), products, questions)
     facts = products.select("product_id", "name", F.round("popularity", 6).alias("popularity"))
     return (
         pages.join(facts, "product_id")

@@ -236,7 +236,7 @@ def matches(
 
 
 def asked_matches(met: DataFrame, products: DataFrame, questions: DataFrame) -> DataFrame:
-    """The scored matches of questions, from the written ones of their scopes."""
+    """The scored matches of questions, from those of their scopes; ``n_rows`` stays if it is there."""
     asking = questions.select(
         "question_id",
         scope_id().alias("scope_id"),
@@ -258,6 +258,7 @@ def asked_matches(met: DataFrame, products: DataFrame, questions: DataFrame) ->
             (F.col("buyable") & F.col("in_price")).alias("available"),
             first.alias("first"),
             second.alias("second"),
+            *[name for name in met.columns if name == "n_rows"],
         )
     )
 
@@ -306,6 +307,25 @@ def _order(sort: Column, points: Column) -> tuple[Column, Column]:
     return first.otherwise(-points), second.otherwise(-F.col("popularity"))
 
 
+def first_copies(facts: DataFrame, sort: str = "relevance") -> DataFrame:
+    """Facts with the copies of a product that differ in no price, stock or profile as one row of ``n_rows``.
+
+    The row is the copy that comes first in the order, whatever a scope adds to the score of all
+    of them, so the others are never the best of their group.
+    """
+    same = ["profile_id", "duplicate_group_id", "price_eur", "stock_level"]
+    first, second = _order(F.lit(sort), F.lit(0.0))
+    best = F.struct(first.alias("first"), second.alias("second"), "product_id", *[c for c in facts.columns if c not in [*same, "product_id"]])
+    copies = (
+        facts.filter("duplicate_group_id IS NOT NULL")
+        .groupBy(*same)
+        .agg(F.min(best).alias("best"), F.count("*").alias("n_rows"))
+        .select(*[c if c in same else f"best.{c}" for c in facts.columns], "n_rows")
+    )
+    single = facts.filter("duplicate_group_id IS NULL").withColumn("n_rows", F.lit(1).cast("long"))
+    return single.unionByName(copies)
+
+
 def collapse_duplicates(available: DataFrame) -> DataFrame:
     """Keep the best-ranked member of each duplicate group per question.
 
@@ -387,8 +407,13 @@ def _price_ranges(questions: DataFrame) -> DataFrame:
     )
 
 
-def _list_id() -> Column:
-    return F.concat_ws(":", "scope_id", "sort", F.col("every_stock").cast("string"), F.col("bonus").cast("string"))
+def _list_id(*names: str) -> Column:
+    return F.concat_ws(":", "scope_id", *[F.col(name).cast("string") for name in names], _free().cast("string"))
+
+
+def _free() -> Column:
+    """Ranges of all prices and of none."""
+    return F.col("low").isNull() & F.col("high").isNull()
 
 
 def _with_top(met: DataFrame, products: DataFrame) -> DataFrame:
@@ -396,55 +421,158 @@ def _with_top(met: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def top_pages(met: DataFrame, products: DataFrame, questions: DataFrame) -> DataFrame:
-    """The requested page of each question, as ``page`` gives it, from the written matches of scopes.
+    """The requested page of each question, as ``page`` gives it, from the matches of scopes.
 
-    Each order that the questions of a scope ask for is a list of its products, copies as one (they share a
-    price), and a page the first of a price range of it. What is shuffled are matches by order and, for a question,
-    the first products of a few blocks of prices. Only pages beyond ``SHALLOW`` are
-    made by sorting all matches of their questions.
+    As ``profile_pages``, but every list is made of all matches of its scope.
     """
     questions = written(questions, "paging")
-    deep = questions.filter(F.col("offset") + F.col("limit") > SHALLOW)
-    asked = written(
-        _price_ranges(questions.filter(F.col("offset") + F.col("limit") <= SHALLOW)).withColumn("list_id", _list_id()),
-        "price_ranges",
-    )
+    asked = _shallow_ranges(questions)
     lists = asked.select("list_id", "scope_id", "sort", "every_stock", "bonus").distinct()
-    buyable = F.col("stock_level").isin(fixed.RECOMMENDABLE)
     first, second = _order(F.col("sort"), score(F.col("bonus")))
+    buyable = F.col("stock_level").isin(fixed.RECOMMENDABLE)
     listed = (
         _with_top(met, products)
         .join(lists, "scope_id")
         .filter(buyable | F.col("every_stock"))
-        .select(
-            F.col("list_id").alias("question_id"), "duplicate_group_id", "product_id", "price_eur",
-            F.struct(
-                first.alias("first"), second.alias("second"), "product_id", "price_eur", "text_score",
-                "stock_level", "popularity",
-            ).alias("item"),
+        .select("list_id", "duplicate_group_id", _item(first, second).alias("item"))
+    )
+    return _listed_pages(listed, asked, met, products, questions)
+
+
+def profile_pages(facts: DataFrame, pairs: DataFrame, products: DataFrame, questions: DataFrame) -> DataFrame:
+    """The requested page of each question, as ``page`` gives it, without a scope meeting all its products.
+
+    Each order that the questions of a scope ask for is a list of its products, copies as one (they share a
+    price), and a page the first of a price range of it. Only products that can be on a page come on the list
+    (``_leading``). Only pages beyond ``SHALLOW`` are made by sorting all matches of their questions.
+    """
+    questions = written(questions, "paging")
+    asked = _shallow_ranges(questions)
+    lists = asked.withColumn(
+        "family", F.when(F.col("sort").isin(*STATIC_SORTS), F.col("sort")).otherwise("popularity")
+    )
+    first, second = _order(F.col("family"), F.lit(0.0))
+    item = _item(*_order(F.col("sort"), score(F.col("bonus"))))
+    listed = _leading(
+        facts, _with_top(pairs, products), lists, ["sort", "every_stock", "bonus"],
+        F.struct(first.alias("first"), second.alias("second"), "product_id"), item, copies=True,
+    )
+    return _listed_pages(listed, asked, profile_matches(facts, pairs), products, questions)
+
+
+def _shallow_ranges(questions: DataFrame) -> DataFrame:
+    ranges = _price_ranges(questions.filter(F.col("offset") + F.col("limit") <= SHALLOW))
+    return written(ranges.withColumn("list_id", _list_id("sort", "every_stock", "bonus")), "price_ranges")
+
+
+def _item(first: Column, second: Column) -> Column:
+    return F.struct(
+        first.alias("first"), second.alias("second"), "product_id", "price_eur", "text_score", "stock_level",
+        "popularity",
+    )
+
+
+def _leading(
+    facts: DataFrame, pairs: DataFrame, asked: DataFrame, terms: list[str], order: Column, item: Column, copies: bool
+) -> DataFrame:
+    """``list_id, duplicate_group_id, item``: the products of lists that a range of ``asked`` can want.
+
+    ``order`` is that of ``family`` within a profile, price and kind of stock, where all lists that ask for it
+    agree; ``item`` orders a whole list, by its ``terms`` and by what ``pairs`` know. Such a cell keeps its first
+    ``n`` products. A list meets the first product of each cell; a price range has all products of a
+    price or none, so those behind the ``n`` first of them at a price are left out, with all of
+    their cell, and only the cells that remain give their other products. Lists without a price range do
+    so for all prices at once. With ``copies`` these count as one.
+    """
+    most = asked.agg(F.max("n")).first()[0] or 1
+    lists = written(
+        asked.groupBy("list_id", "scope_id", "family", _free().alias("free"), *terms).agg(
+            F.min(F.coalesce("low", F.lit(float("-inf")))).alias("least"),
+            F.max(F.coalesce("high", F.lit(float("inf")))).alias("highest"),
+        ),
+        "lists",
+    )
+    low = F.col("stock_level") == "low"
+    stock = F.when(low, "low").when(F.col("stock_level").isin(fixed.RECOMMENDABLE), "other").otherwise("gone")
+    cell = ["profile_id", "family", "free", "stock", "at"]
+    placed = (
+        facts.withColumn("stock", stock)
+        .crossJoin(F.broadcast(lists.select("family", "free").distinct()))  # a few orders
+        .withColumn("at", F.when(F.col("free"), 0.0).otherwise(F.col("price_eur")))
+        .filter("at IS NOT NULL")
+        .withColumn("own", order)
+    )
+    kept = ["price_eur", "product_id", "duplicate_group_id", "stock_level", "popularity", "rating", "reviews_count", "_ord"]
+    placed = placed.select(*cell, F.struct("own", *kept).alias("product"))
+    if copies:
+        group = "product.duplicate_group_id"
+        as_one = placed.filter(F.col(group).isNotNull()).groupBy(*cell, F.col(group).alias("copies"))
+        placed = placed.filter(F.col(group).isNull()).unionByName(
+            as_one.agg(F.min("product").alias("product")).drop("copies")
         )
+    best = Window.partitionBy(*cell).orderBy("product")
+    heads = written(
+        placed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).select(
+            *cell, "place", *[F.col(f"product.{name}").alias(name) for name in kept]
+        ),
+        "heads",
     )
+    within = F.col("free") | F.col("at").between(F.col("least"), F.col("highest"))
+    firsts = written(
+        spread(pairs, "scope_id", "profile_id")
+        .join(lists, "scope_id")
+        .join(heads.filter("place = 1"), ["profile_id", "family", "free"])
+        .filter(within & ((F.col("stock") != "gone") | F.col("every_stock")))
+        .withColumn("item", item)
+        .drop("scope_id", "least", "highest"),
+        "firsts",
+    )
+    unit = F.struct("duplicate_group_id", "product_id")
+    if copies:
+        unit = F.struct("duplicate_group_id", F.when(F.col("duplicate_group_id").isNull(), F.col("product_id")))
+    nth = Window.partitionBy("list_id", "at").orderBy("item")
+    last = (
+        firsts.groupBy("list_id", "at", unit.alias("unit"))
+        .agg(F.min("item").alias("item"))
+        .withColumn("nth", F.row_number().over(nth))
+        .filter(F.col("nth") == most)
+        .select("list_id", "at", F.col("item").alias("last"))
+    )
+    wanted = F.col("last").isNull() | (F.col("item") <= F.col("last"))
+    remain = written(firsts.join(last, ["list_id", "at"], "left").filter(wanted), "remain")
+    others = (
+        remain.drop("place", "item", *kept)
+        .join(heads.filter("place > 1"), cell)
+        .withColumn("item", item)
+        .filter(wanted)
+    )
+    columns = ["list_id", "duplicate_group_id", "item"]
+    return written(remain.select(columns).unionByName(others.select(columns)), "leading")
+
+
+def _listed_pages(
+    listed: DataFrame, asked: DataFrame, met: DataFrame, products: DataFrame, questions: DataFrame
+) -> DataFrame:
+    """Pages from lists of products; ``met`` is read for pages beyond ``SHALLOW`` alone."""
     copies = (
         listed.filter("duplicate_group_id IS NOT NULL")
-        .groupBy("question_id", "duplicate_group_id")
+        .groupBy("list_id", "duplicate_group_id")
         .agg(F.min("item").alias("item"))
     )
-    units = listed.filter("duplicate_group_id IS NULL").select("question_id", "item").unionByName(
-        copies.select("question_id", "item")
+    units = listed.filter("duplicate_group_id IS NULL").select("list_id", "item").unionByName(
+        copies.select("list_id", "item")
     )
-    units = units.withColumnRenamed("question_id", "list_id")
     # Without a price range a page is the beginning of its list, cut to its length per task.
-    free = F.col("low").isNull() & F.col("high").isNull()
     begin = Window.partitionBy("list_id").orderBy("item.first", "item.second", "item.product_id")
     found = (
-        units.join(asked.filter(free).select("list_id").distinct(), "list_id", "left_semi")
+        units.join(asked.filter(_free()).select("list_id").distinct(), "list_id", "left_semi")
         .withColumn("place", F.row_number().over(begin))
         .filter(F.col("place") <= SHALLOW)
-        .join(asked.filter(free).select("question_id", "list_id", "n"), "list_id")
+        .join(asked.filter(_free()).select("question_id", "list_id", "n"), "list_id")
         .filter(F.col("place") <= F.col("n"))
         .select("question_id", "item")
     )
-    ranged = asked.filter(~free)
+    ranged = asked.filter(~_free())
     if not ranged.isEmpty():
         within = range_tops(
             units.join(ranged.select("list_id").distinct(), "list_id", "left_semi").select(
@@ -466,29 +594,48 @@ def top_pages(met: DataFrame, products: DataFrame, questions: DataFrame) -> Data
         .select("*", "item.*")
     )
     pages = _with_top(shown, products).select("question_id", "rank", "product_id", score().alias("score"))
+    deep = questions.filter(F.col("offset") + F.col("limit") > SHALLOW)
     if deep.isEmpty():
         return pages
     among = asked_matches(met, products, deep).filter("available")
     return pages.unionByName(page(collapse_duplicates(among), deep))
 
 
+def _sold_out_ranges(questions: DataFrame, n: int) -> DataFrame:
+    asked = questions.filter(~F.col("include_out_of_stock")).withColumn("sort", F.lit("popularity"))
+    return _price_ranges(asked).withColumn("n", F.lit(n)).withColumn("list_id", _list_id())
+
+
+def _most_popular() -> Column:
+    return F.struct((-F.col("popularity")).alias("first"), "_ord", "product_id", "price_eur")
+
+
 def top_sold_out(met: DataFrame, questions: DataFrame, n: int = 2) -> DataFrame:
     """Per question the ``n`` most popular products in its price range that can't be bought.
 
     Of questions that take any stock there are none.
     """
-    asked = questions.filter(~F.col("include_out_of_stock")).withColumn("sort", F.lit("popularity"))
-    asked = _price_ranges(asked).withColumn("n", F.lit(n))
+    asked = written(_sold_out_ranges(questions, n), "price_ranges")
     gone = met.filter(~F.col("stock_level").isin(fixed.RECOMMENDABLE)).join(
-        asked.select("scope_id").distinct(), "scope_id", "left_semi"
+        asked.select("scope_id", "list_id").distinct(), "scope_id"
+    )
+    return _popular(gone.select("list_id", _most_popular().alias("item")), asked, n)
+
+
+def profile_sold_out(facts: DataFrame, pairs: DataFrame, questions: DataFrame, n: int = 2) -> DataFrame:
+    """As ``top_sold_out``, without a scope meeting all its products."""
+    asked = written(_sold_out_ranges(questions, n).withColumn("family", F.lit("popularity")), "price_ranges")
+    gone = facts.filter(~F.col("stock_level").isin(fixed.RECOMMENDABLE))
+    every = asked.withColumn("every_stock", F.lit(True))
+    return _popular(
+        _leading(gone, pairs, every, ["every_stock"], _most_popular(), _most_popular(), copies=False), asked, n
     )
+
+
+def _popular(gone: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     found = range_tops(
-        gone.select(
-            F.col("scope_id").alias("list_id"),
-            F.col("price_eur").alias("at"),
-            F.struct((-F.col("popularity")).alias("first"), "_ord", "product_id").alias("item"),
-        ),
-        asked.select(F.col("question_id").alias("ask_id"), F.col("scope_id").alias("list_id"), "low", "high", "open", "n"),
+        gone.select("list_id", F.col("item.price_eur").alias("at"), "item"),
+        asked.select(F.col("question_id").alias("ask_id"), "list_id", "low", "high", "open", "n"),
     )
     order = Window.partitionBy("question_id").orderBy("item")
     return (
@@ -760,8 +907,7 @@ def answer_questions(
     # Only questions that found something are ranked, and only sold-out ones look for the popular.
     full = envelopes.filter("n_available > 0").select(questions.columns)
     gone = envelopes.filter("reason = 'out_of_stock_only'").select(questions.columns)
-    met = written(profile_matches(facts, pairs), "scope_matches")
-    sold_out = top_sold_out(met, gone).withColumn("role", F.lit("sold_out"))
+    sold_out = profile_sold_out(facts, pairs, gone).withColumn("role", F.lit("sold_out"))
     bounded = _given("max_price") | _given("min_price")
     nearest = empty.filter(
         F.col("reason").isin("out_of_stock_only", "budget_too_low")
@@ -773,7 +919,7 @@ def answer_questions(
         F.col("nearest.product_id").alias("product_id"),
         F.lit("nearest").alias("role"),
     )
-    results = top_pages(met, products, full).withColumn("role", F.lit("result"))
+    results = profile_pages(facts, pairs, products, full).withColumn("role", F.lit("result"))
     columns = ["question_id", "role", "rank", "product_id"]
     mentions = reduce(
         DataFrame.unionByName, [part.select(columns) for part in (results, sold_out, nearest)]
