@@ -14,7 +14,7 @@ from shelfspark.operators import categories, cleaning, duplicates, enrich, index
 from shelfspark.operators import responses as respond
 from shelfspark.operators import search as find
 from shelfspark.operators import similar as compare
-from shelfspark.operators.skew import attach
+from shelfspark.operators.skew import attach, spread
 from shelfspark.plans import answer
 from shelfspark.plans.build import build_products
 from shelfspark.session import new_path, written
@@ -717,8 +717,10 @@ def w6_offset_paging(spark, sf_dir):
 @query
 def w4_collapse_duplicates(spark, sf_dir):
     products, normal, questions = _asked(spark, sf_dir, views.only("query", "category"))
-    matched = written(find.matches(products, questions).filter("available"), "matches")
-    before = matched.groupBy("question_id").agg(F.count("*").alias("n_listed"))
+    facts, pairs = find.scope_profiles(products, questions)
+    copies = written(spread(find.first_copies(facts), "profile_id"), "copies")
+    matched = find.asked_matches(find.profile_matches(copies, pairs), products, questions).filter("available")
+    before = matched.groupBy("question_id").agg(F.sum("n_rows").alias("n_listed"))
     after = find.collapse_duplicates(matched).groupBy("question_id").agg(
         F.count("*").alias("n_products")
     )
