@@ -51,7 +51,6 @@ def listings(products: DataFrame) -> DataFrame:
     return products.select(
         "product_id",
         F.coalesce("duplicate_group_id", "product_id").alias("own"),
-        F.col("duplicate_group_id").isNull().alias("single"),
         "category",
         "price_eur",
         "popularity",
@@ -186,9 +185,10 @@ def _in_scopes(listed: DataFrame) -> DataFrame:
 
 
 def _shelves(scoped: DataFrame, level: int) -> DataFrame:
-    """One row per (scope, unit, price): its leading products, and how many there are.
+    """One row per (scope, unit, price): its leading products, and how many surely are there.
 
-    ``best`` holds one product per group of copies, most popular first.
+    ``best`` holds one product per group of copies, most popular first. ``n_own`` counts a group of copies once
+    in each unit, where it is cheapest, and ``n_home`` once in all units.
     """
     located = placed_at(scoped, level)
     shelf = ["all_stock", "unit", "price_eur"]
@@ -201,9 +201,15 @@ def _shelves(scoped: DataFrame, level: int) -> DataFrame:
         .groupBy(*shelf)
         .agg(F.array_sort(F.collect_list("leader")).alias("best"))
     )
-    # A product outside any group of copies stands for itself alone.
-    singles = located.groupBy(*shelf).agg(F.count_if("single").alias("n_singles"))
-    return best.join(singles, shelf)
+    cheapest = (
+        per_own.filter("own IS NOT NULL AND price_eur IS NOT NULL")
+        .groupBy("all_stock", "unit", "own")
+        .agg(F.min("price_eur").alias("price_eur"))
+    )
+    homes = cheapest.groupBy("all_stock", "own").agg(F.min(F.struct("unit", "price_eur")).alias("home"))
+    owns = cheapest.groupBy(*shelf).agg(F.count("*").alias("n_own"))
+    at_home = homes.groupBy("all_stock", "home.unit", "home.price_eur").agg(F.count("*").alias("n_home"))
+    return best.join(owns, shelf, "left").join(at_home, shelf, "left").fillna(0, ["n_own", "n_home"])
 
 
 def as_of(
@@ -252,11 +258,11 @@ def _tier_candidates(
         "b_unit", "unit"
     )
     sold = as_of(
-        _running(shelves, shelf_unit, "n_singles"),
+        _running(_running(shelves, shelf_unit, "n_own"), shelf_unit, "n_home"),
         reach.select(*shelf_unit, F.col("bound").alias("at")).distinct(),
         shelf_unit,
-        F.col("n_singles"),
-    ).select(*shelf_unit, F.col("at").alias("bound"), F.col("value").alias("n_singles"))
+        F.struct("n_own", "n_home"),
+    ).select(*shelf_unit, F.col("at").alias("bound"), "value.*")
     better = (
         Window.partitionBy("a_unit", "all_stock", "bound")
         .orderBy(F.round(F.col("kind_score") * -1e9).cast("bigint"))
@@ -264,9 +270,10 @@ def _tier_candidates(
     )
     reachable = (
         reach.join(sold, [*shelf_unit, "bound"])
-        .withColumn("n_better", F.coalesce(F.sum("n_singles").over(better), F.lit(0)))
+        # A group of copies may lie in many units: its home counts it once, and so does any one unit.
+        .withColumn("n_better", F.greatest(F.sum("n_home").over(better), F.max("n_own").over(better), F.lit(0)))
         .filter(F.col("n_better") < KEEP)
-        .drop("n_better", "n_singles")
+        .drop("n_better", "n_home", "n_own")
     )
     reachable = written(reachable, "reachable")
     asking = classes.join(reachable, ["a_unit", "all_stock", "bound"]).withColumn(
@@ -291,8 +298,6 @@ def _tier_candidates(
         "at",
         F.concat(F.coalesce("below", none), F.coalesce("beyond", none)).alias("near"),
     )
-    highest = F.greatest("candidate_price", "price", F.lit(1.0))
-    closeness = 1.0 - F.abs(F.col("candidate_price") - F.col("price")) / highest
     ranked = F.struct((-F.col("score")).alias("minus_score"), "minus_popularity", "product_id")
     free = classes.filter("price = 0").join(reachable, ["a_unit", "all_stock", "bound"])
     leader = F.struct("minus_popularity", "product_id", "own")
@@ -318,21 +323,39 @@ def _tier_candidates(
     )
     return (
         asking.join(near, [*shelf_unit, "at"])
-        .select(
-            "class_id",
-            "price",
-            "bound",
-            "kind_score",
-            F.inline("near").alias("candidate_price", "best"),
-        )
-        .filter(F.col("candidate_price") <= F.col("bound"))
-        .withColumn("score", F.col("kind_score") + fixed.SIMILAR_PRICE * closeness)
-        .select("class_id", "score", F.inline("best"))
-        .select("class_id", "own", ranked.alias("ranked"))
+        .select("class_id", _near_first().alias("found"))
+        .select("class_id", F.inline("found"))
         .unionByName(equally_far)
     )
 
 
+def _near_first() -> Column:
+    """The first ``KEEP`` candidates on the shelves of ``near``, copies as one, as ``ranked`` and ``own``.
+
+    A class needs no more of any unit, so the others never leave their row.
+    """
+
+    def on_shelf(shelf: Column) -> Column:
+        highest = F.greatest(shelf["price_eur"], F.col("price"), F.lit(1.0))
+        closeness = 1.0 - F.abs(shelf["price_eur"] - F.col("price")) / highest
+        score = F.col("kind_score") + fixed.SIMILAR_PRICE * closeness
+        return F.transform(
+            shelf["best"],
+            lambda one: F.struct(
+                F.struct((-score).alias("minus_score"), one["minus_popularity"], one["product_id"]).alias("ranked"),
+                one["own"].alias("own"),
+            ),
+        )
+
+    affordable = F.filter("near", lambda shelf: shelf["price_eur"] <= F.col("bound"))
+    found = F.array_sort(F.flatten(F.transform(affordable, on_shelf)))
+    # Only a group with several prices comes twice; later copies are left out.
+    owns = F.transform(found, lambda one: one["own"])
+    once = F.filter(found, lambda one, k: ~F.exists(F.slice(found, F.lit(1), k), lambda other: other["own"].eqNullSafe(one["own"])))
+    distinct = F.size(F.array_distinct(owns)) == F.size(owns)
+    return F.slice(F.when(distinct, found).otherwise(once), 1, KEEP)
+
+
 def _top_per_class(candidates: DataFrame) -> DataFrame:
     order = Window.partitionBy("class_id").orderBy("ranked")
     return (
