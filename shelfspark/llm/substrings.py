@@ -27,6 +27,8 @@ ANCHOR_WINDOW = 15
 LINE_WORDS, REPEAT_WORDS = 20, 16
 #: At least this share of pairs at the similarity shares a band, with so many bands at most.
 RECALL, MOST_BANDS = 0.995, 8
+#: Texts are taken apart together until they have so many bytes.
+TEXT_BYTES = 1 << 18
 #: Classes compared in one go; larger bands are compared block by block.
 BLOCK = 64
 
@@ -72,7 +74,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the first copy of a passage). Null and empty texts have no paragraphs. Rows that repeat
     an id are documents of their own.
     """
-    units = written(paragraphs(docs, id_col, text_col), "paragraphs")
+    units = _kept(paragraphs(docs, id_col, text_col))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "start", "stop")
     classes = written(
         units.groupBy("h1", "h2")
@@ -81,15 +83,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
-    links = written(_links(docs, units, classes, id_col, text_col), "links")
+    links = _links(docs, units, classes, id_col, text_col)
     roots = written(components(links).select(F.col("node").alias("id"), F.col("root").alias("cluster")), "roots")
+    dropped(links)
     clustered = classes.select("id", "h1", "h2", "n", "head").join(roots, "id", "left")
     clustered = written(clustered.withColumn("cluster", F.coalesce("cluster", "id")), "clustered")
     dropped(classes)
+    dropped(roots)
     clusters = clustered.groupBy("cluster").agg(F.sum("n").alias("size"), F.min("head").alias("head"))
     of_class = written(
         clustered.select("h1", "h2", "cluster").join(clusters.filter("size > 1"), "cluster"), "repeated"
     )
+    dropped(clustered)
     found = units.withColumn("line", F.col("bands").isNotNull()).drop("bands", "text_key")
     found = found.join(of_class, ["h1", "h2"])
     words = F.col("last") - F.col("first")
@@ -131,8 +136,21 @@ def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
     return joined.withColumn(text_col, text).select(*columns)
 
 
+def _kept(units: DataFrame) -> DataFrame:
+    """Lines, and pieces that may occur again: by half of their hash, which is a long, they do.
+
+    Most pieces occur once; they are counted in narrow rows and go no further.
+    """
+    units = written(units, "paragraphs")
+    again = written(units.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "n"), "again")
+    kept = written(units.join(again, "h1", "left").filter("n > 1 OR bands IS NOT NULL").drop("n"), "kept")
+    dropped(units)
+    dropped(again)
+    return kept
+
+
 def _links(docs: DataFrame, units: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links ``a, b`` of similar classes of lines; enough to join all that are."""
+    """Links ``a, b`` of similar classes of lines, written; enough to join all that are."""
     banded = classes.filter("bands IS NOT NULL").select("id", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     members = written(banded.join(shared, "band"), "members")
@@ -146,9 +164,9 @@ def _links(docs: DataFrame, units: DataFrame, classes: DataFrame, id_col: str, t
         .agg(F.collect_list(F.struct("id", "start", "stop", "h1", "h2")).alias("_wanted"))
     )
     wanted = written(wanted, "wanted")
-    if wanted.limit(BROADCAST_IDS // 16 + 1).count() <= BROADCAST_IDS // 16:
-        wanted = F.broadcast(wanted)
-    texts = _texts(docs, id_col, text_col).join(wanted, "text_key").select("text", "_wanted")
+    few = wanted.limit(BROADCAST_IDS // 16 + 1).count() <= BROADCAST_IDS // 16
+    texts = _texts(docs, id_col, text_col).join(F.broadcast(wanted) if few else wanted, "text_key")
+    texts = texts.select("text", "_wanted")
     sets = written(
         texts.mapInArrow(_shingle_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets"
     )
@@ -166,12 +184,16 @@ def _links(docs: DataFrame, units: DataFrame, classes: DataFrame, id_col: str, t
         .select("id", "band", "own", "p.i", "p.j")
         .join(sets, "id")
     )
-    return (
+    links = (
         dealt.repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j", "id")
         .mapInArrow(_compared, "a long, b long")
         .distinct()
     )
+    links = written(links, "links")
+    for done in (shared, members, wanted, sets):
+        dropped(done)
+    return links
 
 
 def _word_bounds(data: bytes):
@@ -198,22 +220,64 @@ def _shingles(words: list[bytes]):
     return mixed
 
 
-def _anchors(shingles):
-    """Places that are the least of some window; in a run of equal ones a window apart."""
+def _shingles_of(words: list[bytes], bounds):
+    """Shingles of texts one after the other, by the word that they begin with.
+
+    ``bounds``: the first word of each text, and the number of words. The last words of a
+    text begin none; their values mean nothing.
+    """
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    n = len(words)
+    hashes = np.zeros(n + SHINGLE, np.uint64)
+    hashes[:n] = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        mixed += hashes[k : k + n]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    short = np.flatnonzero(np.diff(bounds) < SHINGLE)
+    for first, last in zip(bounds[short].tolist(), bounds[short + 1].tolist()):
+        if first < last:
+            mixed[first] = _shingles(words[first:last])[0]
+    return mixed
+
+
+def _least_places(values, window: int):
+    """The place of the least value, of equal ones the first, in each window of ``values``."""
+    import numpy as np
+
+    least, at, width = values, np.arange(len(values)), 1
+    while width < window:
+        step = min(width, window - width)
+        later = least[step:] < least[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        least = values[at]
+        width += step
+    return at
+
+
+def _anchors(shingles, bounds):
+    """Places that are the least of some window of a text; in a run of equal ones a window apart."""
     import numpy as np
 
     if len(shingles) < ANCHOR_WINDOW:
         return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(shingles, ANCHOR_WINDOW)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    same = shingles[at[1:]] == shingles[at[:-1]]
-    if same.any():
-        kept = [int(at[0])]
-        for a, again in zip(at[1:].tolist(), same.tolist()):
-            if not again or a - kept[-1] >= ANCHOR_WINDOW:
-                kept.append(a)
-        at = np.array(kept)
-    return at
+    least = _least_places(shingles, ANCHOR_WINDOW)
+    # A window lies in a text if its last shingle does.
+    texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inside = np.arange(len(least)) + (ANCHOR_WINDOW + SHINGLE - 1) <= bounds[1:][texts[: len(least)]]
+    chosen = np.zeros(len(shingles), bool)
+    chosen[least[inside]] = True
+    at = np.flatnonzero(chosen)
+    same = (shingles[at[1:]] == shingles[at[:-1]]) & (texts[at[1:]] == texts[at[:-1]])
+    kept, last = np.ones(len(at), bool), 0
+    for k in (np.flatnonzero(same) + 1).tolist():
+        if kept[k - 1]:
+            last = at[k - 1]
+        kept[k] = at[k] - last >= ANCHOR_WINDOW
+    return at[kept]
 
 
 def _taken_apart(bands: int, rows: int):
@@ -229,26 +293,30 @@ def _taken_apart(bands: int, rows: int):
         row = TaskContext.get().partitionId() << 40
         names = ["row", "doc_id", "text_key", "start", "stop", "first", "last", "h1", "h2", "bands"]
 
-        def of_document(text: str):
-            data = text.encode("utf-8", "replace")
+        def of_texts(texts: list[bytes]):
+            """Units of texts one after the other: first all pieces, then all lines."""
+            data = b" ".join(texts)
             chars, starts, ends = _word_bounds(data)
-            if not len(starts):
-                return None
-            lower = data.lower()
-            words = lower.split()
-            shingles = _shingles(words)
-            cuts = np.unique(np.r_[0, _anchors(shingles), len(words)])
+            words = data.lower().split()
+            text_starts = np.cumsum([0, *(len(text) + 1 for text in texts)])
+            bounds = np.searchsorted(starts, text_starts)
+            opens = np.zeros(len(words) + 1, bool)
+            opens[bounds] = True
+            shingles = _shingles_of(words, bounds)
             line = np.cumsum(chars == 10)[starts]
-            line_first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+            line_first = np.flatnonzero(opens[:-1] | np.r_[True, line[1:] != line[:-1]])
             line_last = np.r_[line_first[1:], len(words)]
             long = line_last - line_first >= LINE_WORDS
             line_first, line_last = line_first[long], line_last[long]
+            opens[_anchors(shingles, bounds)] = True
+            cuts = np.flatnonzero(opens)
             first = np.r_[cuts[:-1], line_first]
             last = np.r_[cuts[1:], line_last]
+            spaced = b" ".join(words)
+            at = np.r_[0, np.cumsum(ends - starts + 1)]
             digests = b"".join(
-                xxh3_128_digest(b" ".join(words[a:b])) for a, b in zip(first.tolist(), last.tolist())
+                xxh3_128_digest(spaced[a:b]) for a, b in zip(at[first].tolist(), (at[last] - 1).tolist())
             )
-            hashes = np.frombuffer(digests, "<i8").reshape(-1, 2)
             keys = np.zeros((len(line_first), bands), np.int64)
             if len(line_first):
                 # The shingles of a line are those that end in it.
@@ -256,46 +324,58 @@ def _taken_apart(bands: int, rows: int):
                 for b in range(bands):
                     key = np.full(len(line_first), b, np.uint64)
                     for r in range(b * rows, (b + 1) * rows):
-                        mixed = shingles * factors[r] + terms[r]
+                        mixed = shingles * factors[r]
+                        mixed += terms[r]
                         mixed ^= mixed >> np.uint64(32)
-                        lowest = np.minimum.reduceat(np.r_[mixed, np.uint64(0)], edges)[::2]
+                        lowest = np.minimum.reduceat(mixed, edges)[::2]
                         key = (key + lowest) * np.uint64(0x9E3779B97F4A7C15)
                         key ^= key >> np.uint64(31)
                     keys[:, b] = key.view(np.int64)
-            place = np.cumsum((chars & 0xC0) != 0x80)
-            return place[starts[first]] - 1, place[ends[last - 1] - 1], first, last, hashes, keys
+            of = np.searchsorted(bounds, first, "right") - 1
+            place = np.r_[0, np.cumsum((chars & 0xC0) != 0x80)]
+            before = place[text_starts[of]]
+            hashes = np.frombuffer(digests, "<i8").reshape(-1, 2)
+            places = place[starts[first]] - before, place[ends[last - 1]] - before
+            return of, *places, first - bounds[of], last - bounds[of], hashes[:, 0], hashes[:, 1], keys
 
         for batch in batches:
-            columns: list[list] = [[] for _ in names[:-1]]
-            lists, has = [], []
-            for doc_id, text, text_key in zip(*(c.to_pylist() for c in batch.columns)):
-                got = of_document(text)
+            for part in _of_bytes(batch, TEXT_BYTES):
+                texts = [text.encode("utf-8", "replace") for text in part.column(1).to_pylist()]
+                got = of_texts(texts) if any(map(bytes.strip, texts)) else None
                 if got is not None:
-                    start, stop, first, last, hashes, keys = got
-                    n = len(first)
-                    for column, values in zip(
-                        columns, (np.full(n, row), [doc_id] * n, np.full(n, text_key), start, stop, first, last, hashes[:, 0], hashes[:, 1])
-                    ):
-                        column.append(values)
-                    has.append(np.arange(n) >= n - len(keys))
-                    lists.append(keys.ravel())
-                row += 1
-            if not has:
-                continue
-            has = np.concatenate(has)
-            offsets = np.r_[0, np.cumsum(has * bands)].astype(np.int32)
-            keyed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)), mask=pa.array(~has))
-            ids = [x for values in columns[1] for x in values]
-            kinds = [pa.int64(), None, pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
-            arrays = [
-                pa.array(ids, pa.int64()) if k == 1 else pa.array(np.concatenate(column), kinds[k])
-                for k, column in enumerate(columns)
-            ]
-            yield pa.RecordBatch.from_arrays([*arrays, keyed], names=names)
+                    of, start, stop, first, last, h1, h2, keys = got
+                    has = np.arange(len(of)) >= len(of) - len(keys)
+                    offsets = pa.array(np.r_[0, np.cumsum(has * bands)].astype(np.int32))
+                    of_text = pa.array(of)
+                    arrays = [
+                        pa.array(row + of),
+                        part.column(0).take(of_text),
+                        part.column(2).take(of_text),
+                        *(pa.array(values, pa.int32()) for values in (start, stop, first, last)),
+                        pa.array(h1, pa.int64()),
+                        pa.array(h2, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(~has)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                row += part.num_rows
 
     return taken_apart
 
 
+def _of_bytes(batch, most: int) -> Iterator:
+    """Slices of an Arrow batch of ``most`` bytes of text each, or of one longer text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _shingle_sets(batches: Iterator) -> Iterator:
     """Distinct shingles of the wanted paragraphs of each text, checked by their hash."""
     import struct

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from itertools import combinations
 
@@ -144,6 +145,79 @@ def test_repeated_passages(spark, corpus, nothing):
     assert {r.doc_id for r in odd} >= {7, 8, 9, None}
 
 
+def plain_units(text):
+    """Characters, words and kind of a text's units, one window at a time."""
+    found = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    lower = text.encode().lower().split()
+    if not lower:
+        return set()
+    shingles = substrings._shingles(lower).tolist()
+    least = set()
+    for k in range(len(shingles) - substrings.ANCHOR_WINDOW + 1):
+        window = shingles[k : k + substrings.ANCHOR_WINDOW]
+        least.add(k + window.index(min(window)))
+    cuts, before = [], None
+    for k in sorted(least):
+        if before is None or shingles[k] != shingles[before] or k - cuts[-1] >= substrings.ANCHOR_WINDOW:
+            cuts.append(k)
+        before = k
+    edges = sorted({0, *cuts, len(lower)})
+    units = {(a, b, False) for a, b in zip(edges, edges[1:])}
+    line_of = [text.count("\n", 0, start) for start, _ in found]
+    for line in set(line_of):
+        own = [k for k, other in enumerate(line_of) if other == line]
+        if len(own) >= substrings.LINE_WORDS:
+            units.add((own[0], own[-1] + 1, True))
+    return {(found[a][0], found[b - 1][1], a, b, line) for a, b, line in units}
+
+
+def test_texts_are_taken_apart_as_if_alone(spark):
+    import random
+
+    chance = random.Random(9)
+    texts = ["", " \n", "a", "a b c d", "é ü " * 30, "same " * 60, "\n".join(["same " * 5] * 30), "A\x0bB\tC " * 9]
+    for _ in range(150):
+        parts = [" ".join(chance.choices(["a", "B", "cé"], k=chance.randint(0, 70))) for _ in range(3)]
+        texts.append(chance.choice(["\n", " ", "\n \n"]).join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = substrings.paragraphs(docs).collect()
+    alike = {}
+    for r in got:
+        key = " ".join(texts[r.doc_id][r.start : r.stop].lower().split()), r.bands is not None
+        alike.setdefault(key, set()).add((r.h1, r.h2, str(r.bands)))
+    assert all(len(hashes) == 1 for hashes in alike.values())
+    for k, text in enumerate(texts):
+        own = [r for r in got if r.doc_id == k]
+        assert {(r.start, r.stop, r.first, r["last"], r.bands is not None) for r in own} == plain_units(text)
+
+
+def test_pieces_that_occur_once_go_no_further(spark, monkeypatch):
+    import random
+
+    tables, write = {}, substrings.written
+
+    def noted(rows, name):
+        tables[name] = write(rows, name)
+        return tables[name]
+
+    monkeypatch.setattr(substrings, "written", noted)
+    chance = random.Random(6)
+    passage = " ".join(words(chance, 60))
+    rows = [(k, f"{' '.join(words(chance, 30))} {passage} {' '.join(words(chance, 30))}") for k in range(3)]
+    rows += [(k, "\n".join(" ".join(words(chance, 15)) for _ in range(20))) for k in range(3, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = substrings.paragraphs(docs).collect()
+    times = {}
+    for unit in units:
+        times[unit.h1, unit.h2] = times.get((unit.h1, unit.h2), 0) + 1
+    want = sorted((u.doc_id, u.start, u.stop, u.h2) for u in units if u.bands is not None or times[u.h1, u.h2] > 1)
+    assert substrings.repeats(docs).filter("removed").select("doc_id").distinct().count() == 2
+    # Of the tables on the way there stay those that the result reads.
+    assert {name for name, rows in tables.items() if os.path.isdir(rows.written_to)} == {"kept", "repeated"}
+    assert sorted(map(tuple, tables["kept"].select("doc_id", "start", "stop", "h2").collect())) == want
+    assert 0 < len(want) < len(units) / 2
+
+
 def test_repeats_are_cut_out(spark):
     import random
 
