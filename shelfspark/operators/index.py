@@ -74,21 +74,18 @@ def with_terms(products: DataFrame) -> DataFrame:
     )
 
 
-def with_entries(products: DataFrame) -> DataFrame:
-    """Add ``entries``: array of (kind, term, weight), one per distinct term."""
+def term_index(products: DataFrame) -> DataFrame:
+    """The index as rows: ``(product_id, kind, term, weight)``.
+
+    The entries are made where they become rows. Of a column of entries Spark would first ask
+    whether it is empty, making all of them twice, and stems once per entry.
+    """
     termed = products if "stem_tokens" in products.columns else with_terms(products)
-    return termed.withColumn(
-        "entries",
-        F.concat(
-            _entries("token", "tokens", "name_tokens", "tag_tokens", fixed.TOKEN_WEIGHTS),
-            _entries("stem", "stem_tokens", "name_stems", "tag_stems", fixed.STEM_WEIGHTS),
-        ),
+    entries = F.concat(
+        _entries("token", "tokens", "name_tokens", "tag_tokens", fixed.TOKEN_WEIGHTS),
+        _entries("stem", "stem_tokens", "name_stems", "tag_stems", fixed.STEM_WEIGHTS),
     )
-
-
-def term_index(products: DataFrame) -> DataFrame:
-    """The index as rows: ``(product_id, kind, term, weight)``."""
-    return with_entries(products).select("product_id", F.inline("entries"))
+    return termed.select("product_id", F.inline(entries))
 
 
 #: Parts of a stored index; a search reads those that its terms are in.

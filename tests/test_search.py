@@ -90,6 +90,14 @@ def files_read(df):
     return plan.metrics().apply("numFiles").value(), pruned
 
 
+def test_entries_are_made_once(spark, products):
+    bare = products.drop("tokens", "name_tokens", "tag_tokens", "stem_tokens", "name_stems", "tag_stems")
+    plan = term_index(bare)._jdf.queryExecution().optimizedPlan().toString()
+    # Two lookups for tokens and two for stems, in the generator and nowhere else.
+    assert plan.count("array_contains") == 4 and "size(" not in plan
+    assert term_index(bare).exceptAll(term_index(products)).isEmpty() and term_index(bare).count() == term_index(products).count()
+
+
 def test_searches_read_the_buckets_of_their_terms(spark, products):
     folder = new_path(spark, "catalogue")
     made = term_index(products)
