@@ -54,10 +54,14 @@ def _csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of a file of an export.
+FILE_ROWS = 100_000
+
+
 def _write_csv(rows: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """Write rows as an export would come; trimming nothing."""
+    """Write rows as an export would come, a large one in several files; trimming nothing."""
     rows.write.mode("append").options(
-        header=True, escape='"', encoding=encoding, emptyValue="",
+        maxRecordsPerFile=FILE_ROWS, header=True, escape='"', encoding=encoding, emptyValue="",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
 

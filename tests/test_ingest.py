@@ -36,6 +36,18 @@ def classified(spark, export):
     return cleaning.classify(cleaning.clean_rows(read_export(spark, export).rows)).cache()
 
 
+def test_a_large_export_is_several_files(spark, tmp_path, monkeypatch):
+    from checks import queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 7)
+    rows = [tuple(f'{name} {k}, "so"\nagain' for name in cleaning.RAW_COLUMNS) for k in range(50)]
+    made = spark.createDataFrame(rows, ", ".join(f"{name} string" for name in cleaning.RAW_COLUMNS)).coalesce(1)
+    queries._write_csv(made, str(tmp_path / "export"))
+    assert len(list((tmp_path / "export").glob("*.csv"))) == 8
+    read = read_export(spark, str(tmp_path / "export")).rows.orderBy("_ord").select(*cleaning.RAW_COLUMNS)
+    assert [tuple(r) for r in read.collect()] == rows
+
+
 def test_quarantine(classified):
     summary = quality.load_summary(classified).first().asDict()
     assert summary == {"rows_read": 9, "products_loaded": 5, "quarantined_total": 4,
