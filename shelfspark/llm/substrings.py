@@ -27,7 +27,7 @@ ANCHOR_WINDOW = 15
 LINE_WORDS, REPEAT_WORDS = 20, 16
 #: At least this share of pairs at the similarity shares a band, with so many bands at most.
 RECALL, MOST_BANDS = 0.995, 8
-#: Texts are taken apart together until they have so many bytes.
+#: Texts, or sets of shingles, are Python's together until they have so many bytes.
 TEXT_BYTES = 1 << 18
 #: Classes compared in one go; larger bands are compared block by block.
 BLOCK = 64
@@ -284,6 +284,7 @@ def _taken_apart(bands: int, rows: int):
     def taken_apart(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         from xxhash import xxh3_128_digest
 
@@ -339,7 +340,7 @@ def _taken_apart(bands: int, rows: int):
             return of, *places, first - bounds[of], last - bounds[of], hashes[:, 0], hashes[:, 1], keys
 
         for batch in batches:
-            for part in _of_bytes(batch, TEXT_BYTES):
+            for part in _of_bytes(batch, pc.binary_length(batch.column(1)), TEXT_BYTES):
                 texts = [text.encode("utf-8", "replace") for text in part.column(1).to_pylist()]
                 got = of_texts(texts) if any(map(bytes.strip, texts)) else None
                 if got is not None:
@@ -362,12 +363,11 @@ def _taken_apart(bands: int, rows: int):
     return taken_apart
 
 
-def _of_bytes(batch, most: int) -> Iterator:
-    """Slices of an Arrow batch of ``most`` bytes of text each, or of one longer text."""
+def _of_bytes(batch, sizes, most: int) -> Iterator:
+    """Slices of an Arrow batch of ``most`` bytes each, or of one longer row; ``sizes``: the bytes of each row."""
     import numpy as np
-    import pyarrow.compute as pc
 
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(False), dtype=np.int64)
+    ends = np.cumsum(sizes.to_numpy(False), dtype=np.int64)
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
@@ -382,24 +382,36 @@ def _shingle_sets(batches: Iterator) -> Iterator:
 
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
     from xxhash import xxh3_128_digest
 
     for batch in batches:
-        ids, sets = [], []
-        for text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            for w in wanted:
-                words = text[w["start"] : w["stop"]].encode("utf-8", "replace").lower().split()
-                if struct.unpack("<2q", xxh3_128_digest(b" ".join(words))) == (w["h1"], w["h2"]):
-                    ids.append(w["id"])
-                    sets.append(np.unique(_shingles(words)).view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
-        )
+        for part in _of_bytes(batch, pc.binary_length(batch.column(0)), TEXT_BYTES):
+            ids, sets = [], []
+            for text, wanted in zip(*(c.to_pylist() for c in part.columns)):
+                for w in wanted:
+                    words = text[w["start"] : w["stop"]].encode("utf-8", "replace").lower().split()
+                    if struct.unpack("<2q", xxh3_128_digest(b" ".join(words))) == (w["h1"], w["h2"]):
+                        ids.append(w["id"])
+                        sets.append(np.unique(_shingles(words)).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
+            )
 
 
 def _compared(batches: Iterator) -> Iterator:
-    """Links of each group of rows ``id, band, own, i, j, shingles`` that come one after the other."""
+    """Links of each group of rows ``id, band, own, i, j, shingles`` that come one after the other.
+
+    The shingles of a row are distinct and ascending as unsigned numbers; they stay arrays,
+    as sets of Python's numbers take ten times the memory.
+    """
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def common(x, y) -> int:
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        return int(np.count_nonzero(y[at] == x))
 
     def links(group: list, i: int, j: int) -> list[tuple[int, int]]:
         parent = list(range(len(group)))
@@ -419,7 +431,7 @@ def _compared(batches: Iterator) -> Iterator:
                 small, large = sorted((len(set_x), len(set_y)))
                 if small < SIMILARITY * large:
                     continue
-                both = len(set_x & set_y)
+                both = common(set_x, set_y)
                 if both >= SIMILARITY * (small + large - both):
                     parent[root(y)] = root(x)
                     out.append((id_x, id_y))
@@ -427,15 +439,18 @@ def _compared(batches: Iterator) -> Iterator:
 
     key, group = None, []
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for id_, band, own, i, j, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-            if (band, i, j) != key:
-                if len(group) > 1:
-                    out += links(group, key[1], key[2])
-                key, group = (band, i, j), []
-            group.append((id_, own, frozenset(shingles)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
+        for part in _of_bytes(batch, pc.multiply(pc.list_value_length(batch.column(5)), 8), TEXT_BYTES):
+            out: list[tuple[int, int]] = []
+            *columns, sets = part.columns
+            for id_, band, own, i, j, shingles in zip(*(c.to_pylist() for c in columns), sets):
+                if (band, i, j) != key:
+                    if len(group) > 1:
+                        out += links(group, key[1], key[2])
+                    key, group = (band, i, j), []
+                # A copy, as a view would keep the whole batch.
+                group.append((id_, own, shingles.values.to_numpy().view(np.uint64).copy()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
     out = links(group, key[1], key[2]) if len(group) > 1 else []
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])

@@ -218,6 +218,56 @@ def test_pieces_that_occur_once_go_no_further(spark, monkeypatch):
     assert 0 < len(want) < len(units) / 2
 
 
+def test_shingles_and_comparisons_hold_little_at_a_time():
+    import random
+    import struct
+    import tracemalloc
+
+    import pyarrow as pa
+
+    chance = random.Random(8)
+    texts = [" ".join(words(chance, 3000)) for _ in range(60)]
+    of_text = [
+        [dict(zip(("id", "start", "stop", "h1", "h2"), (k, 0, len(text), *struct.unpack("<2q", xxhash.xxh3_128_digest(text)))))]
+        for k, text in enumerate(texts)
+    ]
+    got = list(substrings._shingle_sets(iter([pa.RecordBatch.from_pydict({"text": texts, "_wanted": of_text})])))
+    assert len(got) > 3 and max(part.nbytes for part in got) < 2 * substrings.TEXT_BYTES
+    sets = {r["id"]: r["shingles"] for part in got for r in part.to_pylist()}
+    assert all(
+        [n % 2**64 for n in sets[k]] == sorted(set(substrings._shingles(text.encode().split()).tolist()))
+        for k, text in enumerate(texts)
+    )
+
+    # Of each seven sets three are alike; numbers above 2**63 are negative as longs.
+    group = []
+    for k in range(70):
+        base = range(k // 7 << 20, (k // 7 << 20) + 20_000)
+        own = set(base[k % 7 * 1000 :] if k % 7 < 3 else base[k % 7 * 3000 :]) | {2**64 - 1 - k}
+        group.append((k, sorted(own)))
+    columns = {"id": [k for k, _ in group], "band": [1] * 70, "own": [0] * 70, "i": [0] * 70, "j": [0] * 70}
+    longs = pa.array([[n - (n >> 63 << 64) for n in own] for _, own in group], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_pydict(columns | {"shingles": longs})
+    tracemalloc.start()
+    links = [(r["a"], r["b"]) for part in substrings._compared(iter([batch])) for r in part.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * batch.nbytes
+    near = [
+        (a, b)
+        for (a, x), (b, y) in combinations([(k, set(own)) for k, own in group], 2)
+        if len(x & y) >= substrings.SIMILARITY * len(x | y)
+    ]
+
+    def joined(pairs):
+        root = list(range(70))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return [root.index(r) for r in root]
+
+    assert joined(links) == joined(near) and set(links) <= set(near) and len(links) >= 20
+
+
 def test_repeats_are_cut_out(spark):
     import random
 
