@@ -139,8 +139,10 @@ def without_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
 def _kept(units: DataFrame) -> DataFrame:
     """Lines, and pieces that may occur again: by half of their hash, which is a long, they do.
 
-    Most pieces occur once; they are counted in narrow rows and go no further.
+    Most pieces occur once; they are counted in narrow rows and go no further. Only lines
+    keep ``text_key``, as only their texts are read again.
     """
+    units = units.withColumn("text_key", F.when(F.col("bands").isNotNull(), F.col("text_key")))
     units = written(units, "paragraphs")
     again = written(units.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "n"), "again")
     kept = written(units.join(again, "h1", "left").filter("n > 1 OR bands IS NOT NULL").drop("n"), "kept")

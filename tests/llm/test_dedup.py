@@ -218,6 +218,18 @@ def test_pieces_that_occur_once_go_no_further(spark, monkeypatch):
     assert 0 < len(want) < len(units) / 2
 
 
+def test_pieces_leave_the_key_of_their_text(spark):
+    import random
+
+    chance = random.Random(7)
+    passage, line = (" ".join(words(chance, 60)) for _ in range(2))
+    rows = [(k, f"{' '.join(words(chance, 30))} {passage}\n{line}") for k in range(3)]
+    units = substrings.paragraphs(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = substrings._kept(units).collect()
+    assert {r.text_key is None for r in kept if r.bands is None} == {True}
+    assert {(r.doc_id, r.text_key) for r in kept if r.bands is not None} == {(r.doc_id, r.text_key) for r in units.collect()}
+
+
 def test_shingles_and_comparisons_hold_little_at_a_time():
     import random
     import struct
