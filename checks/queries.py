@@ -14,7 +14,7 @@ from shelfspark.operators import categories, cleaning, duplicates, enrich, index
 from shelfspark.operators import responses as respond
 from shelfspark.operators import search as find
 from shelfspark.operators import similar as compare
-from shelfspark.operators.skew import attach, spread
+from shelfspark.operators.skew import attach, spread, unsent
 from shelfspark.plans import answer
 from shelfspark.plans.build import build_products
 from shelfspark.session import new_path, written
@@ -586,9 +586,10 @@ def _per_request(normal: DataFrame, questions: DataFrame, results: DataFrame) ->
     """Give every request the rows of its question; a page at most per question."""
     columns = [name for name in results.columns if name != "question_id"]
     packed = results.groupBy("question_id").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    lookup = questions.select("ask", "question_id", "n_rows").join(packed, "question_id")
+    lookup = questions.select("ask", "question_id", "n_rows").join(unsent(packed), "question_id")
+    # Requests without rows go, so that either side might be sent to all tasks; neither is.
     return attach(
-        normal.select("request_id", "ask"), lookup, "ask", F.col("request_id")
+        normal.select("request_id", "ask"), lookup, "ask", F.col("request_id"), few_rows=0
     ).select("request_id", F.inline("rows"))
 
 
@@ -743,7 +744,7 @@ def w7_envelope(spark, sf_dir):
     shown = mentions.filter("role = 'result'").groupBy("question_id").agg(
         F.count("*").alias("returned")
     )
-    rows = envelopes.join(shown, "question_id", "left").select(
+    rows = envelopes.join(unsent(shown), "question_id", "left").select(
         "question_id",
         "total_matches",
         F.coalesce("returned", F.lit(0).cast("bigint")).alias("returned"),

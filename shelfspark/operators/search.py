@@ -19,7 +19,7 @@ from shelfspark.functions import fixed
 from shelfspark.functions.text import nfkc, stems, tokens
 from shelfspark.operators.index import asked_entries, term_index, with_terms
 from shelfspark.operators.ranks import ranked, running
-from shelfspark.operators.skew import spread
+from shelfspark.operators.skew import beside, spread, unsent
 from shelfspark.operators.tops import range_tops
 from shelfspark.session import written
 
@@ -146,7 +146,7 @@ def scope_profiles(
     ``index`` is the stored term index of ``products``, of which the buckets of asked terms are
     read; without one it is made.
     """
-    asked = scopes(questions).withColumn("words_id", F.sha2(F.to_json("keys"), 256))
+    asked = written(scopes(questions).withColumn("words_id", F.sha2(F.to_json("keys"), 256)), "scopes")
     sets = asked.filter("worded").select("words_id", "keys").dropDuplicates(["words_id"])
     terms = written(sets.select("words_id", F.inline("keys")), "terms")
     index = term_index(products) if index is None else asked_entries(index, terms)
@@ -159,7 +159,7 @@ def scope_profiles(
     profile = ["entries", "category", "occasions", "recipient"]
     facts = written(
         _facts(products)
-        .join(entries, "product_id", "left")
+        .join(unsent(entries), "product_id", "left")
         .withColumn("profile_id", F.sha2(F.to_json(F.struct(*profile)), 256)),
         "facts",
     )
@@ -167,7 +167,7 @@ def scope_profiles(
     # Few words and profiles make very many pairs, so they are spread first.
     scored = spread(
         profiles.select("profile_id", "category", "occasions", "recipient", F.inline("entries"))
-        .join(terms, ["kind", "term"])
+        .join(beside(terms), ["kind", "term"])
         .groupBy("words_id", "profile_id")
         .agg(
             F.sum("weight").alias("text_score"),
@@ -190,15 +190,16 @@ def scope_profiles(
         ),
         F.transform(F.array_distinct("occasions"), lambda occasion: place("occasion", occasion)),
     )
-    wordless = (
+    wordless = asked.filter("NOT worded").select("*", F.inline("keys")).drop("keys", "worded")
+    placed = (
         spread(profiles.drop("entries"), "profile_id")
         .select("*", F.inline(places))
-        .join(asked.filter("NOT worded").select("*", F.inline("keys")).drop("keys", "worded"), ["kind", "term"])
+        .join(beside(wordless), ["kind", "term"])
         .withColumn("text_score", F.lit(0.0))
     )
     columns = ["scope_id", "profile_id", "text_score", "q_occasion", "q_recipient"]
     filters = ["q_category", "category", "occasions", "recipient"]
-    met = [scored.join(within, ["words_id", "category"]), scored.join(anywhere, "words_id"), wordless]
+    met = [scored.join(beside(within), ["words_id", "category"]), scored.join(beside(anywhere), "words_id"), placed]
     pairs = reduce(DataFrame.unionByName, [part.select(*columns, *filters) for part in met]).filter(
         (~_given("q_category") | (F.col("q_category") == F.col("category")))
         & (~_given("q_occasion") | F.array_contains("occasions", F.col("q_occasion")))
@@ -416,6 +417,11 @@ def _free() -> Column:
     return F.col("low").isNull() & F.col("high").isNull()
 
 
+def _list_is_free() -> Column:
+    """If the ranges of a list are of all prices, as its id says."""
+    return F.col("list_id").endswith(":true")
+
+
 def _with_top(met: DataFrame, products: DataFrame) -> DataFrame:
     return met.crossJoin(F.broadcast(products.agg(F.max("popularity").alias("max_popularity"))))  # one row
 
@@ -520,8 +526,8 @@ def _leading(
     within = F.col("free") | F.col("at").between(F.col("least"), F.col("highest"))
     firsts = written(
         spread(pairs, "scope_id", "profile_id")
-        .join(lists, "scope_id")
-        .join(heads.filter("place = 1"), ["profile_id", "family", "free"])
+        .join(beside(lists), "scope_id")
+        .join(beside(heads.filter("place = 1")), ["profile_id", "family", "free"])
         .filter(within & ((F.col("stock") != "gone") | F.col("every_stock")))
         .withColumn("item", item)
         .drop("scope_id", "least", "highest"),
@@ -531,18 +537,19 @@ def _leading(
     if copies:
         unit = F.struct("duplicate_group_id", F.when(F.col("duplicate_group_id").isNull(), F.col("product_id")))
     nth = Window.partitionBy("list_id", "at").orderBy("item")
-    last = (
+    last = written(
         firsts.groupBy("list_id", "at", unit.alias("unit"))
         .agg(F.min("item").alias("item"))
         .withColumn("nth", F.row_number().over(nth))
         .filter(F.col("nth") == most)
-        .select("list_id", "at", F.col("item").alias("last"))
+        .select("list_id", "at", F.col("item").alias("last")),
+        "last",
     )
     wanted = F.col("last").isNull() | (F.col("item") <= F.col("last"))
-    remain = written(firsts.join(last, ["list_id", "at"], "left").filter(wanted), "remain")
+    remain = written(firsts.join(beside(last), ["list_id", "at"], "left").filter(wanted), "remain")
     others = (
         remain.drop("place", "item", *kept)
-        .join(heads.filter("place > 1"), cell)
+        .join(beside(heads.filter("place > 1")), cell)
         .withColumn("item", item)
         .filter(wanted)
     )
@@ -565,19 +572,17 @@ def _listed_pages(
     # Without a price range a page is the beginning of its list, cut to its length per task.
     begin = Window.partitionBy("list_id").orderBy("item.first", "item.second", "item.product_id")
     found = (
-        units.join(asked.filter(_free()).select("list_id").distinct(), "list_id", "left_semi")
+        units.filter(_list_is_free())
         .withColumn("place", F.row_number().over(begin))
         .filter(F.col("place") <= SHALLOW)
-        .join(asked.filter(_free()).select("question_id", "list_id", "n"), "list_id")
+        .join(unsent(asked.filter(_free()).select("question_id", "list_id", "n")), "list_id")
         .filter(F.col("place") <= F.col("n"))
         .select("question_id", "item")
     )
     ranged = asked.filter(~_free())
     if not ranged.isEmpty():
         within = range_tops(
-            units.join(ranged.select("list_id").distinct(), "list_id", "left_semi").select(
-                "list_id", F.col("item.price_eur").alias("at"), "item"
-            ),
+            units.filter(~_list_is_free()).select("list_id", F.col("item.price_eur").alias("at"), "item"),
             ranged.select(F.struct("question_id", "bonus").alias("ask_id"), "list_id", "low", "high", "open", "n"),
         )
         found = found.unionByName(within.select("ask_id.question_id", "item"))
@@ -589,7 +594,7 @@ def _listed_pages(
     shown = (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= SHALLOW)
-        .join(terms, "question_id")
+        .join(unsent(terms), "question_id")
         .filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("reach")))
         .select("*", "item.*")
     )
@@ -713,10 +718,10 @@ def profile_prices(facts: DataFrame, pairs: DataFrame, firsts: bool = True) -> D
         *least,
     )
     places = pairs.select("scope_id", "profile_id")
-    whole = places.join(by_price, "profile_id").groupBy("scope_id", "price_eur").agg(*sums, *least)
+    whole = places.join(unsent(by_price), "profile_id").groupBy("scope_id", "price_eur").agg(*sums, *least)
     none = F.lit(0).cast("long")
     mixed = (
-        places.join(cells.filter(~alone), "profile_id")
+        places.join(unsent(cells.filter(~alone)), "profile_id")
         .groupBy("scope_id", *unit)
         .agg(F.max("n_buy").alias("n_buy"))
         .groupBy("scope_id", "price_eur")
@@ -798,8 +803,8 @@ def priced_counts(prices: DataFrame, questions: DataFrame) -> DataFrame:
             .alias("nearest")
         ]
     return (
-        asked.join(whole, "scope_id")
-        .join(found, "question_id", "left")
+        asked.join(unsent(whole), "scope_id")
+        .join(unsent(found), "question_id", "left")
         .select(
             "question_id",
             F.col("n_all").alias("n_attributes"),
@@ -898,7 +903,7 @@ def answer_questions(
     facts, pairs = scope_profiles(products, questions, index)
     numbers = ["n_attributes", "n_buyable", "n_price", "n_available", "total_matches"]
     envelopes = written(
-        questions.join(priced_counts(profile_prices(facts, pairs), questions), "question_id", "left")
+        questions.join(unsent(priced_counts(profile_prices(facts, pairs), questions)), "question_id", "left")
         .fillna(0, numbers)
         .withColumn("reason", diagnose()),
         "envelopes",

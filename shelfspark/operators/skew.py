@@ -12,6 +12,24 @@ from shelfspark.session import written
 HOT_ROWS = 1_000_000
 
 
+#: Rows of a table that are sent to all tasks at most.
+FEW_ROWS = 100_000
+
+
+def unsent(table: DataFrame) -> DataFrame:
+    """One side of a join that sends neither side to all tasks: both are sorted by the key.
+
+    Spark sends a side if its files are small, and all of it passes the driver. Files of repeated ids and
+    copied rows are 40 times smaller than the rows and more, so a small file may fill the driver.
+    """
+    return table.hint("merge")
+
+
+def beside(table: DataFrame, few_rows: int = FEW_ROWS) -> DataFrame:
+    """A stored table of narrow rows as right side of a join: sent to all tasks if its rows are few, else ``unsent``."""
+    return F.broadcast(table) if table.count() <= few_rows else unsent(table)
+
+
 def spread(rows: DataFrame, *by: str) -> DataFrame:
     """Rows by a hash of ``by`` over as many tasks as a shuffle has, for costly work on each.
 
@@ -28,6 +46,7 @@ def attach(
     spread: Column,
     n_rows: str = "n_rows",
     hot_rows: int = HOT_ROWS,
+    few_rows: int = FEW_ROWS,
 ) -> DataFrame:
     """Left join ``lookup`` (one row per key, with its row count) to ``rows``.
 
@@ -35,6 +54,7 @@ def attach(
     before the join is planned. Rows of a hot key are spread by a hash of ``spread``,
     over twice as many salts as it has times ``hot_rows``; only the lookup rows of hot keys
     are repeated to meet them. Null keys match nothing and are spread by the hash alone.
+    A lookup of more than ``few_rows`` is never sent to all tasks, nor are the rows it meets (``unsent``).
     ``n_rows`` is an upper bound of how many ``rows`` carry the key.
     """
     lookup = written(lookup, "lookup")
@@ -52,7 +72,9 @@ def attach(
             F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_salts"))
         )
     salted_rows = rows.withColumn("_salt", F.coalesce(salt, none))
-    salted_lookup = lookup.withColumn("_salt", F.explode(salts))
-    return salted_rows.join(salted_lookup.drop(n_rows), [key, "_salt"], "left").drop(
+    salted_lookup = lookup.withColumn("_salt", F.explode(salts)).drop(n_rows)
+    if lookup.count() > few_rows:
+        salted_lookup = unsent(salted_lookup)
+    return salted_rows.join(salted_lookup, [key, "_salt"], "left").drop(
         "_salt", "_salts"
     )

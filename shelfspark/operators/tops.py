@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.operators.ranks import running
+from shelfspark.operators.skew import unsent
 from shelfspark.session import written
 
 LEAF = 64
@@ -88,12 +89,12 @@ def range_tops(items: DataFrame, asks: DataFrame) -> DataFrame:
         .groupBy("ask_id")
         .agg(at(True).alias("begin"), at(False).alias("end"))
         .filter(F.col("begin") < F.col("end"))
-        .join(asks.select("ask_id", "list_id", "n"), "ask_id")
+        .join(unsent(asks.select("ask_id", "list_id", "n")), "ask_id")
     )
     inside = F.filter("items", lambda x: (x["pos"] >= F.col("begin")) & (x["pos"] < F.col("end")))
     return (
         ranges.select("*", F.inline(_cover(len(levels))))
-        .join(reduce(DataFrame.unionByName, levels), ["list_id", "level", "node"])
+        .join(unsent(reduce(DataFrame.unionByName, levels)), ["list_id", "level", "node"])
         .select("ask_id", F.explode(F.slice(inside, F.lit(1), F.col("n"))).alias("found"))
         .select("ask_id", F.col("found.item").alias("item"))
     )
