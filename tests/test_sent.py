@@ -75,7 +75,7 @@ def tables(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["w7_envelope"])
+@pytest.mark.parametrize("name", ["w7_envelope", "a11_empty_reasons"])
 def test_whole_answers_where_nothing_is_sent(spark, tables, monkeypatch, name):
     """The requests aren't sent either, though their files are small; rows are the same."""
     expected = queries.QUERIES[name](spark, tables)
