@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators.duplicates import link_duplicates
 from shelfspark.operators.index import with_terms
-from shelfspark.operators.skew import beside
+from shelfspark.operators.skew import unsent
 from shelfspark.session import written
 
 
@@ -69,8 +69,8 @@ def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     buyers = (
         lines.select("l_partkey", "l_orderkey")
-        .join(beside(table(spark, sf_dir, "orders")), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(beside(table(spark, sf_dir, "customer")), F.col("o_custkey") == F.col("c_custkey"))
+        .join(unsent(table(spark, sf_dir, "orders")), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(unsent(table(spark, sf_dir, "customer")), F.col("o_custkey") == F.col("c_custkey"))
         .groupBy("l_partkey", F.lower("o_orderpriority").alias("occasion"),
                  F.lower("c_mktsegment").alias("segment"))
         .agg(F.count("*").alias("n"))
@@ -364,5 +364,5 @@ SIMILAR_COLUMNS = {
 
 def requests(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    joined = table(spark, sf_dir, "customer").join(beside(part), F.expr("p_partkey = c_custkey"))
+    joined = table(spark, sf_dir, "customer").join(unsent(part), F.expr("p_partkey = c_custkey"))
     return joined.selectExpr(*[f"{text} AS `{name}`" for name, text in columns.items()])

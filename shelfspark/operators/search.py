@@ -146,7 +146,7 @@ def scope_profiles(
     ``index`` is the stored term index of ``products``, of which the buckets of asked terms are
     read; without one it is made.
     """
-    asked = written(scopes(questions).withColumn("words_id", F.sha2(F.to_json("keys"), 256)), "scopes")
+    asked = beside(written(scopes(questions).withColumn("words_id", F.sha2(F.to_json("keys"), 256)), "scopes"))
     sets = asked.filter("worded").select("words_id", "keys").dropDuplicates(["words_id"])
     terms = written(sets.select("words_id", F.inline("keys")), "terms")
     index = term_index(products) if index is None else asked_entries(index, terms)
@@ -194,12 +194,12 @@ def scope_profiles(
     placed = (
         spread(profiles.drop("entries"), "profile_id")
         .select("*", F.inline(places))
-        .join(beside(wordless), ["kind", "term"])
+        .join(wordless, ["kind", "term"])
         .withColumn("text_score", F.lit(0.0))
     )
     columns = ["scope_id", "profile_id", "text_score", "q_occasion", "q_recipient"]
     filters = ["q_category", "category", "occasions", "recipient"]
-    met = [scored.join(beside(within), ["words_id", "category"]), scored.join(beside(anywhere), "words_id"), placed]
+    met = [scored.join(within, ["words_id", "category"]), scored.join(anywhere, "words_id"), placed]
     pairs = reduce(DataFrame.unionByName, [part.select(*columns, *filters) for part in met]).filter(
         (~_given("q_category") | (F.col("q_category") == F.col("category")))
         & (~_given("q_occasion") | F.array_contains("occasions", F.col("q_occasion")))
@@ -523,11 +523,12 @@ def _leading(
         ),
         "heads",
     )
+    n_first, n_other = heads.agg(F.count_if(F.col("place") == 1), F.count_if(F.col("place") > 1)).first()
     within = F.col("free") | F.col("at").between(F.col("least"), F.col("highest"))
     firsts = written(
         spread(pairs, "scope_id", "profile_id")
         .join(beside(lists), "scope_id")
-        .join(beside(heads.filter("place = 1")), ["profile_id", "family", "free"])
+        .join(beside(heads.filter("place = 1"), n_first), ["profile_id", "family", "free"])
         .filter(within & ((F.col("stock") != "gone") | F.col("every_stock")))
         .withColumn("item", item)
         .drop("scope_id", "least", "highest"),
@@ -549,7 +550,7 @@ def _leading(
     remain = written(firsts.join(beside(last), ["list_id", "at"], "left").filter(wanted), "remain")
     others = (
         remain.drop("place", "item", *kept)
-        .join(beside(heads.filter("place > 1")), cell)
+        .join(beside(heads.filter("place > 1"), n_other), cell)
         .withColumn("item", item)
         .filter(wanted)
     )
@@ -630,6 +631,9 @@ def top_sold_out(met: DataFrame, questions: DataFrame, n: int = 2) -> DataFrame:
 def profile_sold_out(facts: DataFrame, pairs: DataFrame, questions: DataFrame, n: int = 2) -> DataFrame:
     """As ``top_sold_out``, without a scope meeting all its products."""
     asked = written(_sold_out_ranges(questions, n).withColumn("family", F.lit("popularity")), "price_ranges")
+    if asked.isEmpty():
+        product = F.lit(None).cast(facts.schema["product_id"].dataType).alias("product_id")
+        return asked.select("question_id", F.lit(0).alias("rank"), product).limit(0)
     gone = facts.filter(~F.col("stock_level").isin(fixed.RECOMMENDABLE))
     every = asked.withColumn("every_stock", F.lit(True))
     return _popular(

@@ -25,9 +25,13 @@ def unsent(table: DataFrame) -> DataFrame:
     return table.hint("merge")
 
 
-def beside(table: DataFrame, few_rows: int = FEW_ROWS) -> DataFrame:
-    """A stored table of narrow rows as right side of a join: sent to all tasks if its rows are few, else ``unsent``."""
-    return F.broadcast(table) if table.count() <= few_rows else unsent(table)
+def beside(table: DataFrame, n_rows: int | None = None, few_rows: int = FEW_ROWS) -> DataFrame:
+    """A stored table of narrow rows as right side of joins: sent to all tasks if its rows are few, else ``unsent``.
+
+    What is filtered or selected from it is sent or not like the table. ``n_rows`` is its count, if known.
+    """
+    n_rows = table.count() if n_rows is None else n_rows
+    return F.broadcast(table) if n_rows <= few_rows else unsent(table)
 
 
 def spread(rows: DataFrame, *by: str) -> DataFrame:
@@ -62,7 +66,8 @@ def attach(
     n_salts = (2 * F.ceil(F.col(n_rows) / hot_rows)).cast("bigint")
     hot = lookup.filter(is_hot).select(key, n_salts.alias("_salts"))
     none = F.lit(0).cast("bigint")
-    if hot.isEmpty():
+    size = lookup.agg(F.count("*").alias("n"), F.max(n_rows).alias("most")).first()
+    if (size.most or 0) <= hot_rows:
         salts = F.array(none)
         salt = F.when(F.col(key).isNull(), F.xxhash64(spread))
     else:
@@ -73,7 +78,7 @@ def attach(
         )
     salted_rows = rows.withColumn("_salt", F.coalesce(salt, none))
     salted_lookup = lookup.withColumn("_salt", F.explode(salts)).drop(n_rows)
-    if lookup.count() > few_rows:
+    if size.n > few_rows:
         salted_lookup = unsent(salted_lookup)
     return salted_rows.join(salted_lookup, [key, "_salt"], "left").drop(
         "_salt", "_salts"

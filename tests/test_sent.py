@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from checks import queries, views
+from checks import queries
 from shelfspark.operators import search
 from shelfspark.operators.skew import attach, beside, unsent
 from shelfspark.session import written
@@ -20,7 +20,7 @@ def test_a_table_is_sent_by_its_rows(spark):
     """A thousand equal rows are a file of a few hundred bytes."""
     many = written(spark.range(1000).select((F.col("id") % 3).alias("k"), F.lit("x" * 64).alias("text")), "many")
     other = written(spark.range(10).withColumnRenamed("id", "k"), "other")
-    few, lots = other.join(beside(many, 1000), "k"), other.join(beside(many, 999), "k")
+    few, lots = other.join(beside(many, few_rows=1000), "k"), other.join(beside(many, few_rows=999), "k")
     assert "BroadcastHashJoin" in plan_of(few) and "BroadcastHashJoin" not in plan_of(lots)
     assert few.count() == lots.count() == 1000
 
@@ -36,7 +36,7 @@ def test_pairs_and_counts_are_not_sent(shop):  # noqa: F811
 
 def test_pages_where_nothing_is_sent(shop, monkeypatch):  # noqa: F811
     facts, pairs, questions = shop
-    monkeypatch.setattr(search, "beside", unsent)
+    monkeypatch.setattr(search, "beside", lambda table, n_rows=None: unsent(table))
     pages = search.profile_pages(facts, pairs, facts, questions)
     assert "BroadcastHashJoin" not in plan_of(pages)
     assert as_rows(pages) == as_rows(all_pages(facts, pairs, questions))
@@ -81,6 +81,14 @@ def test_whole_answers_where_nothing_is_sent(spark, tables, monkeypatch, name):
     expected = queries.QUERIES[name](spark, tables)
     assert "BroadcastHashJoin" not in plan_of(expected)
     rows = sorted(map(str, expected.collect()))
-    for module in (search, views):
-        monkeypatch.setattr(module, "beside", unsent)
+    monkeypatch.setattr(search, "beside", lambda table, n_rows=None: unsent(table))
     assert sorted(map(str, queries.QUERIES[name](spark, tables).collect())) == rows and len(rows) > 20
+
+
+def test_no_sold_out_questions_run_no_steps(shop, monkeypatch):  # noqa: F811
+    """The same columns as with some, without a product being placed."""
+    facts, pairs, questions = shop
+    some = search.profile_sold_out(facts, pairs, questions)
+    monkeypatch.setattr(search, "_leading", None)
+    none = search.profile_sold_out(facts, pairs, questions.filter("question_id < 0"))
+    assert none.count() == 0 and none.dtypes == some.dtypes
